@@ -1,7 +1,7 @@
 """Packing documents into sequences by cutting-stock column generation.
 
 A document's ids (with its end id) are cut into pieces of the sequence length and a rest. Rests are
-counted by length class (lengths rounded up to ``step``); over that bounded histogram a linear program
+counted by length class (lengths rounded up to ``step`` tokens, longer ones to 2 or 4 steps); over that bounded histogram a linear program
 chooses how often each pattern of classes is used: a revised simplex whose new columns are priced by an
 unbounded-knapsack dynamic program. Counts are rounded down and what is left over, bounded by the number
 of classes, goes into patterns by first-fit decreasing. Documents are ranked within their class and
@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import staged
+from .shared import in_task, staged
 from .tokens import encoder
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
@@ -52,6 +52,13 @@ def _pieces(path: str, end_id: int, capacity: int):
     return run
 
 
+def _length_class(units: Column, most: int) -> Column:
+    """Units rounded up: to 2 beyond an eighth of the capacity, to 4 beyond a half, if the capacity allows."""
+    if most % 32:
+        return units
+    return F.when(units <= most // 8, units).when(units <= most // 2, (F.ceil(units / 2) * 2).cast("int")).otherwise((F.ceil(units / 4) * 4).cast("int"))
+
+
 def _best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of classes 1..capacity (class b fills b units) of the greatest value."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
@@ -66,10 +73,12 @@ def _best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def cutting_stock(demand: np.ndarray, tolerance: float = 1e-6) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(demand: np.ndarray, tolerance: float = 5e-4) -> list[tuple[np.ndarray, int]]:
     """Patterns (pieces of each class) and how often each is used; together they hold the demand exactly.
 
-    ``demand[b]`` pieces fill b units of a sequence of ``len(demand) - 1`` units.
+    ``demand[b]`` pieces fill b units of a sequence of ``len(demand) - 1`` units. Columns are generated
+    until the program is within ``tolerance`` (or half a sequence) of a lower bound: the units asked for,
+    or the objective divided by the best column's value.
     """
     capacity = len(demand) - 1
     classes = np.flatnonzero(demand)
@@ -81,12 +90,14 @@ def cutting_stock(demand: np.ndarray, tolerance: float = 1e-6) -> list[tuple[np.
     inverse = np.linalg.inv(basis)
     need = demand[classes].astype(float)
     x = inverse @ need
+    bound = need @ classes / capacity
     for step in range(1, 60 * m + 200):
         dual = inverse.sum(0)
         value = np.full(capacity + 1, -1.0)
         value[classes] = dual
         gain, pattern = _best_pattern(value, capacity)
-        if gain <= 1 + tolerance:
+        bound = max(bound, x.sum() / gain)
+        if gain <= 1 + 1e-6 or x.sum() - bound <= max(0.5, tolerance * bound):
             break
         column = pattern[classes].astype(float)
         move = inverse @ column
@@ -164,13 +175,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece."""
     if capacity % step:
         raise ValueError("capacity must be a multiple of step")
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = staged(source.mapInArrow(_pieces(tokenizer_path, end_id, capacity), PIECES), "pieces")
-    pieces = pieces.withColumn("class", F.ceil(F.col("length") / step).cast("int"))
+    pieces = pieces.withColumn("class", _length_class(F.ceil(F.col("length") / step).cast("int"), capacity // step))
     demand = np.zeros(capacity // step + 1, np.int64)
     for row in pieces.groupBy("class").count().collect():  # a row for each length class at most
         demand[row["class"]] = row["count"]
-    places = _places(cutting_stock(demand))
+    places = _places(in_task(spark, cutting_stock, demand))
 
     parts = max(1, int(demand.max()) // _RANK_ROWS) * 8
     salted = pieces.withColumn("part", F.pmod(F.xxhash64("id", "salt"), F.lit(parts)).cast("int"))

@@ -6,6 +6,7 @@ so a lost executor costs a re-read and never the data.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,3 +90,24 @@ def with_columns(fields: list[tuple[str, pa.DataType]]) -> Callable[..., pa.Reco
         return pa.record_batch(arrays, schema=schema)
 
     return make
+
+
+def in_task(spark: SparkSession, work: Callable, *args):
+    """Runs ``work(*args)``, whose input and output are of bounded size, in one Spark task instead of the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.record_batch([pa.array([pickle.dumps(work(*args))], pa.binary())], ["out"])
+
+    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "out binary").first()["out"])
+
+
+def fit_in_task(sample: DataFrame, work: Callable[[pa.Table], object]):
+    """Hands a sample of bounded size to ``work`` in one Spark task and returns what it makes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        yield pa.record_batch([pa.array([pickle.dumps(work(table))], pa.binary())], ["out"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "out binary").first()["out"])
