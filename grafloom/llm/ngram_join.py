@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .shared import SKETCH_CELLS, add_sketches, sketch_rows, staged, unstage, with_columns
+from .shared import SKETCH_CELLS, add_sketches, id_filter, passing, sketch_rows, staged, with_columns
 
 #: Members of a tile that one task compares at once; a larger tile is dealt out as pairs of such blocks.
 TILE_ROWS = 20_000
@@ -212,7 +212,7 @@ def _compare(percent: int, best: bool):
     """Within each tile (rows sorted by tile and size) the pairs of different components that size and bit
     counts allow; with ``best`` only each member's partner of the highest bound."""
 
-    def pairs_of(n: np.ndarray, label: np.ndarray, ids: np.ndarray, bits: list[np.ndarray], block: np.ndarray) -> Iterator[tuple[int, int]]:
+    def pairs_of(n: np.ndarray, label: np.ndarray, ids: np.ndarray, bits: list[np.ndarray], block: np.ndarray, here: int, tiles: list[set[int]]) -> Iterator[tuple[int, int]]:
         one_block = block.min() == block.max()
         width = np.array([len(b) for b in bits])
         folded: dict[int, np.ndarray] = {}
@@ -239,6 +239,8 @@ def _compare(percent: int, best: bool):
             else:
                 js = js[fit]
             for j in js:
+                if not best and min(tiles[i] & tiles[j]) != here:  # a pair that shares tiles is told once
+                    continue
                 yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +251,7 @@ def _compare(percent: int, best: bool):
                 return set()
             rows.sort(key=lambda r: r[0])
             n, label, ids, block = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2, 4))
-            return set(pairs_of(n, label, ids, [np.frombuffer(r[3], np.uint8) for r in rows], block))
+            return set(pairs_of(n, label, ids, [np.frombuffer(r[3], np.uint8) for r in rows], block, rows[0][5], [set(r[6]) for r in rows]))
 
         out: set[tuple[int, int]] = set()
         for batch in batches:
@@ -288,13 +290,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = met.filter("centre is not null").groupBy("fp", "centre").agg(F.sum("w").alias("w")).groupBy("fp").agg(F.max(F.struct("w", F.negative("centre").alias("c"))).alias("m")).select("fp", F.negative("m.c").alias("centre"))
     ids = classes.select("fp", "id")
     stars = best.join(ids, "fp").join(ids.select(F.col("fp").alias("centre"), F.col("id").alias("other")), "centre").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).filter("a <> b").distinct()
-    wanted = members.select("fp").distinct().join(ids, "fp").select("id").distinct()
-    texts = staged(source.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")) if docs_repeat(first) else source.join(wanted, "id", "left_semi"), "ngram-texts")
+    repeats = docs_repeat(first)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # Only texts of documents in a pair travel: a bit set of fixed size drops most others before the joins.
+        texts = passing(source, id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+        texts = texts.groupBy("id").agg(F.min("text").alias("text")) if repeats else texts
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long, shared long")
 
+    stars = staged(stars, "ngram-stars")
     near = staged(verified(stars), "ngram-links")
     label = staged(connected_components(near), "ngram-labels")
 
@@ -307,7 +312,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         apart = tagged.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("tile", "m", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks"))
         open_tiles = tagged.join(apart, "tile")
         if best:
-            open_tiles = open_tiles.groupBy("id").agg(F.max_by(F.struct("tile", "blocks", "label"), F.struct("m", "tile")).alias("x")).select("id", "x.*")
+            open_tiles = open_tiles.groupBy("id").agg(F.max_by(F.struct("tile", "blocks", "label"), F.struct("m", "tile")).alias("x")).select("id", "x.*").withColumn("tiles", F.array("tile"))
+        else:
+            # At most as many tiles as the class has rare shingles.
+            open_tiles = open_tiles.select("id", "tile", "blocks", "label").join(open_tiles.groupBy("id").agg(F.collect_set("tile").alias("tiles")), "id")
         open_tiles = open_tiles.join(classes.select("id", "n", "bits"), "id")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         home = F.col("block") == F.col("with")
@@ -315,12 +323,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             open_tiles.withColumn("block", block)
             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             # A pair of blocks compares across; a block with itself compares within.
-            .select(F.xxhash64("tile", F.least("block", "with"), F.greatest("block", "with")).alias("t"), "n", "label", "id", "bits", F.when(home, F.lit(0)).otherwise(F.col("block")).alias("block"))
+            .select(F.xxhash64("tile", F.least("block", "with"), F.greatest("block", "with")).alias("t"), "n", "label", "id", "bits", F.when(home, F.lit(0)).otherwise(F.col("block")).alias("block"), "tile", "tiles")
         )
         late = dealt.repartition("t").sortWithinPartitions("t").mapInArrow(_compare(percent, best), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         if best:
+            tried = tried.union(late := staged(late, "ngram-late"))
+        else:
             late = staged(late, "ngram-late")
-            tried = tried.union(late)
         more = staged(verified(late), "ngram-links")
         if not more.take(1):
             continue

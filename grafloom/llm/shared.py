@@ -111,3 +111,58 @@ def fit_in_task(sample: DataFrame, work: Callable[[pa.Table], object]):
         yield pa.record_batch([pa.array([pickle.dumps(work(table))], pa.binary())], ["out"])
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "out binary").first()["out"])
+
+
+#: Bits of an id filter: 512 kB whatever the input; a fuller filter only lets more rows pass to the join behind it.
+FILTER_BITS = 1 << 22
+_FILTER_SLICES = 32
+
+
+def _filter_places(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(42)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit set that holds every id of a one-column frame (and, by collision, some others)."""
+    width = FILTER_BITS // _FILTER_SLICES // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_filter_places(batch.column(0).to_numpy())] = True
+        packed = np.packbits(bits).reshape(_FILTER_SLICES, width)
+        rows = np.flatnonzero(packed.any(1))
+        if len(rows):
+            yield pa.record_batch([pa.array(rows, pa.int32()), pa.array([packed[r].tobytes() for r in rows], pa.binary())], ["slice", "cells"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(cell.as_buffer(), np.uint8)
+                whole[i] = whole[i] | part if i in whole else part.copy()
+        if whole:
+            yield pa.record_batch([pa.array(list(whole), pa.int32()), pa.array([v.tobytes() for v in whole.values()], pa.binary())], ["slice", "cells"])
+
+    out = np.zeros((_FILTER_SLICES, width), np.uint8)
+    rows = ids.mapInArrow(mark, "slice int, cells binary").repartition(_FILTER_SLICES, "slice").mapInArrow(join, "slice int, cells binary")
+    for row in rows.toLocalIterator():
+        out[row["slice"]] = np.frombuffer(row["cells"], np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
+
+
+def passing(rows: DataFrame, keep: np.ndarray) -> DataFrame:
+    """Rows (id long, ...) whose id the filter holds."""
+
+    packed = np.packbits(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            ids = batch.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False) & bits[_filter_places(ids.fill_null(0).to_numpy())]
+            if known.any():
+                yield batch.filter(pa.array(known))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -117,8 +117,8 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS) ->
 
 
 def bitmap_width(n: int) -> int:
-    """Bits of the signature of a set of n: a power of two over 2n, from 64 to 65,536."""
-    return min(1 << 16, max(64, 1 << (2 * n).bit_length()))
+    """Bits of the signature of a set of n: a power of two over 3n, from 64 to 65,536."""
+    return min(1 << 16, max(64, 1 << (3 * n).bit_length()))
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
