@@ -32,7 +32,9 @@ def finite(vec: Column) -> Column:
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = table.column("id").to_numpy()
-    flat = pa.concat_arrays([c.flatten() for c in table.column("v").chunks]) if len(ids) else pa.array([], pa.int64())
+    if not len(ids):
+        return ids, np.zeros((0, 1))
+    flat = pa.concat_arrays([c.flatten() for c in table.column("v").chunks])
     return ids, flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
@@ -49,9 +51,9 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """The k best of one shard for each query, exactly."""
     out = []
-    dims = v.shape[1]
     if not len(v) or not len(q):
         return out
+    dims = v.shape[1]
     most = int(np.abs(v).max()) * int(np.abs(q).max()) * dims
     kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object  # floats below 2**53 are exact
     postings = np.ascontiguousarray(v.T).astype(kind)
