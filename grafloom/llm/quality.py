@@ -111,7 +111,14 @@ def score(docs: DataFrame, model: OrdinalModel, keep: float = 0.5, id_col: str =
     return rows.mapInArrow(run, "id long, expected_grade double, tail_prob double, selected boolean").withColumnRenamed("id", id_col)
 
 
-def rate_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, id_col: str = "doc_id") -> DataFrame:
-    """Fits on the labelled documents and scores all of them."""
-    rated = labels.groupBy(id_col).agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
-    return score(docs, train(docs.select(id_col, "text").join(rated, id_col).withColumn("grade", grade(F.col("_q"), F.col("_t"))), key_col=id_col), keep, id_col)
+def rate_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Fits on about ``rows`` labelled documents of each grade and scores all documents.
+
+    The sample is drawn from the labels, so only its ids (a broadcast of bounded size) meet the texts; of
+    documents that repeat a sampled id the least text is learned from.
+    """
+    rated = labels.groupBy(F.col(id_col).alias("_id")).agg(grade(F.min("quality"), F.max("toxic")).alias("grade"))
+    drawn = bounded_sample(rated.filter("_id IS NOT NULL AND grade IS NOT NULL"), "grade", F.col("_id"), rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    hits = texts.join(F.broadcast(drawn), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
+    return score(docs, train(hits, key_col="_id", rows=rows), keep, id_col)
