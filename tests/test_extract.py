@@ -18,6 +18,9 @@ TREE = {
     "config.ini": "a=1\n",
     ".env.local": "A=1\n",
     "static/a.js": "let x\n",
+    "js/base.ts": "export class Base { run() { return 1 } }\n",
+    "js/app.ts": "import { Base } from './base'\nexport class App extends Base { go() { this.stop() }\n stop() {} }\n",
+    "js/bad.js": "function (\n",
     "node_modules/x/a.py": "x()\n",
     "notes.unknown": "x",
     "big.py": "x = 1\n" * 100,
@@ -40,8 +43,8 @@ def graph(spark, tree):
 
 def test_status_and_files(graph):
     got = {r.path: r.status for r in graph.status.collect()}
-    assert got.pop("big.py") == "skipped" and got.pop("pkg/broken.py") == "failed"
-    assert set(got) == set(TREE) - {"big.py", "pkg/broken.py", "node_modules/x/a.py", "notes.unknown"} and set(got.values()) == {"indexed"}
+    assert got.pop("big.py") == "skipped" and got.pop("pkg/broken.py") == got.pop("js/bad.js") == "failed"
+    assert set(got) == set(TREE) - {"big.py", "pkg/broken.py", "js/bad.js", "node_modules/x/a.py", "notes.unknown"} and set(got.values()) == {"indexed"}
     assert {r.path for r in graph.files.collect()} == set(got)
 
 
@@ -58,7 +61,7 @@ def test_python(graph):
 
 
 def test_web_and_config(graph):
-    refs = {(r.file_path, r.local_name, r.target, r.kind) for r in graph.imports.filter("file_path NOT LIKE 'pkg/%'").collect()}
+    refs = {(r.file_path, r.local_name, r.target, r.kind) for r in graph.imports.filter("file_path NOT LIKE 'pkg/%' AND file_path NOT LIKE 'js/%'").collect()}
     compose = {("docker-compose.yml", f"{a}->{b}", f"docker-compose.yml::{b}", "service") for a, b in (("web", "db"), ("web", "cache"), ("cache", "db"))}
     assert refs == compose | {("index.html", "site.css", "site.css", "asset"), ("index.html", "/static/a.js", "static.a", "asset"), ("index.html", "https://x.test/", "https://x.test/", "external"), ("index.html", "base.html", "base.html", "template"), ("index.html", "m/forms.html", "m/forms.html", "template"), ("site.css", "base.css", "base.css", "asset"), ("site.css", "theme.css", "theme.css", "asset"), ("package.json", "react", "react", "external"), ("package.json", "vite", "vite", "external")}
     assert [(r.src_qname, r.dst_raw) for r in graph.edges.filter("src_file = 'index.html' AND edge_type = 'CALLS'").collect()] == [("index.html", "f.x")]
@@ -72,6 +75,11 @@ def test_resolved(graph):
     assert done == {("pkg.core.Widget.run", "helper"): "pkg.utils.helper", ("pkg.core.Widget", "Base"): "pkg.utils.Base"}
 
 
+def test_script_resolved(graph):
+    done = {(r.edge_type, r.src_qname, r.dst_qname) for r in R.resolve_edges(graph.edges, graph.nodes, graph.imports).filter("resolved = 1 AND src_file = 'js/app.ts' AND edge_type <> 'CONTAINS'").collect()}
+    assert {("INHERITS", "js.app.App", "js.base.Base"), ("CALLS", "js.app.App.go", "js.app.App.stop")} <= done
+
+
 def test_tarball(spark, tree, tmp_path):
     with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as tar:
         tar.add(tree, "top")
