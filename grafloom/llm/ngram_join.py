@@ -6,8 +6,8 @@ each one's rarest ``n - ceil(t n) + 1`` (any one order of shingles makes this ex
 that are frequent by a fixed-size count sketch last). Classes that share such a shingle meet in a tile,
 split by size band. Each class proposes the tile centre that it meets most often; proposals are bounded
 by bitmap bit counts and then verified by intersecting the sorted sets. A second pass compares, by size
-and bitmap, only classes of one tile that the first pass left in different components, and verifies what
-the bound lets through. So no link that matters to a component is lost, while a group of near copies
+and a bitmap folded to about n bits, only classes of one tile that the first pass left in different
+components, and verifies what the bound lets through. So no link that matters to a component is lost, while a group of near copies
 costs a number of comparisons in proportion to its size.
 
 Defined cases: null or wordless text has an empty set, links with nothing and is its own component; a row
@@ -32,7 +32,7 @@ from .shared import SKETCH_CELLS, add_sketches, id_filter, passing, sketch_rows,
 #: Members of a tile that one task compares at once; a larger tile is dealt out as pairs of such blocks.
 TILE_ROWS = 20_000
 _SHIP_BYTES = 8 << 20
-_DIGEST = "id long, n long, fp long, fp2 long, bits binary, slice int, cells binary"
+_DIGEST = "id long, n long, fp long, fp2 long, bits binary, small binary, slice int, cells binary"
 
 
 @dataclass
@@ -45,7 +45,7 @@ class NgramJoin:
 
 
 def _digests(k: int):
-    make = with_columns([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("cells", pa.binary())])
+    make = with_columns([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("small", pa.binary()), ("slice", pa.int32()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH_CELLS, np.int64)
@@ -59,7 +59,9 @@ def _digests(k: int):
                 sums = np.append(np.uint64(0), np.cumsum(tk.mix(whole)))
                 other = np.append(np.uint64(0), np.cumsum(tk.mix(whole ^ np.uint64(0x5DEECE66D5DEECE6))))
                 fp, fp2 = (tk.mix(s[at[1:]] - s[at[:-1]] + n.astype(np.uint64)).view(np.int64) for s in (sums, other))
-                yield make(j - i, id=batch.column(0)[i:j], n=n, fp=fp, fp2=fp2, bits=[tk.bitmap(s).tobytes() if len(s) else None for s in sets])
+                bits = [tk.bitmap(s) if len(s) else None for s in sets]
+                small = [None if b is None else tk.small_bitmap(b, len(s)).tobytes() for b, s in zip(bits, sets, strict=True)]
+                yield make(j - i, id=batch.column(0)[i:j], n=n, fp=fp, fp2=fp2, bits=[None if b is None else b.tobytes() for b in bits], small=small)
         rows = list(sketch_rows(counts))
         if rows:
             yield make(len(rows), slice=[r[0] for r in rows], cells=[r[1] for r in rows])
@@ -179,6 +181,20 @@ def _tiles(percent: int):
     return run
 
 
+def _screen(percent: int):
+    """Of rows (a, b, size and bitmap of a, of b) the pairs that sizes and bit counts allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_pylist() for i in (2, 4))
+            marks = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(i)] for i in (3, 5)]
+            fit = [tk.linked(tk.overlap_bound(m, n, x, y), m, n, percent) for m, n, x, y in zip(na, nb, *marks, strict=True)]
+            if any(fit):
+                yield batch.select([0, 1]).filter(pa.array(fit))
+
+    return run
+
+
 def _verify(k: int, percent: int):
     """Rows (a, b, text of a, text of b): bit counts first, then the sorted sets' intersection."""
 
@@ -280,7 +296,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     level = np.minimum(63, np.floor(2 * np.log2(counts + 1))).astype(np.uint64)
     level = (level - min(level.min(), np.uint64(1))) if len(level) else level
 
-    classes = staged(digests.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "ngram-classes")
+    classes = staged(digests.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("small").alias("small")), "ngram-classes")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = source.filter("id is not null").select("text").mapInArrow(_prefixes(words, percent, level, buckets), "bucket long, fps binary, ns binary, runs binary, hashes binary")
     met = staged(tokens.repartition("bucket").mapInArrow(_tiles(percent), "tile long, fp long, n long, centre long, w long"), "ngram-tiles")
@@ -292,6 +308,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = best.join(ids, "fp").join(ids.select(F.col("fp").alias("centre"), F.col("id").alias("other")), "centre").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).filter("a <> b").distinct()
     repeats = docs_repeat(first)
 
+    def screened(pairs: DataFrame) -> DataFrame:
+        # Bitmaps are a small part of the texts: most pairs fall before any text travels.
+        marks = passing(classes.select("id", "n", "bits"), id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+        both = pairs.join(marks.toDF("a", "na", "ba"), "a").join(marks.toDF("b", "nb", "bb"), "b")
+        return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(_screen(percent), "a long, b long")
+
     def verified(pairs: DataFrame) -> DataFrame:
         # Only texts of documents in a pair travel: a bit set of fixed size drops most others before the joins.
         texts = passing(source, id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
@@ -300,7 +322,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long, shared long")
 
     stars = staged(stars, "ngram-stars")
-    near = staged(verified(stars), "ngram-links")
+    near = staged(verified(staged(screened(stars), "ngram-screened")), "ngram-links")
     label = staged(connected_components(near), "ngram-labels")
 
     # What the first pass left apart though it shares a tile: first each class's likeliest partner in its
@@ -316,7 +338,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             # At most as many tiles as the class has rare shingles.
             open_tiles = open_tiles.select("id", "tile", "blocks", "label").join(open_tiles.groupBy("id").agg(F.collect_set("tile").alias("tiles")), "id")
-        open_tiles = open_tiles.join(classes.select("id", "n", "bits"), "id")
+        open_tiles = open_tiles.join(classes.select("id", "n", F.col("bits" if best else "small").alias("bits")), "id")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         home = F.col("block") == F.col("with")
         dealt = (
@@ -329,7 +351,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if best:
             tried = tried.union(late := staged(late, "ngram-late"))
         else:
-            late = staged(late, "ngram-late")
+            late = staged(screened(staged(late, "ngram-late")), "ngram-screened")
         more = staged(verified(late), "ngram-links")
         if not more.take(1):
             continue
