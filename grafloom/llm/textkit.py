@@ -137,11 +137,6 @@ def fold(bits: np.ndarray, nbytes: int) -> np.ndarray:
     return bits
 
 
-def small_bitmap(bits: np.ndarray, n: int) -> np.ndarray:
-    """The bitmap of a set of n folded to about n bits: still tells sets that differ widely apart."""
-    return fold(bits, max(8, bitmap_width(n) >> 5 if bitmap_width(n) < 1 << 16 else 1 << 13))
-
-
 def overlap_bound(n1: int, n2: int, b1: np.ndarray, b2: np.ndarray) -> int:
     """No fewer than the elements that two sets share, from sizes and bit counts alone."""
     w = min(len(b1), len(b2))
