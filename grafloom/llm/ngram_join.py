@@ -10,6 +10,12 @@ and bitmap, only classes of one tile that the first pass left in different compo
 the bound lets through. So no link that matters to a component is lost, while a group of near copies
 costs a number of comparisons in proportion to its size.
 
+Every link lies within a component. So the links are had by shipping each class of a component of three or
+more once (to each pair of blocks of about ``LINK_SHINGLES``, if the component is larger) and counting what
+every two sets share; a component of two classes is one verified pair. ``degrees`` adds links up where they
+are found, so a group of near copies gives rows in proportion to its size; ``links`` lists them all, as many
+as there are. Both are computed when they are asked for.
+
 Defined cases: null or wordless text has an empty set, links with nothing and is its own component; a row
 with a null id takes no part and keeps component null; rows that repeat an id count as one document when
 components are formed; extra columns are ignored; an empty table gives an empty result.
@@ -17,8 +23,9 @@ components are formed; extra columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +39,34 @@ from .shared import SKETCH_CELLS, add_sketches, id_filter, passing, sketch_rows,
 #: Members of a tile that one task compares at once; a larger tile is dealt out as pairs of such blocks.
 TILE_ROWS = 20_000
 _SHIP_BYTES = 8 << 20
+#: Shingles of the classes in one block of a component; every two blocks of a component meet in one task.
+LINK_SHINGLES = 1 << 19
 _DIGEST = "id long, n long, fp long, fp2 long, bits binary, slice int, cells binary"
 
 
 @dataclass
 class NgramJoin:
-    """documents: id, n_shingles, class_id (smallest id with the same set), component_id; links: verified
-    pairs (a long, b long, shared long) of class ids that span the components."""
+    """documents: id, n_shingles, class_id (smallest id with the same set), component_id, class_key; links: all
+    linked pairs (a long, b long, shared long) of class keys; degrees: class_key, n_links of each class, the other
+    rows that each of its rows links with, those of its own class among them. The key is the class id, or, where
+    ids stand on several rows, a hash of the set. Wordless rows and rows with a null id have no key."""
 
     documents: DataFrame
-    links: DataFrame
+    _links: Callable[[], DataFrame]
+    _degrees: Callable[[], DataFrame]
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return self._links()
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        return self._degrees()
+
+    def counted(self) -> DataFrame:
+        """``documents`` with n_links of each row: 0 of a wordless text, null where the id is null."""
+        rows = self.documents.join(self.degrees, "class_key", "left")
+        return rows.withColumn("n_links", F.when(F.col("component_id").isNotNull(), F.coalesce("n_links", F.lit(0))))
 
 
 def _digests(k: int):
@@ -284,6 +309,90 @@ def _compare(percent: int, best: bool):
     return run
 
 
+def _shared_counts(sets: list[np.ndarray], left: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, counts): how many elements the sets from i on share with each set, for the first ``left`` sets.
+    Elements of many sets are counted by a matrix product, the others along their lists of sets."""
+    m = len(sets)
+    _, el, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    often = df >= max(16, m // 16)
+    some = often[el]
+    dense = np.zeros((m, int(often.sum())), np.float32)
+    dense[row[some], (np.cumsum(often) - 1)[el[some]]] = 1
+    some = ~some & (df[el] > 1)
+    row, el = row[some], el[some]
+    order = np.argsort(el, kind="stable")
+    posts, first, length = row[order], np.searchsorted(el[order], el), df[el]
+    cost = np.cumsum(np.bincount(row, weights=length, minlength=m) + m)
+    a = 0
+    while a < left:
+        b = min(left, max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + 2_000_000, "right"))))
+        lo, hi = np.searchsorted(row, [a, b])
+        n = length[lo:hi]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lo:hi], n)
+        rare = np.bincount(np.repeat(row[lo:hi] - a, n) * m + posts[at], minlength=(b - a) * m).reshape(b - a, m)
+        yield a, rare + (dense[a:b] @ dense.T).astype(np.int64)
+        a = b
+
+
+def _within(k: int, percent: int, each: bool):
+    """Rows sorted by (component, lo, hi): key, copies, whether the class is of block hi, text. All links within a
+    block (lo = hi) or between two: each pair (a, b, shared), or the rows that each class links with (key, links)."""
+
+    def links_of(keys: np.ndarray, copies: np.ndarray, far: np.ndarray, texts: list, across: bool) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((keys, far))
+        keys, copies, far = keys[order], copies[order], far[order]
+        sets: list[np.ndarray] = []
+        for _, _, data, offs in tk.byte_slices(pa.array([texts[i] for i in order], pa.large_string())):
+            sets += tk.shingle_sets(data, offs, k)
+        n = np.array([len(s) for s in sets])
+        links = np.zeros(len(keys), np.int64)
+        for a, shared in _shared_counts(sets, int((~far).sum())):
+            fit = 100 * shared >= percent * (n[a : a + len(shared), None] + n - shared)
+            i, j = np.nonzero(fit)
+            shared = shared[i, j]
+            i += a
+            one = far[j] if across else i < j
+            i, j, shared = i[one], j[one], shared[one]
+            if each and len(i):
+                yield pa.record_batch([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j])), pa.array(shared)], ["a", "b", "shared"])
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+        if not each and links.any():
+            yield pa.record_batch([pa.array(keys[links > 0]), pa.array(links[links > 0])], ["key", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            across = bool(group) and group[1] != group[2]
+            far = np.array([r[2] for r in rows], bool)
+            if len(rows) > 1 and (not across or 0 < far.sum() < len(far)):
+                yield from links_of(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), far, [r[3] for r in rows], across)
+
+        for batch in batches:
+            for c, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (c, lo, hi) != group:
+                    yield from done()
+                    group, rows = (c, lo, hi), []
+                rows.append(row)
+        yield from done()
+
+    return run
+
+
+def _keyed(k: int):
+    """Rows (id, text) with the first half of their set's fingerprint: (id, key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offs in tk.byte_slices(batch.column(1)):
+                fp = [tk.mix(np.array([tk.mix(s).sum() + np.uint64(len(s))]))[0].view(np.int64) for s in tk.shingle_sets(data, offs, k)]
+                yield pa.record_batch([batch.column(0)[i:j], pa.array(fp, pa.int64()), batch.column(1)[i:j]], ["id", "key", "text"])
+
+    return run
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = tk.SHINGLE_WORDS, percent: int = 75) -> NgramJoin:
     """Links rows whose shingle sets have a Jaccard similarity of at least ``percent`` / 100; see the module."""
     spark = docs.sparkSession
@@ -294,7 +403,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     level = np.minimum(63, np.floor(2 * np.log2(counts + 1))).astype(np.uint64)
     level = (level - min(level.min(), np.uint64(1))) if len(level) else level
 
-    classes = staged(digests.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits")), "ngram-classes")
+    # Where no id repeats, the smallest id of a class names it; else the hash that its tiles know it by.
+    repeats = docs_repeat(first)
+    classes = digests.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = staged(classes.withColumn("key", F.col("fp" if repeats else "id")), "ngram-classes")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = source.filter("id is not null").select("text").mapInArrow(_prefixes(words, percent, level, buckets), "bucket long, fps binary, ns binary, runs binary, hashes binary")
     met = staged(tokens.repartition("bucket").mapInArrow(_tiles(percent), "tile long, fp long, n long, centre long, w long"), "ngram-tiles")
@@ -302,21 +414,27 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # One centre for each class: that which it shares most tiles with.
     best = met.filter("centre is not null").groupBy("fp", "centre").agg(F.sum("w").alias("w")).groupBy("fp").agg(F.max(F.struct("w", F.negative("centre").alias("c"))).alias("m")).select("fp", F.negative("m.c").alias("centre"))
-    ids = classes.select("fp", "id")
-    stars = best.join(ids, "fp").join(ids.select(F.col("fp").alias("centre"), F.col("id").alias("other")), "centre").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).filter("a <> b").distinct()
-    repeats = docs_repeat(first)
+    keys = classes.select("fp", "key")
+    stars = best.join(keys, "fp").join(keys.select(F.col("fp").alias("centre"), F.col("key").alias("other")), "centre").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).filter("a <> b").distinct()
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(key, text) of the classes with these keys and, by collision, of some others."""
+        if not repeats:
+            return passing(source, id_filter(wanted)).withColumnRenamed("id", "key")
+        named = passing(classes.select(F.col("key").alias("id"), F.col("id").alias("doc")), id_filter(wanted)).toDF("key", "id")
+        found = passing(source, id_filter(named.select("id"))).mapInArrow(_keyed(words), "id long, key long, text string")
+        return found.join(named, ["key", "id"]).groupBy("key").agg(F.min("text").alias("text"))
 
     def screened(pairs: DataFrame) -> DataFrame:
         # Bitmaps are a small part of the texts: most pairs fall before any text travels.
-        marks = passing(classes.select("id", "n", "bits"), id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+        marks = passing(classes.select(F.col("key").alias("id"), "n", "bits"), id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
         both = pairs.join(marks.toDF("a", "na", "ba"), "a").join(marks.toDF("b", "nb", "bb"), "b")
         return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(_screen(percent), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # Only texts of documents in a pair travel: a bit set of fixed size drops most others before the joins.
-        texts = passing(source, id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-        texts = texts.groupBy("id").agg(F.min("text").alias("text")) if repeats else texts
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long, shared long")
 
     stars = staged(stars, "ngram-stars")
@@ -327,7 +445,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # largest open tile, then, among the components that are still apart, whatever the bounds let through.
     tried = stars
     for best in (True, False):
-        nodes = ids.join(label, ids["id"] == label["node"], "left").select("fp", "id", F.coalesce("component", "id").alias("label"))
+        nodes = keys.join(label, keys["key"] == label["node"], "left").select("fp", F.col("key").alias("id"), F.coalesce("component", "key").alias("label"))
         tagged = members.join(nodes, "fp")
         apart = tagged.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("tile", "m", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks"))
         open_tiles = tagged.join(apart, "tile")
@@ -336,7 +454,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             # At most as many tiles as the class has rare shingles.
             open_tiles = open_tiles.select("id", "tile", "blocks", "label").join(open_tiles.groupBy("id").agg(F.collect_set("tile").alias("tiles")), "id")
-        open_tiles = open_tiles.join(classes.select("id", "n", "bits"), "id")
+        open_tiles = open_tiles.join(classes.select(F.col("key").alias("id"), "n", "bits"), "id")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         home = F.col("block") == F.col("with")
         dealt = (
@@ -356,10 +474,34 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         near = staged(near.union(more), "ngram-links")
         label = staged(connected_components(near), "ngram-labels")
 
-    final = ids.select("id").distinct().join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component_id"))
-    reps = classes.select("fp", "fp2", "n", F.col("id").alias("class_id")).join(final, F.col("class_id") == F.col("id")).drop("id")
-    out = digests.join(reps, ["fp", "fp2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    return NgramJoin(out.withColumnRenamed("id", id_col), near)
+    final = classes.join(label, F.col("key") == F.col("node"), "left").select("fp", "fp2", "n", F.col("id").alias("class_id"), F.col("key").alias("class_key"), F.coalesce("component", "key").alias("component_id"))
+    if repeats:
+        final = final.join(final.groupBy("component_id").agg(F.min("class_id").alias("least")), "component_id").drop("component_id").withColumnRenamed("least", "component_id")
+    known = F.col("id").isNotNull()
+    out = digests.join(final, ["fp", "fp2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("class_id", "id")).alias("class_id"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"), F.when(known, F.col("class_key")).alias("class_key"))
+
+    parts = label.join(classes, F.col("node") == F.col("key")).select("key", "component", "n", "copies")
+    size = parts.groupBy("component").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / LINK_SHINGLES).cast("int").alias("blocks"))
+    couples = near.dropDuplicates(["a", "b"]).join(parts.join(size.filter("m = 2"), "component").select(F.col("key").alias("a")), "a", "left_semi")
+    block, other = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    groups = parts.join(size.filter("m > 2"), "component").select("component", "key", "copies", block.alias("block"), "blocks").withColumn("other", other)
+    groups = groups.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "copies", (F.col("block") > F.col("other")).alias("far"))
+
+    def within(each: bool, schema: str) -> DataFrame:
+        fixed = staged(groups, "ngram-groups")
+        dealt = fixed.join(texts_of(fixed.select("key")), "key").select("component", "lo", "hi", "key", "copies", "far", "text")
+        return dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_within(words, percent, each), schema)
+
+    def links() -> DataFrame:
+        return couples.select("a", "b", "shared").union(within(True, "a long, b long, shared long"))
+
+    def degrees() -> DataFrame:
+        copies = classes.select("key", "copies")
+        two = couples.join(copies.toDF("a", "ca"), "a").join(copies.toDF("b", "cb"), "b").select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("cb").alias("links")), F.struct(F.col("b").alias("key"), F.col("ca").alias("links")))).alias("x")).select("x.*")
+        sums = two.union(within(False, "key long, links long")).groupBy("key").agg(F.sum("links").alias("links"))
+        return copies.join(sums, "key", "left").select(F.col("key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+    return NgramJoin(out.withColumnRenamed("id", id_col), links, degrees)
 
 
 def docs_repeat(first: DataFrame) -> bool:

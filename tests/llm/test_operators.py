@@ -59,6 +59,27 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_jaccard_join(empty).documents.count() == 0
 
 
+def test_ngram_links(spark, monkeypatch):
+    """A group of near copies with exact copies in it, a chain and a couple; in one block and in several."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(60)]
+    data = [(i, " ".join(base[:p] + [f"x{i}"] + base[p:])) for i, p in enumerate([0, 60, 59, 58, 1, 2, 30, 30, 57, 3])]
+    data += [(20 + i, data[i % 4][1]) for i in range(7)] + [(40 + i, " ".join(words[4 * i : 4 * i + 60])) for i in range(6)]
+    data += [(60, "a b c d e f g h i j k"), (61, "a b c d e f g h i j k l"), (70, "alone and by itself it stands here"), (80, ""), (81, None), (None, data[0][1])]
+    sets = {i: plain_set(t) for i, t in data if i is not None}
+    linked = {i: [j for j, b in sets.items() if j != i and a and b and 100 * len(a & b) >= 75 * len(a | b)] for i, a in sets.items()}
+    assert max(map(len, linked.values())) > 8
+    for shingles in (ngram_join.LINK_SHINGLES, 150):
+        monkeypatch.setattr(ngram_join, "LINK_SHINGLES", shingles)
+        join = ngram_join.ngram_jaccard_join(spark.createDataFrame(data, "doc_id long, text string"))
+        found = join.counted().collect()
+        assert {r.doc_id: r.n_links for r in found} == {i: len(x) for i, x in linked.items()} | {None: None}
+        one = {r.class_id for r in found if r.class_key is not None}
+        want = sorted((a, b, len(sets[a] & sets[b])) for a in one for b in linked[a] if b in one and a < b)
+        assert sorted(map(tuple, join.links.collect())) == want
+
+
 def test_bitmap_bounds():
     rng = np.random.default_rng(1)
     for _ in range(50):
