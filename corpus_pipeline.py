@@ -17,10 +17,8 @@ from grafloom.llm.shared import staged
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows stay whose text has a language: neither ``und`` nor ambiguous. Learns from rows that aren't held
-    out. Rows that share an id stand or fall together."""
-    found = language_id.identify(docs)
-    gone = found.filter((F.col("lang_pred") == language_id.UNDETERMINED) | F.col("ambiguous")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    out. Each row is decided by its own text, whatever its id."""
+    return language_id.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

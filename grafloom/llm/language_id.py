@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .features import bounded_sample, dense_batches, dense_table, sparse_rows
 from .shared import fit_in_task
@@ -112,23 +113,41 @@ def decode(model: LanguageModel, margins: np.ndarray) -> tuple[np.ndarray, np.nd
     return best, p[np.arange(len(p)), best], two[:, 1] - two[:, 0] < AMBIGUOUS
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, ambiguous) of every row."""
+def _judge(model: LanguageModel, lead: list[str]):
+    """Rows (text, lettered, the columns of ``lead``) become rows of these columns, lang_pred, score, ambiguous."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            void = ~np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
-            for a, b, x in dense_batches(batch.column(1), False):
+            void = ~np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
+            for a, b, x in dense_batches(batch.column(0), False):
                 if model.languages:
                     best, score, vague = decode(model, x @ model.weights + model.bias)
                     names = [UNDETERMINED if v else model.languages[k] for v, k in zip(void[a:b], best, strict=True)]
                 else:
                     names, score, vague = [UNDETERMINED] * (b - a), np.zeros(b - a), np.zeros(b - a, bool)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(names, pa.string()), pa.array(np.where(void[a:b], 0.0, score), pa.float64()), pa.array(vague & ~void[a:b])], ["id", "lang_pred", "score", "ambiguous"])
+                own = [batch.column(c)[a:b] for c in range(2, batch.num_columns)]
+                yield pa.record_batch([*own, pa.array(names, pa.string()), pa.array(np.where(void[a:b], 0.0, score), pa.float64()), pa.array(vague & ~void[a:b])], [*lead, "lang_pred", "score", "ambiguous"])
+
+    return run
 
+
+def _judged(docs: DataFrame, model: LanguageModel, text_col: str, lead: dict[str, Column]) -> DataFrame:
     text: Column = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text.rlike(r"\p{L}").alias("lettered"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+    rows = docs.select(text.alias("text"), text.rlike(r"\p{L}").alias("lettered"), *(c.alias(name) for name, c in lead.items()))
+    schema = StructType(rows.schema.fields[2:]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return rows.mapInArrow(_judge(model, list(lead)), schema)
+
+
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, ambiguous) of every row."""
+    return _judged(docs, model, text_col, {"id": F.col(id_col).cast("long")}).withColumnRenamed("id", id_col)
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns with them, whose text is neither ``und`` nor ambiguous, row by row."""
+    model = train(docs.filter(~held_out(id_col)), text_col, lang_col, id_col)
+    found = _judged(docs, model, text_col, {"row": F.struct(*docs.columns)})
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select("row.*")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

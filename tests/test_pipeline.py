@@ -1,0 +1,26 @@
+import pytest
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra array<int>"
+EN, DE = "the old house by the river was quiet and the people of the town walked there {}", "das alte haus an dem fluss war still und die leute der stadt gingen dort hin {}"
+
+
+def lines(n):
+    return [(i, (EN if i % 2 else DE).format(f"number {i}"), "en" if i % 2 else "de", "s", 1, [i]) for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    odd = [(i, t, "en", "s", 2, None) for i in (None, 7) for t in (None, "", "123 456")]
+    clean = [(None, EN.format("without id"), "en", "s", 3, [1, 2]), (None, DE.format("ohne id"), "de", "s", 3, None), (7, DE.format("noch ein text"), "de", "s", 3, [])]
+    return lines(200), odd, clean
+
+
+def test_language_stage_decides_row_by_row(spark, mixed):
+    rows, odd, clean = mixed
+    docs = spark.createDataFrame(rows + odd + clean, SCHEMA)
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.schema == docs.schema
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, rows + clean))
+    assert corpus_pipeline.language(spark, docs.limit(0), "").count() == 0
