@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing sources", mixture), ("packing", pack)]
 
-#: Learned decisions and packing are beyond SQL; tests compare each stage with a plain version.
+#: Learned decisions and packing are beyond SQL. Only the language stage has a test here; the others and run() have none.
 ORACLE_SQL = None
 
 
