@@ -1,20 +1,23 @@
 """N-gram Jaccard self-join of documents, exact, and the components that its links make.
 
 Method. The set of a text is reduced to 64-bit shingle hashes. Documents with one set form a class (size
-and 128 bits of fingerprint), so copies are never paired. Two classes that link share a shingle among
-each one's rarest ``n - ceil(t n) + 1`` (any one order of shingles makes this exact; ours puts shingles
-that are frequent by a fixed-size count sketch last). Classes that share such a shingle meet in a tile,
-split by size band. Each class proposes the tile centre that it meets most often; proposals are bounded
-by bitmap bit counts and then verified by intersecting the sorted sets. A second pass compares, by size
-and bitmap, only classes of one tile that the first pass left in different components, and verifies what
-the bound lets through. So no link that matters to a component is lost, while a group of near copies
-costs a number of comparisons in proportion to its size.
-
-Every link lies within a component. So the links are had by shipping each class of a component of three or
-more once (to each pair of blocks of about ``LINK_SHINGLES``, if the component is larger) and counting what
-every two sets share; a component of two classes is one verified pair. ``degrees`` adds links up where they
-are found, so a group of near copies gives rows in proportion to its size; ``links`` lists them all, as many
-as there are. Both are computed when they are asked for.
+and 128 bits of fingerprint), so copies are never paired.
+
+1. Which classes can link at all. A link with a set of n shares at least ``ceil(t n)`` of them, so among its
+   ``n - ceil(t n) + l`` first shingles (by hash, l about n / 8) it shares about 0.75 l with others' first ones.
+   These shingles are dealt by hash, every batch of 32 MB of text naming each of its shingles once, and only
+   the number of shared ones comes back. Classes below it, nearly all of a plain corpus, go no further.
+2. Tiles. The classes left name all their shingles; each learns how many of them name it. A class's shared
+   shingles are put in order of that number, rarest first; linked classes have one of the first
+   ``n - ceil(t n) + 1`` in common. A tile is such a shingle and a size band (sizes of a band differ by less than
+   the factor 1 / t; a class stands in its own band and the next). Tiles are joined into groups.
+3. Pairs. The classes of a group meet in one task; a group of over ``UNIT_SHINGLES`` is cut by size band into
+   blocks, and blocks of one band or of neighbouring bands meet in pairs. Within, hashed parity bitmaps bound
+   the overlap from above by bit counts, and what they let through is counted exactly from the sorted arrays.
+
+So every link is found whatever its component, texts travel only to be read, and the copies of a batch's common
+passage cost one record. Documented bound: the ids of step 2 are picked by a bit set of at most 32 MB, which
+lets more rows pass, and drops none, when more than 30 million classes are left.
 
 Defined cases: null or wordless text has an empty set, links with nothing and is its own component; a row
 with a null id takes no part and keeps component null; rows that repeat an id count as one document when
@@ -29,286 +32,354 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .components import connected_components
-from .shared import SKETCH_CELLS, add_sketches, id_filter, passing, sketch_rows, staged, with_columns
+from .components import connected_components, local_components
+from .shared import id_filter, in_filter, passing, spare, staged, unstage, with_columns
 
-#: Members of a tile that one task compares at once; a larger tile is dealt out as pairs of such blocks.
-TILE_ROWS = 20_000
-_SHIP_BYTES = 8 << 20
-#: Shingles of the classes in one block of a component; every two blocks of a component meet in one task.
-LINK_SHINGLES = 1 << 19
-_DIGEST = "id long, n long, fp long, fp2 long, bits binary, slice int, cells binary"
+#: Text of a batch whose classes are known by short numbers, and the most classes in one.
+BATCH_BYTES = 32 << 20
+BATCH_CLASSES = (1 << 16) - 2
+SLICE_ROWS = 1 << 14
+_NO_CREDIT = (1 << 16) - 1
+#: Shingles of a bucket, and classes and shingles of the classes that are compared in one task.
+BUCKET_SHINGLES = 4_000_000
+UNIT_CLASSES = 8192
+UNIT_SHINGLES = 1 << 19
 
 
 @dataclass
 class NgramJoin:
-    """documents: id, n_shingles, class_id (smallest id with the same set), component_id, class_key; links: all
-    linked pairs (a long, b long, shared long) of class keys; degrees: class_key, n_links of each class, the other
-    rows that each of its rows links with, those of its own class among them. The key is the class id, or, where
-    ids stand on several rows, a hash of the set. Wordless rows and rows with a null id have no key."""
+    """documents: id, n_shingles, class_id (smallest id with the same set), component_id, n_links (the other rows
+    that the row links with; 0 of a wordless text, null where the id is null) and text_component (a label of what
+    its own text reaches by links alone); links: all linked pairs (a long, b long, shared long) of different
+    sets, by class id, computed when asked for."""
 
     documents: DataFrame
     _links: Callable[[], DataFrame]
-    _degrees: Callable[[], DataFrame]
 
     @cached_property
     def links(self) -> DataFrame:
         return self._links()
 
-    @cached_property
-    def degrees(self) -> DataFrame:
-        return self._degrees()
 
-    def counted(self) -> DataFrame:
-        """``documents`` with n_links of each row: 0 of a wordless text, null where the id is null."""
-        rows = self.documents.join(self.degrees, "class_key", "left")
-        return rows.withColumn("n_links", F.when(F.col("component_id").isNotNull(), F.coalesce("n_links", F.lit(0))))
+def _fingerprints(sets: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    n = np.array([len(s) for s in sets], np.int64)
+    at = np.append(0, np.cumsum(n))
+    sums = np.append(np.uint64(0), np.cumsum(tk.mix(np.concatenate([*sets, np.zeros(0, np.uint64)]) ^ np.uint64(salt))))
+    return tk.mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def _digests(k: int):
-    make = with_columns([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("cells", pa.binary())])
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
+    """The least that a set of n shares with one it links with."""
+    return (percent * n + 99) // 100
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH_CELLS, np.int64)
-        for batch in batches:
-            for i, j, data, offs in tk.byte_slices(batch.column(1)):
-                sets = tk.shingle_sets(data, offs, k)
-                n = np.array([len(s) for s in sets])
-                whole = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                counts += np.bincount((whole & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS)
-                at = np.append(0, np.cumsum(n))
-                sums = np.append(np.uint64(0), np.cumsum(tk.mix(whole)))
-                other = np.append(np.uint64(0), np.cumsum(tk.mix(whole ^ np.uint64(0x5DEECE66D5DEECE6))))
-                fp, fp2 = (tk.mix(s[at[1:]] - s[at[:-1]] + n.astype(np.uint64)).view(np.int64) for s in (sums, other))
-                yield make(j - i, id=batch.column(0)[i:j], n=n, fp=fp, fp2=fp2, bits=[tk.bitmap(s).tobytes() if len(s) else None for s in sets])
-        rows = list(sketch_rows(counts))
-        if rows:
-            yield make(len(rows), slice=[r[0] for r in rows], cells=[r[1] for r in rows])
 
-    return run
+def _runs(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Indices of runs of given lengths that begin at given places."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
+
+
+def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values of a sorted array begin, and their lengths."""
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(key)))
+
 
+def _batch_key(seq: int) -> int:
+    context = TaskContext.get()
+    return ((context.partitionId() if context else 0) << 24) + seq
 
-def _prefixes(k: int, percent: int, level: np.ndarray, buckets: int):
-    """Each text's rarest shingles, dealt by hash: one row per bucket and about 8 MB of text."""
+
+_SCAN = [("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("batch", pa.int64()), ("place", pa.int32()), ("near", pa.int64()), ("bucket", pa.int64()), ("cells", pa.binary())]
+_SCAN_TYPE = "id long, n long, fp long, fp2 long, batch long, place int, near long, bucket long, cells binary"
+
+
+def _scan(k: int, percent: int, buckets: int):
+    """Rows (id, text): a digest of each row, with the shared shingles that its own batch knows of (near), and the
+    batch's first shingles by bucket (hash and place of the class; no place where the batch already knows)."""
+    make = with_columns(_SCAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, size = 0, 0
+        known: dict[tuple[int, int], int] = {}
+        first: list[np.ndarray] = []
         held: list[tuple] = []
-        size = 0
 
-        def ship() -> pa.RecordBatch:
-            h = np.concatenate([x[0] for x in held])
-            doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            fps = np.array([x[1] for x in held], np.int64)
-            ns = np.array([x[2] for x in held], np.uint32)
-            bucket = ((h >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
+        def ship() -> Iterator[pa.RecordBatch]:
+            batch = _batch_key(seq)
+            h = np.concatenate([*first, np.zeros(0, np.uint64)])
+            place = np.repeat(np.arange(len(first)), [len(x) for x in first])
+            order = np.argsort(h)
+            h, place = h[order], place[order]
+            at, length = _cuts(h)
+            many = np.repeat(length > 1, length)
+            near = np.bincount(place[many], minlength=len(first) + 1)
+            h, place = h[at], np.where(length > 1, _NO_CREDIT, place[at]).astype(np.uint16)
+            for ids, n, fp, fp2, where in held:
+                yield make(len(n), id=ids, n=n, fp=fp, fp2=fp2, batch=np.full(len(n), batch), place=where, near=near[where])
+            bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
-            h, doc, bucket = h[order], doc[order], bucket[order]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows: list[list] = [[], [], [], [], []]
-            for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
-                d = doc[a:b]
-                new = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                who = d[new]
-                for col, v in zip(rows, (int(bucket[a]), fps[who].tobytes(), ns[who].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), (h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()), strict=True):
-                    col.append(v)
-            return pa.record_batch([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["bucket", "fps", "ns", "runs", "hashes"])
-
-        met: set[int] = set()
+            h, place = (h[order] >> np.uint64(32)).astype(np.uint32), place[order]
+            at, length = _cuts(bucket := bucket[order])
+            for a in range(0, len(at), 4096):
+                spans = list(zip(at[a : a + 4096].tolist(), (at + length)[a : a + 4096].tolist(), strict=True))
+                yield make(len(spans), batch=np.full(len(spans), batch), bucket=bucket[at[a : a + 4096]], cells=[h[x:y].tobytes() + place[x:y].tobytes() for x, y in spans])
+
         for batch in batches:
-            for _, _, data, offs in tk.byte_slices(batch.column(0)):
+            for i, j, data, offs in tk.byte_slices(batch.column(1), rows=SLICE_ROWS):
+                if size >= BATCH_BYTES or len(first) + j - i > BATCH_CLASSES:
+                    yield from ship()
+                    seq, size, known, first, held = seq + 1, 0, {}, [], []
+                sets = tk.shingle_sets(data, offs, k)
+                n = np.array([len(s) for s in sets], np.int64)
+                fp, fp2 = _fingerprints(sets), _fingerprints(sets, 0x5DEECE66D5DEECE6)
+                ids = batch.column(0)[i:j]
+                keep = n - _need(n, percent) + np.maximum(1, n // 8)
+                where = np.full(j - i, -1, np.int32)
+                for r in np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & (n > 0)).tolist():
+                    key = int(fp[r]), int(fp2[r])
+                    if key not in known:
+                        known[key] = len(first)
+                        first.append(sets[r][: keep[r]])
+                    where[r] = known[key]
+                held.append((ids, n, fp, fp2, where))
                 size += len(data)
-                for s in tk.shingle_sets(data, offs, k):
-                    n = len(s)
-                    if not n:
-                        continue
-                    fp = int(tk.mix(np.array([tk.mix(s).sum() + np.uint64(n)]))[0].view(np.int64))
-                    if fp in met:  # copies in one task count once; copies elsewhere fall together in the tile
-                        continue
-                    if len(met) < 1_000_000:
-                        met.add(fp)
-                    keep = n - (percent * n + 99) // 100 + 1
-                    key = (level[(s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
-                    held.append((s[np.argsort(key, kind="stable")[:keep]], fp, n))
-                if size >= _SHIP_BYTES and held:
-                    yield ship()
-                    held, size = [], 0
         if held:
-            yield ship()
+            yield from ship()
 
     return run
 
 
-def _tiles(percent: int):
-    """Survivors (tile, fp, n): classes that share a rare shingle, each set of classes once; and proposals (fp, centre, w)."""
-    make = with_columns([("tile", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("centre", pa.int64()), ("w", pa.int64())])
+def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, bucket, cells): of each batch the places whose shingles other batches name too, one entry a shingle."""
+    hashes, places, owner, names = [], [], [], []
+    for batch in batches:
+        for name, bucket, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            count = len(cells) // 6
+            hashes.append(np.frombuffer(cells, np.uint32, count).astype(np.uint64) | np.uint64((bucket & 0xFFFFFFFF) << 32))
+            places.append(np.frombuffer(cells, np.uint16, count, 4 * count))
+            owner.append(np.full(count, len(names), np.int32))
+            names.append(name)
+    if not names:
+        return
+    h = np.concatenate(hashes)
+    hashes = []
+    order = np.argsort(h)
+    _, length = _cuts(h[order])
+    shared = order[np.repeat(length > 1, length)]
+    place, owner = np.concatenate(places)[shared], np.concatenate(owner)[shared]
+    fit = place != _NO_CREDIT
+    place, owner = place[fit], owner[fit]
+    order = np.argsort(owner, kind="stable")
+    place = place[order]
+    at, length = _cuts(owner := owner[order])
+    out = [(names[owner[a]], place[a : a + m].tobytes()) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+    for a in range(0, len(out), 4096):
+        yield pa.record_batch([pa.array([x[0] for x in out[a : a + 4096]], pa.int64()), pa.array([x[1] for x in out[a : a + 4096]], pa.binary())], ["batch", "cells"])
+
+
+def _judge(percent: int):
+    """Rows (id, n, fp, fp2, batch, place, near, cells) sorted by batch, credits first: digests with whether they can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, ns = [], [], []
+        batch_now, sums = None, np.zeros(_NO_CREDIT + 1, np.int64)
         for batch in batches:
-            cols = [batch.column(i) for i in range(5)]
-            for r in range(batch.num_rows):
-                runs = np.frombuffer(cols[3][r].as_buffer(), np.uint32)
-                keys.append(np.frombuffer(cols[4][r].as_buffer(), np.uint32).astype(np.uint64) | np.uint64((cols[0][r].as_py() & 0xFFFFFFFF) << 32))
-                fps.append(np.repeat(np.frombuffer(cols[1][r].as_buffer(), np.int64), runs))
-                ns.append(np.repeat(np.frombuffer(cols[2][r].as_buffer(), np.uint32), runs))
-        if not keys:
-            return
-        key, fp, n = np.concatenate(keys), np.concatenate(fps), np.concatenate(ns).astype(np.int64)
-        keys, fps, ns = [], [], []
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        same = key[1:] == key[:-1]
-        kept = order[np.append(same, False) | np.append(False, same)]
-        key, fp, n = (x for x in (key[np.append(same, False) | np.append(False, same)], fp[kept], n[kept]))
-        order = np.lexsort((fp, key))
-        key, fp, n = key[order], fp[order], n[order]
-        if not len(key):
-            return
-        once = np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
-        key, fp, n = key[once], fp[once], n[once]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(at, len(key)))
-        sig = tk.mix(np.add.reduceat(tk.mix(fp.view(np.uint64)), at) + sizes.astype(np.uint64))
-        several = np.flatnonzero(sizes > 1)
-        if not len(several):
-            return
-        uniq, first, weight = np.unique(sig[several], return_index=True, return_counts=True)
-        groups = several[first]
-        length = sizes[groups]
-        rows = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(at[groups], length)
-        tile, w, fp, n = np.repeat(uniq, length), np.repeat(weight, length), fp[rows], n[rows]
-        for a in range(0, len(tile), 100_000):
-            b = min(a + 100_000, len(tile))
-            yield make(b - a, tile=tile[a:b].view(np.int64), fp=fp[a:b], n=n[a:b])
-        band = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
-        order = np.lexsort((fp, band, tile))
-        tile, band, w, fp, n = tile[order], band[order], w[order], fp[order], n[order]
-        new = np.append(True, (tile[1:] != tile[:-1]) | (band[1:] != band[:-1]))
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        ok = np.flatnonzero((lead != np.arange(len(fp))) & (percent * np.maximum(n, n[lead]) <= 100 * np.minimum(n, n[lead])))
-        pairs = np.stack([fp[ok], fp[lead[ok]]], 1)
-        if len(pairs):
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs, w = pairs[order], w[ok][order]
-            new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(1)))
-            w = np.add.reduceat(w, new)
-            pairs = pairs[new]
-            for a in range(0, len(pairs), 100_000):
-                b = min(a + 100_000, len(pairs))
-                yield make(b - a, fp=pairs[a:b, 0], centre=pairs[a:b, 1], w=w[a:b])
+            names = batch.column("batch").to_numpy()
+            at, length = _cuts(names)
+            for a, m in zip(at.tolist(), length.tolist(), strict=True):
+                part = batch.slice(a, m)
+                if names[a] != batch_now:
+                    batch_now = names[a]
+                    sums[:] = 0
+                told = part.column("cells").is_valid().to_numpy(zero_copy_only=False)
+                for cells in part.column("cells").filter(pa.array(told)):
+                    np.add.at(sums, np.frombuffer(cells.as_buffer(), np.uint16), 1)
+                rest = part.filter(pa.array(~told))
+                if rest.num_rows:
+                    n = rest.column("n").to_numpy()
+                    place = rest.column("place").to_numpy()
+                    shared = rest.column("near").to_numpy() + sums[place]
+                    # A partner may be smaller and name fewer.
+                    least = np.maximum(1, _need(n, percent) // 8)
+                    keep = (place >= 0) & (n > 0) & (shared >= least)
+                    yield pa.record_batch([*(rest.column(c) for c in ("id", "n", "fp", "fp2")), pa.array(keep)], ["id", "n", "fp", "fp2", "keep"])
 
     return run
 
 
-def _screen(percent: int):
-    """Of rows (a, b, size and bitmap of a, of b) the pairs that sizes and bit counts allow."""
+_CLASSES = "batch long, fps binary, ns binary, hashes binary"
+
+
+def _class_rows(k: int):
+    """Rows (id, text) of representatives: batches of classes, each with all its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, size, met, held = 0, 0, set(), []
+
+        def ship() -> pa.RecordBatch:
+            return pa.record_batch(
+                [pa.array([_batch_key(seq)], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array([x[0] for x in held], np.int64).tobytes(), np.array([len(x[1]) for x in held], np.int64).tobytes(), np.concatenate([x[1] for x in held]).tobytes()))],
+                ["batch", "fps", "ns", "hashes"],
+            )
+
         for batch in batches:
-            na, nb = (batch.column(i).to_pylist() for i in (2, 4))
-            marks = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(i)] for i in (3, 5)]
-            fit = [tk.linked(tk.overlap_bound(m, n, x, y), m, n, percent) for m, n, x, y in zip(na, nb, *marks, strict=True)]
-            if any(fit):
-                yield batch.select([0, 1]).filter(pa.array(fit))
+            for _, _, data, offs in tk.byte_slices(batch.column(1)):
+                sets = tk.shingle_sets(data, offs, k)
+                for fp, s in zip(_fingerprints(sets).tolist(), sets, strict=True):
+                    if len(s) and fp not in met:
+                        met.add(fp)
+                        held.append((fp, s))
+                        size += 8 * len(s)
+                if size >= BATCH_BYTES // 2:
+                    yield ship()
+                    seq, size, met, held = seq + 1, 0, set(), []
+        if held:
+            yield ship()
 
     return run
 
 
-def _verify(k: int, percent: int):
-    """Rows (a, b, text of a, text of b): bit counts first, then the sorted sets' intersection."""
+def _unpack(fps: bytes, ns: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(fps, np.int64), np.frombuffer(ns, np.int64), np.frombuffer(hashes, np.uint64)
+
+
+def _ask(buckets: int):
+    """Each batch's distinct shingles with the number of its classes that hold them, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = []
-            right = batch.column(3)
-            for i, j, data, offs in tk.byte_slices(batch.column(2)):
-                left = tk.shingle_sets(data, offs, k)
-                marks: dict[int, np.ndarray] = {}
-                for i2, j2, data2, offs2 in tk.byte_slices(right[i:j]):
-                    for r, y in enumerate(tk.shingle_sets(data2, offs2, k), i2):
-                        x = left[r]
-                        if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
-                            continue
-                        if r not in marks:
-                            marks[r] = tk.bitmap(x)
-                        if tk.linked(tk.overlap_bound(len(x), len(y), marks[r], tk.bitmap(y)), len(x), len(y), percent):
-                            both = np.sort(np.concatenate([x, y]))
-                            shared = int((both[1:] == both[:-1]).sum())
-                            if tk.linked(shared, len(x), len(y), percent):
-                                found.append((ends[0][i + r], ends[1][i + r], shared))
-            if found:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "shared"])
+            for name, fps, ns, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, count = np.unique(_unpack(fps, ns, hashes)[2], return_counts=True)
+                bucket = (h % np.uint64(buckets)).astype(np.uint32)
+                order = np.argsort(bucket, kind="stable")
+                h, count, bucket = h[order], count[order].astype(np.uint32), bucket[order]
+                at, length = _cuts(bucket)
+                for a in range(0, len(at), 4096):
+                    spans = list(zip(at[a : a + 4096].tolist(), (at + length)[a : a + 4096].tolist(), strict=True))
+                    yield pa.record_batch([pa.array(bucket[at[a : a + 4096]], pa.int64()), pa.array([name] * len(spans), pa.int64()), pa.array([h[x:y].tobytes() + count[x:y].tobytes() for x, y in spans], pa.binary())], ["bucket", "batch", "cells"])
 
     return run
 
 
-def _compare(percent: int, best: bool):
-    """Within each tile (rows sorted by tile and size) the pairs of different components that size and bit
-    counts allow; with ``best`` only each member's partner of the highest bound."""
-
-    def pairs_of(n: np.ndarray, label: np.ndarray, ids: np.ndarray, bits: list[np.ndarray], block: np.ndarray, here: int, tiles: list[set[int]]) -> Iterator[tuple[int, int]]:
-        one_block = block.min() == block.max()
-        width = np.array([len(b) for b in bits])
-        folded: dict[int, np.ndarray] = {}
-        for i in range(len(n) - (not best)):
-            end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            js = np.arange(i, end)
-            js = js[(label[js] != label[i]) & (ids[js] != ids[i])]
-            if not one_block:
-                js = js[block[js] != block[i]]
-            if not len(js):
-                continue
-            w = int(width[i])
-            if w not in folded:
-                folded.clear()
-                folded[w] = np.zeros((len(n), w), np.uint8)
-                fit = np.flatnonzero(width >= w)
-                for f in fit:
-                    folded[w][f] = tk.fold(bits[f], w)
-            apart = np.bitwise_count(folded[w][js] ^ bits[i]).sum(1, dtype=np.int64)
-            bound = (n[i] + n[js] - apart) // 2
-            fit = 100 * bound >= percent * (n[i] + n[js] - bound)
-            if best and fit.any():
-                js = js[[np.argmax(np.where(fit, bound / (n[i] + n[js] - bound), -1))]]
-            else:
-                js = js[fit]
-            for j in js:
-                if not best and min(tiles[i] & tiles[j]) != here:  # a pair that shares tiles is told once
-                    continue
-                yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each batch those of its shingles that more than one class holds, with a level that grows with their number."""
+    hashes, counts, owner, names = [], [], [], []
+    for batch in batches:
+        for name, cells in zip(batch.column("batch").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            m = len(cells) // 12
+            hashes.append(np.frombuffer(cells, np.uint64, m))
+            counts.append(np.frombuffer(cells, np.uint32, m, 8 * m))
+            owner.append(np.full(m, len(names), np.int32))
+            names.append(name)
+    if not names:
+        return
+    h = np.concatenate(hashes)
+    hashes = []
+    order = np.argsort(h)
+    h = h[order]
+    at, length = _cuts(h)
+    total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), at)
+    level = np.repeat(np.minimum(255, np.floor(6 * np.log2(total))).astype(np.uint8), length)
+    fit = np.flatnonzero(level > 0)
+    h, level, owner = h[fit], level[fit], np.concatenate(owner)[order[fit]]
+    order = np.argsort(owner, kind="stable")
+    h, level = h[order], level[order]
+    at, length = _cuts(owner := owner[order])
+    out = [(names[owner[a]], h[a : a + m].tobytes() + level[a : a + m].tobytes()) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+    for a in range(0, len(out), 1024):
+        yield pa.record_batch([pa.array([x[0] for x in out[a : a + 1024]], pa.int64()), pa.array([x[1] for x in out[a : a + 1024]], pa.binary())], ["batch", "cells"])
+
+
+_TILES = [("fp", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("root", pa.int64()), ("bucket", pa.int64()), ("tiles", pa.binary())]
+_TILES_TYPE = "fp long, n long, hashes binary, root long, bucket long, tiles binary"
+
+
+def _tiles(percent: int, buckets: int):
+    """Rows (batch, cells, fps, ns, hashes) sorted by batch: the classes that still can link, with their shared
+    shingles; the class each is grouped with (root); and the tiles of each root, by bucket."""
+    make = with_columns(_TILES)
+
+    def of_batch(answers: list[bytes], classes: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not classes or not answers:
+            return
+        sizes = [len(x) // 9 for x in answers]
+        key = np.concatenate([np.frombuffer(x, np.uint64, m) for x, m in zip(answers, sizes, strict=True)])
+        level = np.concatenate([np.frombuffer(x, np.uint8, m, 8 * m) for x, m in zip(answers, sizes, strict=True)])
+        order = np.argsort(key)
+        key, level = key[order], level[order]
+        fps, ns, hashes = (np.concatenate(x) for x in zip(*(_unpack(*c) for c in classes), strict=True))
+        row = np.repeat(np.arange(len(fps)), ns)
+        at = np.minimum(np.searchsorted(key, hashes), len(key) - 1)
+        fit = key[at] == hashes
+        row, hashes, rank = row[fit], hashes[fit], level[at[fit]]
+        shared = np.bincount(row, minlength=len(fps))
+        alive = shared >= _need(ns, percent)
+        fit = alive[row]
+        row, hashes, rank = row[fit], hashes[fit], rank[fit]
+        # Of the first n - need + 1 shingles the ones that nobody shares come first.
+        slots = ns - _need(ns, percent) + 1 - (ns - shared)
+        order = np.lexsort((hashes, rank, row))
+        begin = np.append(0, np.cumsum(np.bincount(row, minlength=len(fps))))
+        first = order[np.arange(len(row)) - begin[row[order]] < slots[row[order]]]
+        band = np.floor(np.log(np.maximum(ns, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+        who = np.repeat(row[first], 2)
+        tile = tk.mix(np.repeat(hashes[first], 2) + (np.repeat(band[row[first]], 2) + np.tile([0, 1], len(first))).astype(np.uint64))
+        order = np.argsort(tile, kind="stable")
+        tile, who = tile[order], who[order]
+        at, length = _cuts(tile)
+        root = local_components(who, np.repeat(who[at], length), len(fps))
+        live = np.flatnonzero(alive)
+        for a in range(0, len(live), 4096):
+            rows = live[a : a + 4096]
+            yield make(len(rows), fp=fps[rows], n=ns[rows], root=fps[root[rows]], hashes=[hashes[begin[r] : begin[r + 1]].tobytes() for r in rows])
+        tile, owner = tile[at], fps[root[who[at]]]
+        bucket = (tile % np.uint64(buckets)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        tile, owner, bucket = tile[order], owner[order], bucket[order]
+        at, length = _cuts(bucket)
+        spans = list(zip(at.tolist(), (at + length).tolist(), strict=True))
+        for a in range(0, len(spans), 4096):
+            yield make(len(spans[a : a + 4096]), bucket=bucket[at[a : a + 4096]], tiles=[tile[x:y].tobytes() + owner[x:y].tobytes() for x, y in spans[a : a + 4096]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows = None, []
-
-        def done() -> set[tuple[int, int]]:
-            if len(rows) < 2:
-                return set()
-            rows.sort(key=lambda r: r[0])
-            n, label, ids, block = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2, 4))
-            return set(pairs_of(n, label, ids, [np.frombuffer(r[3], np.uint8) for r in rows], block, rows[0][5], [set(r[6]) for r in rows]))
-
-        out: set[tuple[int, int]] = set()
+        now, answers, classes = None, [], []
         for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != tile:
-                    out |= done()
-                    tile, rows = t, []
-                    if len(out) > 50_000:
-                        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-                        out = set()
-                rows.append(row)
-        out |= done()
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            for name, cells, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    yield from of_batch(answers, classes)
+                    now, answers, classes = name, [], []
+                if cells is None:
+                    classes.append(row)
+                else:
+                    answers.append(cells)
+        yield from of_batch(answers, classes)
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tiles): edges (a, b) between the roots that share a tile."""
+    tiles, roots = [], []
+    for batch in batches:
+        for cells in batch.column(0):
+            m = len(cells.as_buffer()) // 16
+            tiles.append(np.frombuffer(cells.as_buffer(), np.uint64, m))
+            roots.append(np.frombuffer(cells.as_buffer(), np.int64, m, 8 * m))
+    if tiles:
+        tile, root = np.concatenate(tiles), np.concatenate(roots)
+        order = np.argsort(tile, kind="stable")
+        names, code = np.unique(root[order], return_inverse=True)
+        at, length = _cuts(tile[order])
+        label = local_components(code, np.repeat(code[at], length), len(names))
+        apart = np.flatnonzero(label != np.arange(len(names)))
+        if len(apart):
+            yield pa.record_batch([pa.array(names[apart]), pa.array(names[label[apart]])], ["a", "b"])
+
+
 def _shared_counts(sets: list[np.ndarray], left: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i, counts): how many elements the sets from i on share with each set, for the first ``left`` sets.
     Elements of many sets are counted by a matrix product, the others along their lists of sets."""
@@ -329,189 +400,228 @@ def _shared_counts(sets: list[np.ndarray], left: int) -> Iterator[tuple[int, np.
         b = min(left, max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + 2_000_000, "right"))))
         lo, hi = np.searchsorted(row, [a, b])
         n = length[lo:hi]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lo:hi], n)
-        rare = np.bincount(np.repeat(row[lo:hi] - a, n) * m + posts[at], minlength=(b - a) * m).reshape(b - a, m)
+        rare = np.bincount(np.repeat(row[lo:hi] - a, n) * m + posts[_runs(n, first[lo:hi])], minlength=(b - a) * m).reshape(b - a, m)
         yield a, rare + (dense[a:b] @ dense.T).astype(np.int64)
         a = b
 
 
-def _within(k: int, percent: int, each: bool):
-    """Rows sorted by (component, lo, hi): key, copies, whether the class is of block hi, text. All links within a
-    block (lo = hi) or between two: each pair (a, b, shared), or the rows that each class links with (key, links)."""
-
-    def links_of(keys: np.ndarray, copies: np.ndarray, far: np.ndarray, texts: list, across: bool) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((keys, far))
-        keys, copies, far = keys[order], copies[order], far[order]
-        sets: list[np.ndarray] = []
-        for _, _, data, offs in tk.byte_slices(pa.array([texts[i] for i in order], pa.large_string())):
-            sets += tk.shingle_sets(data, offs, k)
-        n = np.array([len(s) for s in sets])
+def _admitted(sets: list[np.ndarray], n: np.ndarray, far: np.ndarray, left: int, across: bool, percent: int) -> np.ndarray:
+    """For the first ``left`` sets against all: whether sizes and the bit counts of bitmaps admit a link, each pair once."""
+    m = len(sets)
+    width = min(1 << 13, max(tk.bitmap_width(len(s)) for s in sets))
+    marks = np.zeros((m, width // 64), np.uint64)
+    row = np.repeat(np.arange(m), own := np.array([len(s) for s in sets]))
+    odd = np.bincount(row * width + ((np.concatenate(sets) >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64), minlength=m * width) & 1 if m * width <= 1 << 22 else None
+    if odd is not None:
+        marks = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(m, -1)
+    else:
+        for r, s in enumerate(sets):
+            bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+            marks[r] = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+    fit = np.zeros((left, m), bool)
+    step = max(1, (1 << 22) // max(1, m * marks.shape[1]))
+    for a in range(0, left, step):
+        b = min(left, a + step)
+        apart = np.bitwise_count(marks[a:b, None] ^ marks[None]).sum(2, dtype=np.int64)
+        bound = (own[a:b, None] + own - apart) // 2
+        fit[a:b] = 100 * bound >= percent * (n[a:b, None] + n - bound)
+    if across:
+        return fit & far
+    return fit & (np.arange(left)[:, None] < np.arange(m))
+
+
+def _within(percent: int, each: bool):
+    """Rows sorted by unit: key, copies, whether the class is of the second block, whether there are two, whether the
+    unit is a whole group, size, shared shingles. All links of a unit: each pair (a, b, shared), or for each class the rows that it links
+    with and the smallest key that it reaches here (key, links, label, whole)."""
+
+    def links_of(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: (r[2], r[0]))
+        keys, copies, n = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 5))
+        far, across = np.array([r[2] for r in rows], bool), rows[0][3]
+        left = int((~far).sum())
+        if across and left in (0, len(rows)):
+            return
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        fit = _admitted(sets, n, far, left if across else len(rows), across, percent)
+        some = np.flatnonzero(fit.any(0) | np.append(fit.any(1), np.zeros(len(rows) - len(fit), bool)))
+        found = []
+        if len(some):
+            within = int(np.searchsorted(some, len(fit)))
+            for a, shared in _shared_counts([sets[r] for r in some], within):
+                mine = some[a : a + len(shared)]
+                ok = fit[np.ix_(mine, some)] & (100 * shared >= percent * (n[mine, None] + n[some] - shared))
+                i, j = np.nonzero(ok)
+                found.append((mine[i], some[j], shared[i, j]))
+        i, j, shared = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        if each:
+            for a in range(0, len(i), 50_000):
+                x, y = keys[i[a : a + 50_000]], keys[j[a : a + 50_000]]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(shared[a : a + 50_000])], ["a", "b", "shared"])
+            return
         links = np.zeros(len(keys), np.int64)
-        for a, shared in _shared_counts(sets, int((~far).sum())):
-            fit = 100 * shared >= percent * (n[a : a + len(shared), None] + n - shared)
-            i, j = np.nonzero(fit)
-            shared = shared[i, j]
-            i += a
-            one = far[j] if across else i < j
-            i, j, shared = i[one], j[one], shared[one]
-            if each and len(i):
-                yield pa.record_batch([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j])), pa.array(shared)], ["a", "b", "shared"])
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-        if not each and links.any():
-            yield pa.record_batch([pa.array(keys[links > 0]), pa.array(links[links > 0])], ["key", "links"])
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
+        label = local_components(i, j, len(keys))
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, keys)
+        linked = np.flatnonzero(links)
+        if len(linked):
+            yield pa.record_batch([pa.array(keys[linked]), pa.array(links[linked]), pa.array(least[label[linked]]), pa.array([rows[0][4]] * len(linked), pa.bool_())], ["key", "links", "label", "whole"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            across = bool(group) and group[1] != group[2]
-            far = np.array([r[2] for r in rows], bool)
-            if len(rows) > 1 and (not across or 0 < far.sum() < len(far)):
-                yield from links_of(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), far, [r[3] for r in rows], across)
-
+        unit, rows = None, []
         for batch in batches:
-            for c, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (c, lo, hi) != group:
-                    yield from done()
-                    group, rows = (c, lo, hi), []
+            for u, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if u != unit:
+                    if len(rows) > 1:
+                        yield from links_of(rows)
+                    unit, rows = u, []
                 rows.append(row)
-        yield from done()
+        if len(rows) > 1:
+            yield from links_of(rows)
 
     return run
 
 
-def _keyed(k: int):
-    """Rows (id, text) with the first half of their set's fingerprint: (id, key, text)."""
+def _units(groups: DataFrame, percent: int) -> DataFrame:
+    """Rows (group, fp, n, copies, hashes) dealt to units: a whole group, or two blocks of one or neighbouring bands."""
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    rows = groups.withColumn("band", band)
+    sums = rows.groupBy("group", "band").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("m") / (UNIT_CLASSES / 2)), F.ceil(F.col("s") / (UNIT_SHINGLES / 2))).cast("int")
+    # As many entries as there are bands, some fifty.
+    sizes = sums.withColumn("blocks", blocks).groupBy("group").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    sizes = sizes.filter("m > 1").select("group", "blocks", ((F.col("m") <= UNIT_CLASSES) & (F.col("s") <= UNIT_SHINGLES)).alias("whole"))
+    rows = rows.join(sizes, "group")
+    whole = rows.filter("whole").select(F.xxhash64("group").alias("unit"), "fp", "copies", F.lit(False).alias("far"), F.lit(False).alias("across"), "whole", "n", "hashes")
+    own = F.struct("band", F.pmod(F.xxhash64("fp"), F.col("blocks")[F.col("band")]).cast("int").alias("block"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offs in tk.byte_slices(batch.column(1)):
-                fp = [tk.mix(np.array([tk.mix(s).sum() + np.uint64(len(s))]))[0].view(np.int64) for s in tk.shingle_sets(data, offs, k)]
-                yield pa.record_batch([batch.column(0)[i:j], pa.array(fp, pa.int64()), batch.column(1)[i:j]], ["id", "key", "text"])
+    def blocks_of(step: int) -> Column:
+        count = F.coalesce(F.col("blocks")[F.col("band") + step], F.lit(0))
+        told = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct((F.col("band") + step).alias("band"), (i - 1).cast("int").alias("block")))
+        return F.when(count > 0, told).otherwise(F.array().cast("array<struct<band:int,block:int>>"))
+
+    reach = [blocks_of(step) for step in (-1, 0, 1)]
+    cut = rows.filter("not whole").withColumn("own", own).withColumn("other", F.explode(F.concat(*reach)))
+    cut = cut.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "fp", "copies", (F.col("own") > F.col("other")).alias("far"), (F.col("own") != F.col("other")).alias("across"), "whole", "n", "hashes")
+    return whole.unionByName(cut)
 
-    return run
+
+def _tied(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """(label, least), where an id that stands on texts of several components makes them one."""
+    ends = rows.filter("id is not null and label is not null").select("id", "label").distinct()
+    low = ends.groupBy("id").agg(F.min("label").alias("low"))
+    wide = connected_components(ends.join(low, "id").select(F.col("label").alias("a"), F.col("low").alias("b")))
+    least = least.join(staged(wide, "ngram-wide").toDF("label", "wide"), "label", "left").withColumn("wide", F.coalesce("wide", "label"))
+    return least.select("label", "wide").join(least.groupBy("wide").agg(F.min("least").alias("least")), "wide").select("label", "least")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = tk.SHINGLE_WORDS, percent: int = 75) -> NgramJoin:
     """Links rows whose shingle sets have a Jaccard similarity of at least ``percent`` / 100; see the module."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = staged(source.mapInArrow(_digests(words), _DIGEST), "ngram-digests")
-    digests = first.filter("slice is null")
-    counts = add_sketches(first.filter("slice is not null"))
-    level = np.minimum(63, np.floor(2 * np.log2(counts + 1))).astype(np.uint64)
-    level = (level - min(level.min(), np.uint64(1))) if len(level) else level
-
-    # Where no id repeats, the smallest id of a class names it; else the hash that its tiles know it by.
-    repeats = docs_repeat(first)
-    classes = digests.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
-    classes = staged(classes.withColumn("key", F.col("fp" if repeats else "id")), "ngram-classes")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = source.filter("id is not null").select("text").mapInArrow(_prefixes(words, percent, level, buckets), "bucket long, fps binary, ns binary, runs binary, hashes binary")
-    met = staged(tokens.repartition("bucket").mapInArrow(_tiles(percent), "tile long, fp long, n long, centre long, w long"), "ngram-tiles")
-    members = met.filter("tile is not null").select("tile", "fp").distinct()
-
-    # One centre for each class: that which it shares most tiles with.
-    best = met.filter("centre is not null").groupBy("fp", "centre").agg(F.sum("w").alias("w")).groupBy("fp").agg(F.max(F.struct("w", F.negative("centre").alias("c"))).alias("m")).select("fp", F.negative("m.c").alias("centre"))
-    keys = classes.select("fp", "key")
-    stars = best.join(keys, "fp").join(keys.select(F.col("fp").alias("centre"), F.col("key").alias("other")), "centre").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).filter("a <> b").distinct()
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(key, text) of the classes with these keys and, by collision, of some others."""
-        if not repeats:
-            return passing(source, id_filter(wanted)).withColumnRenamed("id", "key")
-        named = passing(classes.select(F.col("key").alias("id"), F.col("id").alias("doc")), id_filter(wanted)).toDF("key", "id")
-        found = passing(source, id_filter(named.select("id"))).mapInArrow(_keyed(words), "id long, key long, text string")
-        return found.join(named, ["key", "id"]).groupBy("key").agg(F.min("text").alias("text"))
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        # Bitmaps are a small part of the texts: most pairs fall before any text travels.
-        marks = passing(classes.select(F.col("key").alias("id"), "n", "bits"), id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-        both = pairs.join(marks.toDF("a", "na", "ba"), "a").join(marks.toDF("b", "nb", "bb"), "b")
-        return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(_screen(percent), "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # Only texts of documents in a pair travel: a bit set of fixed size drops most others before the joins.
-        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long, shared long")
-
-    stars = staged(stars, "ngram-stars")
-    near = staged(verified(staged(screened(stars), "ngram-screened")), "ngram-links")
-    label = staged(connected_components(near), "ngram-labels")
-
-    # What the first pass left apart though it shares a tile: first each class's likeliest partner in its
-    # largest open tile, then, among the components that are still apart, whatever the bounds let through.
-    tried = stars
-    for best in (True, False):
-        nodes = keys.join(label, keys["key"] == label["node"], "left").select("fp", F.col("key").alias("id"), F.coalesce("component", "key").alias("label"))
-        tagged = members.join(nodes, "fp")
-        apart = tagged.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("tile", "m", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("blocks"))
-        open_tiles = tagged.join(apart, "tile")
-        if best:
-            open_tiles = open_tiles.groupBy("id").agg(F.max_by(F.struct("tile", "blocks", "label"), F.struct("m", "tile")).alias("x")).select("id", "x.*").withColumn("tiles", F.array("tile"))
-        else:
-            # At most as many tiles as the class has rare shingles.
-            open_tiles = open_tiles.select("id", "tile", "blocks", "label").join(open_tiles.groupBy("id").agg(F.collect_set("tile").alias("tiles")), "id")
-        open_tiles = open_tiles.join(classes.select(F.col("key").alias("id"), "n", "bits"), "id")
-        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        home = F.col("block") == F.col("with")
-        dealt = (
-            open_tiles.withColumn("block", block)
-            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            # A pair of blocks compares across; a block with itself compares within.
-            .select(F.xxhash64("tile", F.least("block", "with"), F.greatest("block", "with")).alias("t"), "n", "label", "id", "bits", F.when(home, F.lit(0)).otherwise(F.col("block")).alias("block"), "tile", "tiles")
-        )
-        late = dealt.repartition("t").sortWithinPartitions("t").mapInArrow(_compare(percent, best), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        if best:
-            tried = tried.union(late := staged(late, "ngram-late"))
-        else:
-            late = staged(late, "ngram-late")
-        more = staged(verified(late), "ngram-links")
-        if not more.take(1):
-            continue
-        near = staged(near.union(more), "ngram-links")
-        label = staged(connected_components(near), "ngram-labels")
-
-    final = classes.join(label, F.col("key") == F.col("node"), "left").select("fp", "fp2", "n", F.col("id").alias("class_id"), F.col("key").alias("class_key"), F.coalesce("component", "key").alias("component_id"))
-    if repeats:
-        final = final.join(final.groupBy("component_id").agg(F.min("class_id").alias("least")), "component_id").drop("component_id").withColumnRenamed("least", "component_id")
-    known = F.col("id").isNotNull()
-    out = digests.join(final, ["fp", "fp2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("class_id", "id")).alias("class_id"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"), F.when(known, F.col("class_key")).alias("class_key"))
-
-    parts = label.join(classes, F.col("node") == F.col("key")).select("key", "component", "n", "copies")
-    size = parts.groupBy("component").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / LINK_SHINGLES).cast("int").alias("blocks"))
-    couples = near.dropDuplicates(["a", "b"]).join(parts.join(size.filter("m = 2"), "component").select(F.col("key").alias("a")), "a", "left_semi")
-    block, other = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    groups = parts.join(size.filter("m > 2"), "component").select("component", "key", "copies", block.alias("block"), "blocks").withColumn("other", other)
-    groups = groups.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "copies", (F.col("block") > F.col("other")).alias("far"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    # 1. Which classes can link at all. A shingle takes some six bytes of text, and three eighths are named.
+    text_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts, text_bytes // (16 * BUCKET_SHINGLES))
+    scanned = staged(source.mapInArrow(_scan(words, percent, buckets), _SCAN_TYPE), "ngram-scan")
+    credits = scanned.filter("bucket is not null").select("batch", "bucket", "cells").repartition(buckets, "bucket").mapInArrow(_credits, "batch long, cells binary")
+    rows = scanned.filter("bucket is null").select("id", "n", "fp", "fp2", "batch", "place", "near", F.lit(None).cast("binary").alias("cells"))
+    told = credits.select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "n", "fp", "fp2")), "batch", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("near"), "cells")
+    judged = rows.unionByName(told).repartition("batch").sortWithinPartitions("batch", F.col("cells").isNull())
+    digests = staged(judged.mapInArrow(_judge(percent), "id long, n long, fp long, fp2 long, keep boolean"), "ngram-digests")
+    unstage(scanned)
+    classes = digests.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("keep").alias("keep"))
+    classes = staged(classes, "ngram-classes")
+
+    # 2. Tiles of the classes that are left.
+    left = classes.filter("keep")
+    count, shingles = left.agg(F.count("*"), F.sum("n")).first()
+    buckets = max(parts, (shingles or 0) // BUCKET_SHINGLES)
+    sets = staged(passing(source, id_filter(left.select("id"), count)).mapInArrow(_class_rows(words), _CLASSES), "ngram-sets")
+    asked = sets.mapInArrow(_ask(buckets), "bucket long, batch long, cells binary")
+    answers = asked.repartition(buckets, "bucket").mapInArrow(_answer, "batch long, cells binary")
+    none = F.lit(None).cast("binary")
+    both = sets.select("batch", none.alias("cells"), "fps", "ns", "hashes").unionByName(answers.select("batch", "cells", none.alias("fps"), none.alias("ns"), none.alias("hashes")))
+    tiles = staged(both.repartition("batch").sortWithinPartitions("batch").mapInArrow(_tiles(percent, buckets), _TILES_TYPE), "ngram-tiles")
+    unstage(sets)
+    roots = tiles.filter("bucket is null")
+    edges = tiles.filter("bucket is not null").select("bucket", "tiles").repartition(buckets, "bucket").select("tiles").mapInArrow(_joined, "a long, b long")
+    group = connected_components(edges).toDF("root", "group")
+
+    # 3. Pairs of each group.
+    named = roots.select("fp", "n", "hashes", "root").join(group, "root", "left").withColumn("group", F.coalesce("group", "root"))
+    groups = named.join(classes.select("fp", "copies"), "fp").select("group", "fp", "n", "copies", "hashes").dropDuplicates(["fp"])
+    groups = staged(groups, "ngram-groups")
+    unstage(tiles)
+    units = staged(_units(groups, percent), "ngram-units")
+    unstage(groups)
 
     def within(each: bool, schema: str) -> DataFrame:
-        fixed = staged(groups, "ngram-groups")
-        dealt = fixed.join(texts_of(fixed.select("key")), "key").select("component", "lo", "hi", "key", "copies", "far", "text")
-        return dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_within(words, percent, each), schema)
+        return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_within(percent, each), schema)
+
+    found = staged(within(False, "key long, links long, label long, whole boolean"), "ngram-links")
+    sums = found.groupBy("key").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("label"))).alias("label"))
+    cut = found.filter("not whole").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    named = classes.join(sums, F.col("fp") == F.col("key"), "left").drop("key")
+    if cut.take(1):
+        named = named.join(connected_components(cut).toDF("node", "wide"), F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("wide", "label")).drop("node", "wide")
+    named = named.select("fp", "fp2", "n", "copies", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "fp").alias("label"))
+
+    rows = digests.join(named, ["fp", "fp2", "n"], "left").select("id", "n", "fp", "class_id", "copies", "links", "label")
+    least = named.groupBy("label").agg(F.min("class_id").alias("least"))
+    several = digests.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
+    if several.take(1):
+        least = _tied(rows, least)
+    rows = rows.join(least, "label", "left").withColumn("least", F.coalesce("least", "id"))
+    if several.take(1):  # a wordless text follows the other texts of its id
+        rows = rows.join(rows.join(several, "id", "left_semi").groupBy("id").agg(F.min("least").alias("mine")), "id", "left").withColumn("least", F.least("least", "mine"))
+    known = F.col("id").isNotNull()
+    out = rows.select(
+        "id",
+        F.col("n").alias("n_shingles"),
+        F.when(known, F.coalesce("class_id", "id")).alias("class_id"),
+        F.when(known, F.col("least")).alias("component_id"),
+        F.when(known, F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0))).alias("n_links"),
+        F.when(known, F.col("label")).alias("text_component"),
+        F.col("fp").alias("text_key"),
+    )
 
     def links() -> DataFrame:
-        return couples.select("a", "b", "shared").union(within(True, "a long, b long, shared long"))
-
-    def degrees() -> DataFrame:
-        copies = classes.select("key", "copies")
-        two = couples.join(copies.toDF("a", "ca"), "a").join(copies.toDF("b", "cb"), "b").select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("cb").alias("links")), F.struct(F.col("b").alias("key"), F.col("ca").alias("links")))).alias("x")).select("x.*")
-        sums = two.union(within(False, "key long, links long")).groupBy("key").agg(F.sum("links").alias("links"))
-        return copies.join(sums, "key", "left").select(F.col("key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-
-    return NgramJoin(out.withColumnRenamed("id", id_col), links, degrees)
-
+        names = classes.select(F.col("fp").alias("key"), "id")
+        pairs = within(True, "a long, b long, shared long").join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
+
+    return NgramJoin(out.withColumnRenamed("id", id_col), links)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = tk.SHINGLE_WORDS, percent: int = 75) -> DataFrame:
+    """One row of each group of linked texts: that with the smallest id. Decided by row: another text under the same id
+    stays if its own text is linked with none that goes before it. Rows with a null id and wordless rows stay; of
+    rows that repeat id and text one stays. Only rows whose id is among those that lose a row are shuffled."""
+    rows = ngram_jaccard_join(docs, id_col, text_col, words, percent).documents.filter("text_component is not null").select(F.col(id_col).alias("id"), "text_component", F.col("text_key").alias("key"))
+    rows = rows.groupBy("id", "key", "text_component").agg(F.count("*").alias("times"))
+    first = rows.groupBy("text_component").agg(F.min(F.struct("id", "key")).alias("first"))
+    judged = rows.join(first, "text_component").select("id", "key", (F.struct("id", "key") == F.col("first")).alias("stays"), "times")
+    judged = staged(judged.filter("not stays or times > 1"), "ngram-judged")
+    hit = in_filter(id_filter(judged.select("id"), judged.count()))(F.col(id_col).cast("long"))
+    row_id, key, ident, text_key, stays = (spare(docs, x) for x in ("row_id", "key", "ident", "text_key", "stays"))
+    names = docs.columns
+    touched = docs.filter(hit).withColumn(row_id, F.col(id_col).cast("long")).withColumn(key, _text_key(words)(F.col(text_col).cast("string")))
+    judged = judged.toDF(ident, text_key, stays, "times").drop("times")
+    decided = touched.join(judged, (F.col(row_id) == F.col(ident)) & (F.col(key) == F.col(text_key)), "left")
+    plain, repeated = decided.filter(F.col(stays).isNull()), decided.filter(F.col(stays)).dropDuplicates([row_id, key])
+    return docs.filter(~hit).unionByName(plain.select(*names)).unionByName(repeated.select(*names))
+
+
+def _text_key(k: int):
+    """The first half of the fingerprint of a text's set."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [_fingerprints(tk.shingle_sets(data, offs, k)) for _, _, data, offs in tk.byte_slices(texts)]
+        return pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64())
 
-def docs_repeat(first: DataFrame) -> bool:
-    """Whether some id stands on several rows."""
-    ids = first.filter("slice is null and id is not null").groupBy("id").count().filter("count > 1")
-    return len(ids.take(1)) > 0
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component; rows with a null id stay."""
-    same = ngram_jaccard_join(docs, id_col, text_col).documents
-    gone = same.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return run

@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(_read(spark, sf_dir, "documents")).counted().select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    return ngram_join.ngram_jaccard_join(_read(spark, sf_dir, "documents")).documents.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

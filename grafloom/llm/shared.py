@@ -7,6 +7,7 @@ so a lost executor costs a re-read and never the data.
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Counters of a sketch and the slices in which they travel; 2**18 counters are 2 MB whatever the input.
 SKETCH_CELLS = 1 << 18
@@ -21,9 +23,12 @@ SKETCH_SLICES = 32
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where the session has none."""
+    """The session's checkpoint folder. A local session without one gets a temporary folder; a cluster must name one,
+    as its machines don't see each other's temporary folders."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="grafloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -113,28 +118,35 @@ def fit_in_task(sample: DataFrame, work: Callable[[pa.Table], object]):
     return pickle.loads(sample.repartition(1).mapInArrow(run, "out binary").first()["out"])
 
 
-#: Bits of an id filter: 512 kB whatever the input; a fuller filter only lets more rows pass to the join behind it.
-FILTER_BITS = 1 << 22
+#: Most bits of an id filter: 32 MB whatever the input; a fuller filter only lets more rows pass.
+FILTER_BITS = 1 << 28
 _FILTER_SLICES = 32
 
 
-def _filter_places(ids: np.ndarray) -> np.ndarray:
+def _in_bits(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+    at = _filter_places(ids.fill_null(0).to_numpy(zero_copy_only=False), 8 * len(bits))
+    return ids.is_valid().to_numpy(zero_copy_only=False) & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter_places(ids: np.ndarray, size: int) -> np.ndarray:
     x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(42)).astype(np.int64)
+    return (x >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set that holds every id of a one-column frame (and, by collision, some others)."""
-    width = FILTER_BITS // _FILTER_SLICES // 8
+def id_filter(ids: DataFrame, count: int) -> np.ndarray:
+    """A bit set that holds every id of a one-column frame of ``count`` rows (and, by collision, some others): 16
+    bits a row, up to FILTER_BITS."""
+    size = min(FILTER_BITS, max(1 << 13, 1 << (16 * count).bit_length()))
+    width = size // _FILTER_SLICES // 8
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[_filter_places(batch.column(0).to_numpy())] = True
-        packed = np.packbits(bits).reshape(_FILTER_SLICES, width)
-        rows = np.flatnonzero(packed.any(1))
-        if len(rows):
-            yield pa.record_batch([pa.array(rows, pa.int32()), pa.array([packed[r].tobytes() for r in rows], pa.binary())], ["slice", "cells"])
+            at = _filter_places(batch.column(0).drop_null().to_numpy(), size)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        packed = bits.reshape(_FILTER_SLICES, width)
+        for r in np.flatnonzero(packed.any(1)):
+            yield pa.record_batch([pa.array([r], pa.int32()), pa.array([packed[r].tobytes()], pa.binary())], ["slice", "cells"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[int, np.ndarray] = {}
@@ -142,27 +154,38 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             for i, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 part = np.frombuffer(cell.as_buffer(), np.uint8)
                 whole[i] = whole[i] | part if i in whole else part.copy()
-        if whole:
-            yield pa.record_batch([pa.array(list(whole), pa.int32()), pa.array([v.tobytes() for v in whole.values()], pa.binary())], ["slice", "cells"])
+        for i, bits in whole.items():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "cells"])
 
     out = np.zeros((_FILTER_SLICES, width), np.uint8)
     rows = ids.mapInArrow(mark, "slice int, cells binary").repartition(_FILTER_SLICES, "slice").mapInArrow(join, "slice int, cells binary")
     for row in rows.toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["cells"], np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
+    return out.reshape(-1)
 
 
-def passing(rows: DataFrame, keep: np.ndarray) -> DataFrame:
+def passing(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """Rows (id long, ...) whose id the filter holds."""
 
-    packed = np.packbits(keep)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False) & bits[_filter_places(ids.fill_null(0).to_numpy())]
+            known = _in_bits(batch.column(0), bits)
             if known.any():
                 yield batch.filter(pa.array(known))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def in_filter(bits: np.ndarray):
+    """A function of an id column: whether the filter holds it; false for null."""
+
+    @F.arrow_udf("boolean")
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array(_in_bits(ids, bits))
+
+    return run
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't, however it is cased."""
+    return f"{name}_{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ A word is a run of bytes outside space and 0x09-0x0D; A-Z are lower-cased. Word
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLDEN)[_LOWER]
-
-
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _ODD, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
-_POWERS = _powers(4096)
+#: Spans up to this many bytes are hashed eight bytes at a time, longer ones by BLAKE2b.
+MIXED_BYTES = 64
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end): the length, then every eight bytes, through ``mix``."""
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _GOLDEN + np.uint64(seed))
+    eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    for at in range(0, MIXED_BYTES, 8):
+        live = np.flatnonzero((size > at) & (size <= MIXED_BYTES))
+        if not len(live):
+            break
+        part = eights[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ mix(part + _ODD))
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > MIXED_BYTES).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +63,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def byte_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive slices of about ``most`` bytes; a longer text is alone."""
+def byte_slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of consecutive slices of about ``most`` bytes and at most
+    ``rows`` texts; a longer text is alone."""
     data, offs = text_buffers(column)
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
@@ -75,13 +87,11 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    bounds = np.append(starts, len(data))
-    rel = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(bounds))
-    longest = int(rel.max()) + 1
-    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
-    parts = _BYTE_CODE[data[starts[0] :]] * powers[rel]
-    parts[~inside[starts[0] :]] = 0
-    return mix(np.add.reduceat(parts, starts - starts[0])), np.searchsorted(starts, offs)
+    leaves = inside.copy()
+    leaves[:-1] &= ~inside[1:]
+    last = offs[1:][(offs[1:] > 0)] - 1
+    leaves[last] = inside[last]
+    return span_hashes(_LOWER[data], starts, np.flatnonzero(leaves) + 1), np.searchsorted(starts, offs)
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:

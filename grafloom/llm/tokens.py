@@ -3,7 +3,7 @@
 Both splitting patterns always break before a lone space between two other characters, and between a
 letter and ASCII punctuation that follows it; a text is cut there and the pieces are encoded apart.
 ``tests/llm`` holds this against the library on whole texts. The library encodes each chunk that the
-cache lacks once; a text is then a gather over cached ids. Chunks are known by a 64-bit hash; the cache
+cache lacks once; a text is then a gather over cached ids. Chunks are known by a seeded 64-bit hash; the cache
 has a fixed number of places and starts anew when they are used up.
 """
 
@@ -16,11 +16,10 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from .textkit import mix
+from .textkit import span_hashes
 
 _PLACES = 1 << 22
 _MOST = 1_500_000
-_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: ASCII punctuation before which a cut is safe. The bar is left out: special tokens hold it.
@@ -80,6 +79,8 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.lead = lead
+        #: Keys of the cache differ from process to process, so no text can be made to meet another's.
+        self.seed = int.from_bytes(os.urandom(8), "little")
         self._reset()
 
     def _reset(self) -> None:
@@ -128,14 +129,7 @@ class ChunkEncoder:
             first[full] = True
             own += lone & ~first[starts]
         body = data if self.lead or special else _LOWER[data]
-        rel = np.arange(len(data)) - np.repeat(own, np.diff(bounds))
-        powers = np.full(max(int(rel.max()) + 1, 1), _ODD, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        parts = _BYTE[body] * powers[rel]
-        if not self.lead:
-            parts[rel < 0] = 0
-        h = mix(np.add.reduceat(parts, starts))
+        h = span_hashes(body, own, bounds[1:], self.seed)
         h[h == 0] = 1
         if self.index.size > _MOST:
             self._reset()
@@ -165,9 +159,6 @@ class ChunkEncoder:
         return self.ids[rows], sums[at]
 
 
-_BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str, lead: bool) -> ChunkEncoder:
     """One encoder for each worker process."""

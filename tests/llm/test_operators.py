@@ -70,16 +70,97 @@ def test_ngram_links(spark, monkeypatch):
     sets = {i: plain_set(t) for i, t in data if i is not None}
     linked = {i: [j for j, b in sets.items() if j != i and a and b and 100 * len(a & b) >= 75 * len(a | b)] for i, a in sets.items()}
     assert max(map(len, linked.values())) > 8
-    for shingles in (ngram_join.LINK_SHINGLES, 150):
-        monkeypatch.setattr(ngram_join, "LINK_SHINGLES", shingles)
+    for shingles, classes in ((ngram_join.UNIT_SHINGLES, ngram_join.UNIT_CLASSES), (300, 6)):
+        monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", shingles)
+        monkeypatch.setattr(ngram_join, "UNIT_CLASSES", classes)
         join = ngram_join.ngram_jaccard_join(spark.createDataFrame(data, "doc_id long, text string"))
-        found = join.counted().collect()
+        found = join.documents.collect()
         assert {r.doc_id: r.n_links for r in found} == {i: len(x) for i, x in linked.items()} | {None: None}
-        one = {r.class_id for r in found if r.class_key is not None}
+        one = {r.class_id for r in found if r.doc_id is not None and r.n_shingles}
         want = sorted((a, b, len(sets[a] & sets[b])) for a in one for b in linked[a] if b in one and a < b)
         assert sorted(map(tuple, join.links.collect())) == want
 
 
+def plain_join(data):
+    """Rows (id, text): for each its links and, of its id, the smallest id reachable; ids on several rows tie them."""
+    sets = [plain_set(t) for _, t in data]
+    root = {i: i for i, _ in data if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = [[j for j, b in enumerate(sets) if j != i and data[i][0] is not None and data[j][0] is not None and a and b and 100 * len(a & b) >= 75 * len(a | b)] for i, a in enumerate(sets)]
+    for i, js in enumerate(linked):
+        for j in js:
+            x, y = sorted((find(data[i][0]), find(data[j][0])))
+            root[y] = x
+    return [(str(i), len(s), None if i is None else find(i), None if i is None else len(js)) for (i, _), s, js in zip(data, sets, linked, strict=True)], linked
+
+
+def tangled():
+    """Ids on rows with different texts, repeated rows, clashing columns; 7 is near the second text of 3."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    x, y, z = ([rng.choice(words) for _ in range(50)] for _ in range(3))
+    near = lambda t, i: " ".join([*t[:i], "extra", *t[i + 1 :]])
+    data = [(3, " ".join(x)), (3, " ".join(y)), (7, near(y, 0)), (9, near(x, 49)), (5, near(z, 0)), (6, " ".join(z)), (6, ""), (6, near(y, 49)), (8, "alone it is and stays so"), (8, "alone it is and stays so"), (11, None), (11, None), (None, " ".join(x)), (None, None)]
+    return data + [(20, "long " * 300_000 + "end"), (21, "long " * 300_000 + "end here"), (22, "\u65e5\u672c" * 5000)]
+
+
+def test_ngram_repeated_ids(spark):
+    data = tangled()
+    df = spark.createDataFrame([(i, t, 1, "a", True) for i, t in data], "doc_id long, text string, id int, key string, stays boolean")
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_jaccard_join(df).documents.collect())
+    assert sorted(map(str, got)) == sorted(map(str, plain_join(data)[0]))
+
+
+def kept_plainly(data):
+    _, linked = plain_join(data)
+    seen, out = set(), []
+    for i in range(len(data)):
+        if i in seen:
+            continue
+        group, todo = {i}, [i]
+        while todo:
+            for j in linked[todo.pop()]:
+                if j not in group:
+                    group.add(j)
+                    todo.append(j)
+        seen |= group
+        least = min((data[j][0] for j in group), default=None) if len(group) > 1 else None
+        out.append((len(group), least, {data[j] for j in group if len(group) == 1 or data[j][0] == least}))
+    return out
+
+
+def test_keep_one(spark, empty):
+    """One row of each group by links of texts; rows without words or id stay; other columns come back untouched."""
+    data = tangled()
+    df = spark.createDataFrame([(i, t, n, "a", True) for n, (i, t) in enumerate(data)], "doc_id long, text string, id int, key string, stays boolean")
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    want = kept_plainly(data)
+    assert len(rows) == len(want)
+    for _, _, allowed in want:
+        assert sum(r in allowed for r in set(rows)) >= 1
+    assert ngram_join.keep_one(empty).count() == 0
+
+
+def test_word_hashes_of_complementary_words():
+    """Words that any polynomial hash modulo a power of two takes for one: bits and counter-bits of Thue-Morse."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    data, offs = textkit.text_buffers(pa.array([one, two, "AB ab", "a" * 63, "a" * 64, "a" * 65]))
+    words, at = textkit.word_hashes(data, offs)
+    assert at.tolist() == [0, 1, 2, 4, 5, 6, 7] and len(set(words.tolist())) == 6 and words[2] == words[3]
+    for path, lead in ((WORD, False), (BYTE, True)):
+        coder, plain = tokens.ChunkEncoder(path, lead), Tokenizer.from_file(path)
+        ids, at = coder.encode(data, offs)
+        assert [ids[a:b].tolist() for a, b in zip(at[:2], at[1:3], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in (one, two)]
+
+
 def test_bitmap_bounds():
     rng = np.random.default_rng(1)
     for _ in range(50):
