@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .shared import spare
 
 GRAM_CELLS = 4096
 WORD_CELLS = 4096
@@ -67,8 +68,22 @@ def dense_table(table: pa.Table, words: bool) -> np.ndarray:
     return x
 
 
-def bounded_sample(rows: DataFrame, group: str, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``group`` (all, where there are fewer), chosen by a hash of ``key``."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+#: Groups whose sizes are broadcast; the rows of any further group meet their size in a join.
+SMALL_GROUPS = 10_000
+
+
+def bounded_sample(rows: DataFrame, group: str, key: Column, most: int | None = None, total: int | None = None) -> DataFrame:
+    """About ``most`` rows of each value of ``group`` (all, where there are fewer), chosen by a hash of ``key``;
+    with ``total`` an equal part of it for each, one row at least. No value of ``group`` is left out."""
+    size, draw = spare(rows, "size"), spare(rows, "draw")
+    sizes = rows.groupBy(group).agg(F.count("*").alias(size))
+    first = sizes.orderBy(F.desc(size), group).limit(SMALL_GROUPS)
+    groups = sizes.count()
+    if most is None:
+        most = max(1, (total or 0) // max(1, groups))
     share = F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("_u", share).join(F.broadcast(sizes.orderBy(F.desc("_n"), group).limit(10_000)), group).filter(F.col("_u") < most / F.col("_n")).drop("_u", "_n")
+    drawn = rows.withColumn(draw, share)
+    found = drawn.join(F.broadcast(first), group)
+    if groups > SMALL_GROUPS:
+        found = found.unionByName(drawn.join(F.broadcast(first), group, "left_anti").join(sizes, group))
+    return found.filter(F.col(draw) < most / F.col(size)).select(*rows.columns)

@@ -7,8 +7,8 @@ score is the softmax of the negative losses; where the two best lie within ``AMB
 row is flagged.
 
 Up to seven languages get all codewords' splits (2^(L-1) - 1 bits), more get seeded random splits. Training
-takes about ``SAMPLE_ROWS`` labelled rows in all, equally many of each language, chosen by hash: a documented
-bound. Prediction reads every whole text and nothing else.
+takes about ``SAMPLE_ROWS`` labelled rows in all, equally many of each language and one at least, chosen by hash:
+a documented bound. Prediction reads every whole text and nothing else.
 
 Defined cases: null text or text without a letter is ``und`` with score 0 and not ambiguous; without any
 labelled row every text is ``und``; one learned language is always predicted, with score 1; rows with null
@@ -95,8 +95,7 @@ def _fit(table: pa.Table | None) -> LanguageModel:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> LanguageModel:
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("key"))
-    kinds = max(1, labelled.select("lang").distinct().count())
-    sample = bounded_sample(labelled, "lang", F.col("key"), max(1, rows // kinds)).select("text", "lang")
+    sample = bounded_sample(labelled, "lang", F.col("key"), total=rows).select("text", "lang")
     return fit_in_task(sample.mapInArrow(sparse_rows(False, [("lang", pa.string())]), "cells binary, vals binary, lang string"), _fit)
 
 

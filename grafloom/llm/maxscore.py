@@ -104,7 +104,9 @@ def _cogrouped(k: int):
 
 def deal(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with the keys block, shard and dim: query blocks go to every shard and shards to every block,
-    so a task holds at most about SHARD_ROWS vectors and QUERY_ROWS queries."""
+    so a task holds at most about SHARD_ROWS vectors and QUERY_ROWS queries. Of rows that share a query's id the one
+    with the least vector asks."""
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     left = queries.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))

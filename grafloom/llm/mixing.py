@@ -4,21 +4,25 @@ Targets share ``budget`` times the corpus size by weight; no source exceeds ``ep
 and what a cap cuts off is shared again by weight until no target is above its cap. In closed form: sources
 sorted by cap over weight fill up first, and the level of the rest is (total - caps so far) / (weights
 left). A document is then taken floor(target / size) times, and once more if its place in a seeded order of
-its source falls into the fraction that is left. Places are prefix sums of sizes over 1,024 hash bins in
-each source, so a hot source is no single task, and taken sizes meet the target within half a document.
+its source falls into the fraction that is left. Places are prefix sums of sizes over hash bins in each
+source, as many as leave a hot source about 250,000 rows in one, and taken sizes meet the target within half a document.
 
 Everything is DataFrame operations. Defined cases: null text has size 0 and is taken 0 times; a null source
 is a source of its own, last in order; null ids and repeated rows are ordered by hash and size; a source of
-size 0 has target 0; extra columns are ignored; an empty table gives an empty result.
+size 0 has target 0; ``mix_sources`` ignores extra columns and ``mixed`` returns all as they are, whatever their
+names; an empty table gives an empty result. The table of sources, a row each, is put in order in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-_BINS_HEX = 3
+_LEAST_DIGITS = 3
+_BIN_ROWS = 250_000
 
 
 def seeded_order(seed: int, id_col: Column) -> Column:
@@ -43,34 +47,40 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], budget: tuple[int,
     return settled.select("source", "source_size", F.coalesce(F.col("final") * F.col("w"), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and times added (``taken`` = times x size).
-
-    Columns of ``docs`` that bear one of these names are replaced.
-    """
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("size", "source_size", "target", "times", "taken")))
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
-    order = seeded_order(seed, F.col(id_col))
-    bins = docs_bins = sized.select(F.col(source_col).alias("source"), F.substring(order, 1, _BINS_HEX).alias("bin"), "size").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    sources = docs_bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
-    plan = water_fill(sources, weights, budget, epochs)
+def _taken(rows: DataFrame, weights: tuple[int, ...], budget: tuple[int, int], epochs: int, seed: int) -> DataFrame:
+    """Rows (id, source, text, ...) with size, source_size, target and times in place of the text."""
+    order = seeded_order(seed, F.col("id"))
+    digits = max(_LEAST_DIGITS, math.ceil(math.log(max(1, rows.count() / (3 * _BIN_ROWS)), 16)))
+    sized = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).drop("text").withColumn("place", order)
+    # One key of source and bin: the window and the join below deal by it once.
+    key = F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit("|"), F.substring("place", 1, digits))
+    sized = sized.withColumn("key", key)
+    bins = sized.select("source", "key", F.substring("place", 1, digits).alias("bin"), "size").groupBy("source", "bin", "key").agg(F.sum("size").alias("bin_size"))
+    plan = water_fill(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, budget, epochs)
     within = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(within), F.lit(0)))
-    table = bins.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select(F.col("b.source").alias("_source"), F.col("b.bin").alias("_bin"), "bin_start", "source_size", "target")
-    keyed = sized.withColumn("_order", order).withColumn("_bin", F.substring("_order", 1, _BINS_HEX))
-    line = Window.partitionBy("_source_of", "_bin").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_source_of", F.col(source_col)).withColumn("_before", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    table = table.withColumnRenamed("_bin", "_tbin")
-    joined = placed.join(table, placed["_source_of"].eqNullSafe(table["_source"]) & (placed["_bin"] == table["_tbin"]), "left")
+    table = bins.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.key", "bin_start", "source_size", "target")
+    line = Window.partitionBy("key").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = sized.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0))).join(table, "key", "left")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     part = F.col("target") - whole * F.col("source_size")
-    more = (F.col("size") > 0) & (2 * (F.col("bin_start") + F.col("_before")) + F.col("size") <= 2 * part)
-    return joined.withColumn("times", F.when(F.col("size") > 0, whole + more.cast("long")).otherwise(F.lit(0).cast("long"))).drop("_order", "_bin", "_source_of", "_before", "_source", "_tbin", "bin_start")
+    more = (F.col("size") > 0) & (2 * (F.col("bin_start") + F.col("before")) + F.col("size") <= 2 * part)
+    return joined.withColumn("times", F.when(F.col("size") > 0, whole + more.cast("long")).otherwise(F.lit(0).cast("long"))).drop("key", "place", "before", "bin_start")
+
+
+def _named(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")]
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, times) of every row; the words taken are times x size."""
+    return _taken(docs.select(*_named(id_col, text_col, source_col)), weights, budget, epochs, seed).withColumnsRenamed({"id": id_col, "source": source_col})
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row as often as it is taken, in the columns of ``docs``."""
-    return mix_sources(docs, **options).filter("times > 0").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row as often as it is taken, in the columns of ``docs``, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_named(id_col, text_col, source_col))
+    return _taken(rows, weights, budget, epochs, seed).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 #: The same mix in DuckDB SQL; seed 17, weights 3, 1, 2, 150 % and two epochs.

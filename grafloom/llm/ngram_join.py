@@ -5,7 +5,7 @@ and 128 bits of fingerprint), so copies are never paired.
 
 1. Which classes can link at all. A link with a set of n shares at least ``ceil(t n)`` of them, so among its
    ``n - ceil(t n) + l`` first shingles (by hash, l about n / 8) it shares about 0.75 l with others' first ones.
-   These shingles are dealt by hash, every batch of 32 MB of text naming each of its shingles once, and only
+   These shingles are dealt by hash, every batch of 16 MB of text naming each of its shingles once, and only
    the number of shared ones comes back. Classes below it, nearly all of a plain corpus, go no further.
 2. Tiles. The classes left name all their shingles; each learns how many of them name it. A class's shared
    shingles are put in order of that number, rarest first; linked classes have one of the first
@@ -41,7 +41,7 @@ from .components import connected_components, local_components
 from .shared import id_filter, in_filter, passing, spare, staged, unstage, with_columns
 
 #: Text of a batch whose classes are known by short numbers, and the most classes in one.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 BATCH_CLASSES = (1 << 16) - 2
 SLICE_ROWS = 1 << 14
 _NO_CREDIT = (1 << 16) - 1
@@ -570,13 +570,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         named = named.join(connected_components(cut).toDF("node", "wide"), F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("wide", "label")).drop("node", "wide")
     named = named.select("fp", "fp2", "n", "copies", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "fp").alias("label"))
 
-    rows = digests.join(named, ["fp", "fp2", "n"], "left").select("id", "n", "fp", "class_id", "copies", "links", "label")
-    least = named.groupBy("label").agg(F.min("class_id").alias("least"))
+    least = named.filter("links > 0").groupBy("label").agg(F.min("class_id").alias("least"))
     several = digests.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
-    if several.take(1):
-        least = _tied(rows, least)
-    rows = rows.join(least, "label", "left").withColumn("least", F.coalesce("least", "id"))
-    if several.take(1):  # a wordless text follows the other texts of its id
+    tied = bool(several.take(1))
+    if tied:
+        rows = digests.join(named, ["fp", "fp2", "n"], "left").select("id", "label")
+        least = _tied(rows, named.groupBy("label").agg(F.min("class_id").alias("least")))
+        named = named.join(least, "label", "left")
+    else:  # most classes have no links: only the others look for the smallest id of their component
+        alone = named.filter("links = 0").withColumn("least", F.col("class_id"))
+        named = named.filter("links > 0").join(least, "label").unionByName(alone)
+    rows = digests.join(named, ["fp", "fp2", "n"], "left").withColumn("least", F.coalesce("least", "id"))
+    if tied:  # a wordless text follows the other texts of its id
         rows = rows.join(rows.join(several, "id", "left_semi").groupBy("id").agg(F.min("least").alias("mine")), "id", "left").withColumn("least", F.least("least", "mine"))
     known = F.col("id").isNotNull()
     out = rows.select(

@@ -11,7 +11,7 @@ manifest are read, so a task that ran twice leaves a file that nobody reads. The
 pyarrow's file systems reach (local or mounted, HDFS, S3, GCS).
 
 Defined cases: null text is the empty text (only the end id); null ids sort first; rows that repeat an id
-are ordered by their token bytes; extra columns are ignored; an empty table writes no shard.
+are ordered by a hash of their tokens; extra columns are ignored; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -188,7 +188,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     rank_of[order] = np.arange(VOCAB_CELLS)
     with system.open_output_stream(f"{name}/ranks.bin") as f:
         f.write(order.tobytes())
-    dealt = ids.repartitionByRange("id").sortWithinPartitions("id", "ids")
+    # Rows that share an id, or null, are split by a hash of their ids and, if that is one too, anywhere.
+    tied = ids.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "ids")
     written = staged(dealt.mapInArrow(_write(folder, rank_of), "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
     unstage(ids)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
