@@ -22,29 +22,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
+    """Of each group of texts linked by near-duplicates one row stays: that with the smallest id. Rows with a null id
+    and rows without words have no group and stay."""
     return ngram_join.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mask; n_chars follows the text."""
+    """Secrets are replaced by a mask; n_chars follows the text. Every row stays; null and empty texts stay as they are."""
     clean = secret_forest.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
+    """Every row as often as the mixture takes it, 0 to 2 times; rows without words aren't taken."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4,096 tokens."""
+    """Pieces of the documents in sequences of at most 4,096 tokens; a null or empty text is its end id."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing sources", mixture), ("packing", pack)]
 
-#: Learned decisions and packing are beyond SQL. Only the language stage has a test here; the others and run() have none.
+#: Learned decisions and packing are beyond SQL; tests/llm/test_pipeline.py holds each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
