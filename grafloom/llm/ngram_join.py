@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components, local_components
-from .shared import id_filter, in_filter, passing, spare, staged, unstage, with_columns
+from .shared import id_filter, in_bits, in_filter, lean, spare, staged, unstage, with_columns
 
 #: Text of a batch whose classes are known by short numbers, and the most classes in one.
 BATCH_BYTES = 16 << 20
@@ -214,8 +214,8 @@ def _judge(percent: int):
 _CLASSES = "batch long, fps binary, ns binary, hashes binary"
 
 
-def _class_rows(k: int):
-    """Rows (id, text) of representatives: batches of classes, each with all its shingles."""
+def _class_rows(k: int, bits: np.ndarray):
+    """Rows (id, text): batches of the classes whose id the bit set holds, each with all its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, size, met, held = 0, 0, set(), []
@@ -227,7 +227,8 @@ def _class_rows(k: int):
             )
 
         for batch in batches:
-            for _, _, data, offs in tk.byte_slices(batch.column(1)):
+            known = in_bits(batch.column(0), bits)
+            for _, _, data, offs in tk.byte_slices(batch.column(1).filter(pa.array(known))):
                 sets = tk.shingle_sets(data, offs, k)
                 for fp, s in zip(_fingerprints(sets).tolist(), sets, strict=True):
                     if len(s) and fp not in met:
@@ -526,12 +527,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 1. Which classes can link at all. A shingle takes some six bytes of text, and three eighths are named.
     text_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts, text_bytes // (16 * BUCKET_SHINGLES))
-    scanned = staged(source.mapInArrow(_scan(words, percent, buckets), _SCAN_TYPE), "ngram-scan")
-    credits = scanned.filter("bucket is not null").select("batch", "bucket", "cells").repartition(buckets, "bucket").mapInArrow(_credits, "batch long, cells binary")
+    scanned = staged(source.mapInArrow(lean(_scan(words, percent, buckets)), _SCAN_TYPE), "ngram-scan")
+    credits = scanned.filter("bucket is not null").select("batch", "bucket", "cells").repartition(buckets, "bucket").mapInArrow(lean(_credits), "batch long, cells binary")
     rows = scanned.filter("bucket is null").select("id", "n", "fp", "fp2", "batch", "place", "near", F.lit(None).cast("binary").alias("cells"))
     told = credits.select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "n", "fp", "fp2")), "batch", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("near"), "cells")
     judged = rows.unionByName(told).repartition("batch").sortWithinPartitions("batch", F.col("cells").isNull())
-    digests = staged(judged.mapInArrow(_judge(percent), "id long, n long, fp long, fp2 long, keep boolean"), "ngram-digests")
+    digests = staged(judged.mapInArrow(lean(_judge(percent)), "id long, n long, fp long, fp2 long, keep boolean"), "ngram-digests")
     unstage(scanned)
     classes = digests.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("keep").alias("keep"))
     classes = staged(classes, "ngram-classes")
@@ -540,15 +541,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = classes.filter("keep")
     count, shingles = left.agg(F.count("*"), F.sum("n")).first()
     buckets = max(parts, (shingles or 0) // BUCKET_SHINGLES)
-    sets = staged(passing(source, id_filter(left.select("id"), count)).mapInArrow(_class_rows(words), _CLASSES), "ngram-sets")
-    asked = sets.mapInArrow(_ask(buckets), "bucket long, batch long, cells binary")
-    answers = asked.repartition(buckets, "bucket").mapInArrow(_answer, "batch long, cells binary")
+    sets = staged(source.mapInArrow(lean(_class_rows(words, id_filter(left.select("id"), count))), _CLASSES), "ngram-sets")
+    asked = sets.mapInArrow(lean(_ask(buckets)), "bucket long, batch long, cells binary")
+    answers = asked.repartition(buckets, "bucket").mapInArrow(lean(_answer), "batch long, cells binary")
     none = F.lit(None).cast("binary")
     both = sets.select("batch", none.alias("cells"), "fps", "ns", "hashes").unionByName(answers.select("batch", "cells", none.alias("fps"), none.alias("ns"), none.alias("hashes")))
-    tiles = staged(both.repartition("batch").sortWithinPartitions("batch").mapInArrow(_tiles(percent, buckets), _TILES_TYPE), "ngram-tiles")
+    tiles = staged(both.repartition("batch").sortWithinPartitions("batch").mapInArrow(lean(_tiles(percent, buckets)), _TILES_TYPE), "ngram-tiles")
     unstage(sets)
     roots = tiles.filter("bucket is null")
-    edges = tiles.filter("bucket is not null").select("bucket", "tiles").repartition(buckets, "bucket").select("tiles").mapInArrow(_joined, "a long, b long")
+    edges = tiles.filter("bucket is not null").select("bucket", "tiles").repartition(buckets, "bucket").select("tiles").mapInArrow(lean(_joined), "a long, b long")
     group = connected_components(edges).toDF("root", "group")
 
     # 3. Pairs of each group.
@@ -560,7 +561,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unstage(groups)
 
     def within(each: bool, schema: str) -> DataFrame:
-        return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_within(percent, each), schema)
+        return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(_within(percent, each)), schema)
 
     found = staged(within(False, "key long, links long, label long, whole boolean"), "ngram-links")
     sums = found.groupBy("key").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("label"))).alias("label"))
@@ -611,22 +612,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     first = rows.groupBy("text_component").agg(F.min(F.struct("id", "key")).alias("first"))
     judged = rows.join(first, "text_component").select("id", "key", (F.struct("id", "key") == F.col("first")).alias("stays"), "times")
     judged = staged(judged.filter("not stays or times > 1"), "ngram-judged")
-    hit = in_filter(id_filter(judged.select("id"), judged.count()))(F.col(id_col).cast("long"))
+    bits = id_filter(judged.select("id"), judged.count())
     row_id, key, ident, text_key, stays = (spare(docs, x) for x in ("row_id", "key", "ident", "text_key", "stays"))
-    names = docs.columns
-    touched = docs.filter(hit).withColumn(row_id, F.col(id_col).cast("long")).withColumn(key, _text_key(words)(F.col(text_col).cast("string")))
+    names, ids = docs.columns, F.col(id_col).cast("long")
+    touched = docs.withColumn(key, _text_key(words, bits)(ids, F.col(text_col).cast("string"))).filter(F.col(key).isNotNull()).withColumn(row_id, ids)
     judged = judged.toDF(ident, text_key, stays, "times").drop("times")
     decided = touched.join(judged, (F.col(row_id) == F.col(ident)) & (F.col(key) == F.col(text_key)), "left")
     plain, repeated = decided.filter(F.col(stays).isNull()), decided.filter(F.col(stays)).dropDuplicates([row_id, key])
-    return docs.filter(~hit).unionByName(plain.select(*names)).unionByName(repeated.select(*names))
+    return docs.filter(~in_filter(bits)(ids)).unionByName(plain.select(*names)).unionByName(repeated.select(*names))
 
 
-def _text_key(k: int):
-    """The first half of the fingerprint of a text's set."""
+def _text_key(k: int, bits: np.ndarray):
+    """The first half of the fingerprint of a text's set, for rows whose id the bit set holds."""
 
     @F.arrow_udf("long")
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [_fingerprints(tk.shingle_sets(data, offs, k)) for _, _, data, offs in tk.byte_slices(texts)]
-        return pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64())
+    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        known = in_bits(ids, bits)
+        parts = [_fingerprints(tk.shingle_sets(data, offs, k)) for _, _, data, offs in tk.byte_slices(texts.filter(pa.array(known)))]
+        out = np.zeros(len(known), np.int64)
+        out[known] = np.concatenate([*parts, np.zeros(0, np.int64)])
+        return pa.array(out, pa.int64(), mask=~known)
 
     return run

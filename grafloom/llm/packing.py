@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import in_task, staged
+from .shared import in_task, lean, staged
 from .tokens import encoder
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
@@ -177,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
         raise ValueError("capacity must be a multiple of step")
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = staged(source.mapInArrow(_pieces(tokenizer_path, end_id, capacity), PIECES), "pieces")
+    pieces = staged(source.mapInArrow(lean(_pieces(tokenizer_path, end_id, capacity), tokens=True), PIECES), "pieces")
     pieces = pieces.withColumn("class", _length_class(F.ceil(F.col("length") / step).cast("int"), capacity // step))
     demand = np.zeros(capacity // step + 1, np.int64)
     for row in pieces.groupBy("class").count().collect():  # a row for each length class at most
@@ -190,6 +190,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     base = salted.groupBy("class", "part").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = Window.partitionBy("class", "part").orderBy("id", "start", "ids_crc32", "doc_tokens", "length")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(base, ["class", "part"])
-    placed = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", "class", (F.col("base") + F.col("rank")).alias("rank")).mapInArrow(_assign(places), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
+    placed = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", "class", (F.col("base") + F.col("rank")).alias("rank")).mapInArrow(lean(_assign(places)), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
     line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(line), F.lit(0))).withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import bounded_sample, dense_batches, dense_table, sparse_rows
-from .shared import fit_in_task
+from .shared import fit_in_task, lean
 
 SAMPLE_ROWS = 3_000
 
@@ -90,7 +90,7 @@ def train(rated: DataFrame, text_col: str = "text", grade_col: str = "grade", ke
     """Learns from rows with a text and a grade."""
     rows_in = rated.filter(F.col(text_col).isNotNull() & F.col(grade_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(grade_col).cast("long").alias("grade"), F.col(key_col).alias("key"))
     sample = bounded_sample(rows_in, "grade", F.col("key"), rows).select("text", "grade")
-    return fit_in_task(sample.mapInArrow(sparse_rows(True, [("grade", pa.int64())]), "cells binary, vals binary, grade long"), _fit)
+    return fit_in_task(sample.mapInArrow(lean(sparse_rows(True, [("grade", pa.int64())])), "cells binary, vals binary, grade long"), _fit)
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +108,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep: float = 0.5, id_col: str =
                 yield pa.record_batch([batch.column(0)[a:b], pa.array(mean, pa.float64()), pa.array(top, pa.float64()), pa.array(top >= keep)], ["id", "expected_grade", "tail_prob", "selected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, expected_grade double, tail_prob double, selected boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, expected_grade double, tail_prob double, selected boolean").withColumnRenamed("id", id_col)
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -6,8 +6,10 @@ so a lost executor costs a re-read and never the data.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +99,31 @@ def with_columns(fields: list[tuple[str, pa.DataType]]) -> Callable[..., pa.Reco
     return make
 
 
+def _tidy() -> None:
+    """Gives back what this worker holds unused; Spark keeps idle workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable, tokens: bool = False) -> Callable:
+    """``run`` for mapInArrow in a worker that keeps little: without ``tokens`` an encoder that an earlier job left in the
+    worker is dropped first, and freed memory is returned when the task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sys.modules.get(f"{__package__}.tokens")
+        if held and not tokens:
+            held.encoder.cache_clear()
+        try:
+            yield from run(batches)
+        finally:
+            _tidy()
+
+    return wrapped
+
+
 def in_task(spark: SparkSession, work: Callable, *args):
     """Runs ``work(*args)``, whose input and output are of bounded size, in one Spark task instead of the driver."""
 
@@ -104,7 +131,7 @@ def in_task(spark: SparkSession, work: Callable, *args):
         for _ in batches:
             yield pa.record_batch([pa.array([pickle.dumps(work(*args))], pa.binary())], ["out"])
 
-    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "out binary").first()["out"])
+    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(lean(run), "out binary").first()["out"])
 
 
 def fit_in_task(sample: DataFrame, work: Callable[[pa.Table], object]):
@@ -115,7 +142,7 @@ def fit_in_task(sample: DataFrame, work: Callable[[pa.Table], object]):
         table = pa.Table.from_batches(held) if held else None
         yield pa.record_batch([pa.array([pickle.dumps(work(table))], pa.binary())], ["out"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "out binary").first()["out"])
+    return pickle.loads(sample.repartition(1).mapInArrow(lean(run), "out binary").first()["out"])
 
 
 #: Most bits of an id filter: 32 MB whatever the input; a fuller filter only lets more rows pass.
@@ -123,7 +150,8 @@ FILTER_BITS = 1 << 28
 _FILTER_SLICES = 32
 
 
-def _in_bits(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+def in_bits(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which ids an ``id_filter`` holds; false for null."""
     at = _filter_places(ids.fill_null(0).to_numpy(zero_copy_only=False), 8 * len(bits))
     return ids.is_valid().to_numpy(zero_copy_only=False) & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -158,30 +186,18 @@ def id_filter(ids: DataFrame, count: int) -> np.ndarray:
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "cells"])
 
     out = np.zeros((_FILTER_SLICES, width), np.uint8)
-    rows = ids.mapInArrow(mark, "slice int, cells binary").repartition(_FILTER_SLICES, "slice").mapInArrow(join, "slice int, cells binary")
+    rows = ids.mapInArrow(lean(mark), "slice int, cells binary").repartition(_FILTER_SLICES, "slice").mapInArrow(lean(join), "slice int, cells binary")
     for row in rows.toLocalIterator():
         out[row["slice"]] = np.frombuffer(row["cells"], np.uint8)
     return out.reshape(-1)
 
 
-def passing(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows (id long, ...) whose id the filter holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = _in_bits(batch.column(0), bits)
-            if known.any():
-                yield batch.filter(pa.array(known))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def in_filter(bits: np.ndarray):
     """A function of an id column: whether the filter holds it; false for null."""
 
     @F.arrow_udf("boolean")
     def run(ids: pa.Array) -> pa.Array:
-        return pa.array(_in_bits(ids, bits))
+        return pa.array(in_bits(ids, bits))
 
     return run
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from . import textkit as tk
-from .shared import id_filter, in_filter, new_folder, staged
+from .shared import id_filter, in_filter, lean, new_folder, staged
 from .tokens import encoder, version
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_folder: str | None
             wanted = wanted.filter(hit(F.xxhash64("digest"))).join(misses, "digest", "left_semi")
         # Copies fall away before the shuffle and after it, so a hot text is a row for each task at most.
         once = wanted.groupBy("digest").agg(F.first("text").alias("text"))
-        once.mapInArrow(_encode(tokenizer_path, name), CACHE_SCHEMA).write.mode("append").parquet(folder)
+        once.mapInArrow(lean(_encode(tokenizer_path, name), tokens=True), CACHE_SCHEMA).write.mode("append").parquet(folder)
     counts = open_cache(spark, folder).filter(F.col("tokenizer") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     hot = staged(_hot(keyed, counts), "token-hot")
     common = keyed.join(F.broadcast(hot), "digest")
