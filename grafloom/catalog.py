@@ -330,6 +330,6 @@ def token_counts(spark, d):
 @_query("SELECT c.c_custkey AS connection_id, n.n_name AS full_name FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE c.c_acctbal > 0 AND c.c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def push_candidates(spark, d):
     nation = spark.read.parquet(f"{d}/nation.parquet")
-    connections = spark.read.parquet(f"{d}/customer.parquet").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("connection_id"), F.lower("n_name").alias("external_repo"), (F.col("c_acctbal") > 0).alias("index_on_push"), F.when(F.col("c_mktsegment") == "BUILDING", F.lit("main")).when(F.col("c_mktsegment") != "MACHINERY", F.lit("dev")).alias("branch"))
+    connections = spark.read.parquet(f"{d}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("connection_id"), F.lower("n_name").alias("external_repo"), (F.col("c_acctbal") > 0).alias("index_on_push"), F.when(F.col("c_mktsegment") == "BUILDING", F.lit("main")).when(F.col("c_mktsegment") != "MACHINERY", F.lit("dev")).alias("branch"))
     pushes = nation.select(F.initcap("n_name").alias("full_name"), F.lit("refs/heads/main").alias("ref"), F.lit("main").alias("default_branch"))
     return E.push_candidates(pushes, connections).select("connection_id", F.upper("full_name").alias("full_name"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 CODE_EXTENSIONS = ["py", "js", "jsx", "mjs", "cjs", "ts", "tsx"]
 REPO_NAME = r"^[A-Za-z0-9._-]{1,100}$"
-TENANT_SLUG = r"^[a-z][a-z0-9_]{0,62}$"
+TENANT_SLUG = r"^[a-z0-9][a-z0-9_]{0,39}$"
 #: Where Python's str.splitlines breaks.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 

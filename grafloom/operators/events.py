@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HREF = r'(?i)\s(?:href|src)\s*=\s*"([^"]*)"'
 
@@ -16,8 +20,8 @@ def html_refs(pages: DataFrame) -> DataFrame:
 
 def change_set(old: DataFrame, new: DataFrame) -> DataFrame:
     """(repo, path, change) between two listings of (repo, path, hash): added, changed, same, deleted."""
-    a, b = old.withColumnRenamed("hash", "_old"), new.withColumnRenamed("hash", "_new")
-    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(F.col("_old") == F.col("_new"), "same").otherwise("changed")
+    a, b = (df.select("repo", "path", F.col("hash").alias(side), F.lit(True).alias(f"in_{side}")) for df, side in ((old, "old"), (new, "new")))
+    kind = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "deleted").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("changed")
     return a.join(b, ["repo", "path"], "full").select("repo", "path", kind.alias("change"))
 
 
@@ -51,12 +55,45 @@ def retention(rows: DataFrame, column: str, now: Column, keep: str) -> DataFrame
     return rows.filter(F.col(column) >= now - F.expr(f"INTERVAL '{keep}'"))
 
 
+def _windows(hits: DataFrame, width: int, every: bool) -> DataFrame:
+    """(key, window_start, hits) of each key's last window, or of every one. Hits of one time are counted before the
+    shuffle; each key's times are then read in order and folded as they come: a hot key needs time but no memory."""
+    schema = T.StructType([hits.schema["key"], T.StructField("window_start", T.LongType()), T.StructField("hits", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, kind = [], None, None
+
+        def made(rows: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["key", "window_start", "hits"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, t, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                other = now is not None and k != now[0]
+                if now is not None and (other or (every and now[1] < t - width)):
+                    out.append(tuple(now))
+                if now is None or other or now[1] < t - width:
+                    now = [k, t, 0]
+                now[2] += m
+            if len(out) > 10_000:
+                yield made(out)
+                out = []
+        if now is not None:
+            yield made([*out, tuple(now)])
+
+    times = hits.filter("t is not null").groupBy("key", "t").agg(F.count("*").alias("m"))
+    return times.repartition("key").sortWithinPartitions("key", "t").mapInArrow(fold, schema)
+
+
 def rate_window_fold(hits: DataFrame, width: int) -> DataFrame:
     """(key, window_start, hits) after all hits in order: a window starts at its first hit and a later hit
-    beyond it starts the next. Only times travel, 8 bytes a hit."""
-    start = F.struct(F.lit(None).cast("long").alias("s"), F.lit(0).alias("n"))
-    fold = F.aggregate(F.array_sort(F.collect_list("t")), start, lambda acc, t: F.when(acc["s"].isNull() | (acc["s"] < t - width), F.struct(t.alias("s"), F.lit(1).alias("n"))).otherwise(F.struct(acc["s"].alias("s"), (acc["n"] + 1).alias("n"))))
-    return hits.groupBy("key").agg(fold.alias("w")).select("key", F.col("w.s").alias("window_start"), F.col("w.n").alias("hits"))
+    beyond it starts the next."""
+    return _windows(hits, width, False)
+
+
+def window_starts(hits: DataFrame, width: int) -> DataFrame:
+    """(key, window_start, hits) of every such window."""
+    return _windows(hits, width, True)
 
 
 def lockout(failures: Column, level: Column, free: int = 3, lock_after: int = 10, lock_seconds: int = 900) -> Column:
@@ -67,10 +104,16 @@ def lockout(failures: Column, level: Column, free: int = 3, lock_after: int = 10
     return F.when(failures >= lock_after, lock).otherwise(back).cast("long")
 
 
-def replay_guard(events: DataFrame) -> DataFrame:
-    """Whether each step is beyond all earlier ones of its user."""
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.select("event_id", "user_id", "step", F.coalesce(F.col("step") > F.max("step").over(before), F.lit(True)).alias("accepted"))
+def replay_guard(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+    """Whether each step is beyond all earlier ones of its user. The greatest step of each slice of time comes first,
+    so that a hot user's events are dealt by slice and only a row for each slice is put in one order."""
+    rows = events.select("event_id", "user_id", "ts", "step", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slice_seconds).alias("slice"))
+    earlier = Window.partitionBy("user_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("user_id", "slice").agg(F.max("step").alias("top")).withColumn("before", F.max("top").over(earlier))
+    tops = tops.select(F.col("user_id").alias("u"), F.col("slice").alias("s"), "before")
+    within = Window.partitionBy("user_id", "slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(tops, F.col("user_id").eqNullSafe(F.col("u")) & F.col("slice").eqNullSafe(F.col("s")))
+    return joined.select("event_id", "user_id", "step", F.coalesce(F.col("step") > F.greatest("before", F.max("step").over(within)), F.lit(True)).alias("accepted"))
 
 
 def token_counts(tokens: DataFrame, connections: DataFrame) -> DataFrame:

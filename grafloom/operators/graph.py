@@ -5,11 +5,14 @@ Ties that the model leaves open are broken by the remaining columns, and null or
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.scalars import last_segment, like_pattern
+from ..plans.staging import staged
 
 
 def _scoped(df: DataFrame, repo: str | None) -> DataFrame:
@@ -79,23 +82,36 @@ def find_node(nodes: DataFrame, qualified_name: str, repo: str | None = None) ->
     return _scoped(nodes, repo).filter(F.col("qualified_name") == qualified_name).select("repo", "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "signature").orderBy(F.when(F.col("kind") == "File", 1).otherwise(0), "repo", "file_path", "start_line", "kind").limit(1)
 
 
-def node_context(nodes: DataFrame, edges: DataFrame, imports: DataFrame, repo: str, qualified_name: str) -> DataFrame:
-    """One row: the node and its callers, callees, dependencies, dependents and siblings, each an array of
-    structs in the order of its query. Sections cover the node's file and repository; each is bounded by its
-    limit or by one symbol's neighbours."""
+def _section(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """One row: the rows of ``df`` as an array of structs in this order."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*df.columns).alias("row"))))
+    return ranked.agg(F.transform(rows, lambda r: r["row"]).alias(name))
+
+
+def node_context(nodes: DataFrame, edges: DataFrame, imports: DataFrame, repo: str, qualified_name: str, sources: DataFrame | None = None) -> DataFrame:
+    """One row: the node, its ``source`` and its callers, callees, dependencies, dependents and siblings, each an
+    array of structs in the order of its query. The node is found first (one row), so every section is a filter on
+    literals; dependents and siblings are cut at their limits and the others are one symbol's or file's neighbours.
+    ``sources`` has the rows of ``files.preview``; without it, source is null."""
     node = find_node(nodes, qualified_name, repo)
-    place = node.select(F.col("file_path").alias("_here"))
-    file_imports = imports.join(F.broadcast(place), F.col("file_path") == F.col("_here"), "left_semi").filter(F.col("repo") == repo)
-    there = nodes.filter(F.col("repo") == repo).select(F.col("qualified_name").alias("target")).distinct().withColumn("_in", F.lit(True))
-    deps = file_imports.join(there, "target", "left").select("local_name", "target", "kind", F.coalesce("_in", F.lit(False)).alias("in_project"))
-    own = nodes.filter(F.col("repo") == repo).join(F.broadcast(place), F.col("file_path") == F.col("_here"), "left_semi")
-    uses = edges.filter((F.col("edge_type") == "IMPORTS") & (F.col("resolved") == 1) & (F.col("repo") == repo)).join(own.select(F.col("qualified_name").alias("dst_qname")).distinct(), "dst_qname", "left_semi")
-    dependents = uses.join(F.broadcast(place), F.col("src_file") == F.col("_here"), "left_anti").select(F.col("src_file").alias("file_path"), F.col("dst_qname").alias("imported")).distinct().orderBy("file_path", "imported").limit(S.DEPENDENTS_LIMIT)
-    siblings = own.filter("kind <> 'File'").select("start_line", "qualified_name", "kind", "name", "signature").orderBy("start_line", "qualified_name", "kind").limit(S.SYMBOLS_LIMIT).filter(F.col("qualified_name") != qualified_name)
-    sections = {"callers": get_callers(nodes, edges, qualified_name, repo), "callees": get_callees(nodes, edges, qualified_name, repo), "dependencies": deps, "dependents": dependents, "siblings": siblings}
+    found = node.first()
+    here = found.file_path if found else ""
+    tie = F.col
+    sections = {
+        "callers": (get_callers(nodes, edges, qualified_name, repo), [tie("repo"), tie("qualified_name")]),
+        "callees": (get_callees(nodes, edges, qualified_name, repo), [tie("resolved").desc(), tie("callee"), tie("repo")]),
+        "dependencies": (get_dependencies(nodes, imports, here, repo), [tie("repo"), tie("target"), tie("local_name")]),
+        "dependents": (get_dependents(nodes, edges, repo, here), [tie("file_path"), tie("imported")]),
+        "siblings": (get_file_symbols(nodes, repo, here, qualified_name), [tie("start_line"), tie("qualified_name"), tie("kind"), tie("signature").asc_nulls_last()]),
+    }
     out = node
-    for name, df in sections.items():
-        out = out.crossJoin(F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))))  # one row each
+    if sources is None:
+        out = out.withColumn("source", F.lit(None).cast("string"))
+    else:
+        out = out.join(sources.filter((F.col("repo") == repo) & (F.col("path") == here)).select(F.struct(*sources.columns).alias("source"), F.col("path").alias("file_path")), "file_path", "left")
+    for name, (df, order) in sections.items():
+        out = out.crossJoin(_section(df, name, order))  # one row each
     return out
 
 
@@ -159,12 +175,24 @@ def data_uri_count(imports: DataFrame) -> DataFrame:
     return imports.filter(F.col("target").startswith("data:")).groupBy("repo").agg(F.count("*").alias("n"))
 
 
+def ranked_by(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in order: ranks within range partitions plus the rows before them, no
+    single-task sort. The ranges are written down once, as two evaluations could draw them differently; ``order``
+    should tell rows apart."""
+    part, before = (f"{x}_{uuid.uuid4().hex}" for x in ("part", "before"))
+    ranged = staged(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranked")
+    begins, total = [], 0
+    for p, count in sorted(ranged.groupBy(part).count().collect()):  # a row for each partition
+        begins.append((p, total))
+        total += count
+    base = df.sparkSession.createDataFrame(begins, f"{part} int, {before} long")
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return ranged.withColumn(name, place.cast("long")).join(F.broadcast(base), part).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
+
+
 def systematic_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Every (rows / n)-th row in order: ranks within range partitions plus their offsets, no single-task sort."""
-    total = df.count()
-    step = max(1, total // max(1, n))
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    return ranked.join(F.broadcast(base), "_p").filter((F.col("_b") + F.col("_r")) % step == 0).drop("_p", "_r", "_b")
+    """Every (rows / n)-th row in order."""
+    place = f"place_{uuid.uuid4().hex}"
+    ranked = ranked_by(df, order, place)
+    step = max(1, ranked.count() // max(1, n))
+    return ranked.filter(F.col(place) % step == 0).select(*df.columns)

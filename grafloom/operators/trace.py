@@ -1,15 +1,14 @@
 """Call-path trace (depth-first, with the model's caps) and reach (breadth-first, an extension).
 
-``adjacency`` gathers what a trace can touch: per hop one join of the frontier with edges, each node's
-neighbours cut to 51 in order, which loses nothing because a trace never looks at a 52nd. A trace has at
-most 500 nodes of 51 neighbours, so the last step is one small task.
+A trace visits at most 500 nodes and looks at 51 neighbours of each, since it never needs a 52nd. So it asks
+the edges for the neighbours of the names it has met, cut to 51 in the tasks, and walks on the driver: what
+reaches it is bounded by the caps, however large the graph is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +29,9 @@ def calls(edges: DataFrame, direction: str, repo: str | None) -> DataFrame:
 
 
 def reach(edges: DataFrame, root: str, direction: str = "callees", depth: int = 3, repo: str | None = None) -> DataFrame:
-    """(qualified_name, depth): all nodes within ``depth`` hops at their least distance, the root at 0."""
-    step = calls(edges, direction, repo)
+    """(qualified_name, depth): all nodes within ``depth`` hops at their least distance, the root at 0. The calls
+    are written down once; each hop then reads two columns of them."""
+    step = staged(calls(edges, direction, repo), "calls")
     spark = edges.sparkSession
     seen = spark.createDataFrame([(root, 0)], "qualified_name string, depth int")
     front = seen
@@ -44,12 +44,12 @@ def reach(edges: DataFrame, root: str, direction: str = "callees", depth: int =
     return seen
 
 
-def adjacency(edges: DataFrame, root: str, direction: str, depth: int, repo: str | None) -> DataFrame:
-    step = calls(edges, direction, repo)
+def neighbours_of(step: DataFrame, names: list[str]) -> dict[str, list[str]]:
+    """The first 51 neighbours in order of at most 501 names: a bounded answer, kept sorted and cut in the tasks."""
+    first = F.slice(F.array_sort(F.collect_list("b")), 1, S.MAX_BREADTH + 1)
     order = Window.partitionBy("a").orderBy("b")
-    near = reach(edges, root, direction, depth - 1, repo) if depth > 1 else edges.sparkSession.createDataFrame([(root, 0)], "qualified_name string, depth int")
-    own = step.join(near.select(F.col("qualified_name").alias("a")), "a", "left_semi")
-    return own.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= S.MAX_BREADTH + 1).drop("_rn")
+    near = step.filter(F.col("a").isin(names)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= S.MAX_BREADTH + 1)
+    return {r["a"]: r["n"] for r in near.groupBy("a").agg(first.alias("n")).collect()}
 
 
 def walk(root: str, neighbours: dict[str, list[str]], depth: int) -> tuple[list[tuple], int, bool]:
@@ -77,16 +77,18 @@ def walk(root: str, neighbours: dict[str, list[str]], depth: int) -> tuple[list[
 
 
 def trace_call_path(edges: DataFrame, root: str, direction: str = "callees", depth: int = 3, repo: str | None = None) -> DataFrame:
+    """Rows of the depth-first tree. The walk is replayed over the neighbours known so far; names that it visits
+    and that have not been looked up are asked for together, until nothing is missing. A walk visits at most 500
+    nodes, so each question is about 501 names at most and there are at most ``depth`` + a few of them."""
     depth = max(1, min(int(depth), S.MAX_DEPTH))
-    near = adjacency(edges, root, direction, depth, repo)
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["a"].notna()]
-        rows, n, cut = walk(root, {a: sorted(g["b"]) for a, g in part.groupby("a")}, depth)
-        return pd.DataFrame([(*r, n, cut) for r in rows], columns=["ordinal", "parent_ordinal", "qualified_name", "level", "is_cycle", "nodes_visited", "truncated"]).astype({"parent_ordinal": "Int32"})
-
-    blank = edges.sparkSession.createDataFrame([(None, None)], "a string, b string")  # a root without neighbours still has a row
-    return near.unionByName(blank).groupBy(F.lit(1).alias("one")).applyInPandas(run, TRACE)
+    step = staged(calls(edges, direction, repo), "calls")
+    known: dict[str, list[str]] = {}
+    ask = [root]
+    while ask:
+        known |= dict.fromkeys(ask, []) | neighbours_of(step, ask)
+        rows, n, cut = walk(root, known, depth)
+        ask = list(dict.fromkeys(name for _, _, name, level, again in rows if not again and level < depth and name not in known))
+    return edges.sparkSession.createDataFrame([(*r, n, cut) for r in rows], TRACE)
 
 
 def tree_json(rows: Iterator) -> dict:

@@ -84,7 +84,7 @@ _WEB = {
     "w_imports": """
   SELECT DISTINCT 'web' AS repo, f.file_path, '/p' || CAST(g.page_id AS STRING) || CASE WHEN g.page_id % 3 = 0 THEN '?v=1' ELSE '' END AS local_name,
          'p' || CAST(g.page_id AS STRING) AS target, CASE WHEN g.page_id % 5 = 0 THEN 'external' ELSE 'asset' END AS kind
-  FROM w_files f JOIN pages g ON g.page_id = f.page_id + 1 OR g.page_id = f.page_id * 2
+  FROM (SELECT file_path, page_id + 1 AS other FROM w_files UNION ALL SELECT file_path, page_id * 2 FROM w_files) f JOIN pages g ON g.page_id = f.other
   UNION ALL
   SELECT 'web', file_path, 'logo', 'data:image/png;base64,' || CAST(page_id AS STRING), 'asset' FROM w_files WHERE page_id % 4 = 0""",
 }

@@ -8,6 +8,7 @@ archive, reading dealt out by file.
 from __future__ import annotations
 
 import os
+import posixpath
 import tarfile
 from collections.abc import Iterator
 
@@ -79,10 +80,12 @@ def _sources(spark: SparkSession, places: dict[str, str]) -> DataFrame:
     return rows.repartition(max(1, len(places)), "repo", "root")
 
 
-def scan_trees(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(repo, path, size, content) of the files with a known format below each root (a path or URI that all
-    executors reach). Linked, hidden and noise folders aren't entered; content is null where a file is larger
-    than ``max_bytes`` or can't be read."""
+_LISTED = "repo string, root string, path string, size long"
+
+
+def list_trees(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """(repo, root, path, size) of the files with a known format below each root (a path or URI that all executors
+    reach). Linked, hidden and noise folders aren't entered."""
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,6 +93,13 @@ def scan_trees(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_
                 found = [{"repo": repo, "root": root, "path": p, "size": n} for p, n in _walk(root)]
                 yield pa.RecordBatch.from_pylist(found, pa.schema([("repo", pa.string()), ("root", pa.string()), ("path", pa.string()), ("size", pa.int64())]))
 
+    return _sources(spark, roots).mapInArrow(listing, _LISTED).filter(format_of(F.col("path")).isNotNull())
+
+
+def read_files(listed: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(repo, path, size, content) of listed files; content is null where a file is larger than ``max_bytes`` or
+    can't be read."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -106,11 +116,31 @@ def scan_trees(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_
 
         yield from _batches(rows())
 
-    listed = _sources(spark, roots).mapInArrow(listing, "repo string, root string, path string, size long")
-    dealt = listed.filter(format_of(F.col("path")).isNotNull()).repartition(spark.sparkContext.defaultParallelism, "repo", "path")
+    dealt = listed.select("repo", "root", "path", "size").repartition(listed.sparkSession.sparkContext.defaultParallelism, "repo", "path")
     return dealt.mapInArrow(read, _FILES)
 
 
+def scan_trees(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(repo, path, size, content): ``list_trees`` and ``read_files`` in one."""
+    return read_files(list_trees(spark, roots), max_bytes)
+
+
+def confined(root: str, *parts: str) -> str:
+    """``root`` joined with ``parts``; an error if the result, links followed, lies outside ``root``. A URI's path is
+    normalised instead, as its store has no links."""
+    if "://" in root:
+        scheme, rest = root.split("://", 1)
+        base = posixpath.normpath(f"/{rest}")
+        full = posixpath.normpath(posixpath.join(base, *parts))
+        place = f"{scheme}://{full[1:]}"
+    else:
+        base = os.path.realpath(root)
+        full = place = os.path.realpath(os.path.join(base, *parts))
+    if full != base and not full.startswith(base.rstrip("/") + "/"):
+        raise ValueError(f"path escapes workspaces root: {'/'.join(parts)!r}")
+    return place
+
+
 def scan_tarballs(spark: SparkSession, archives: dict[str, str], max_bytes: int = MAX_FILE_BYTES, max_total: int = 2_000_000_000) -> DataFrame:
     """The same rows from tar archives, streamed; the top folder is taken off. Only regular files count, names
     that are absolute or leave the archive are passed over, and more than ``max_total`` bytes are an error."""
