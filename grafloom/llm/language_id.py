@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .features import bounded_sample, dense_batches, dense_table, sparse_rows
-from .shared import fit_in_task, lean
+from .shared import bounded_batches, fit_in_task, lean
 
 SAMPLE_ROWS = 4_000
 AMBIGUOUS = 0.05
@@ -94,6 +94,7 @@ def _fit(table: pa.Table | None) -> LanguageModel:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> LanguageModel:
+    bounded_batches(docs.sparkSession)
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("key"))
     sample = bounded_sample(labelled, "lang", F.col("key"), total=rows).select("text", "lang")
     return fit_in_task(sample.mapInArrow(lean(sparse_rows(False, [("lang", pa.string())])), "cells binary, vals binary, lang string"), _fit)
@@ -131,6 +132,7 @@ def _judge(model: LanguageModel, lead: list[str]):
 
 
 def _judged(docs: DataFrame, model: LanguageModel, text_col: str, lead: dict[str, Column]) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     text: Column = F.col(text_col).cast("string")
     rows = docs.select(text.alias("text"), text.rlike(r"\p{L}").alias("lettered"), *(c.alias(name) for name, c in lead.items()))
     schema = StructType(rows.schema.fields[2:]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")

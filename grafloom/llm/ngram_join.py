@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components, local_components
-from .shared import id_filter, in_bits, in_filter, lean, spare, staged, unstage, with_columns
+from .shared import bounded_batches, id_filter, in_bits, in_filter, lean, spare, staged, unstage, with_columns
 
 #: Text of a batch whose classes are known by short numbers, and the most classes in one.
 BATCH_BYTES = 16 << 20
@@ -521,6 +521,7 @@ def _tied(rows: DataFrame, least: DataFrame) -> DataFrame:
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = tk.SHINGLE_WORDS, percent: int = 75) -> NgramJoin:
     """Links rows whose shingle sets have a Jaccard similarity of at least ``percent`` / 100; see the module."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import in_task, lean, staged
+from .shared import bounded_batches, in_task, lean, staged
 from .tokens import encoder
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
@@ -176,6 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     if capacity % step:
         raise ValueError("capacity must be a multiple of step")
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = staged(source.mapInArrow(lean(_pieces(tokenizer_path, end_id, capacity), tokens=True), PIECES), "pieces")
     pieces = pieces.withColumn("class", _length_class(F.ceil(F.col("length") / step).cast("int"), capacity // step))

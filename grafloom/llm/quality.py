@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import bounded_sample, dense_batches, dense_table, sparse_rows
-from .shared import fit_in_task, lean
+from .shared import bounded_batches, fit_in_task, lean
 
 SAMPLE_ROWS = 3_000
 
@@ -117,6 +117,7 @@ def rate_documents(docs: DataFrame, labels: DataFrame, keep: float = 0.5, id_col
     The sample is drawn from the labels, so only its ids (a broadcast of bounded size) meet the texts; of
     documents that repeat a sampled id the least text is learned from.
     """
+    bounded_batches(docs.sparkSession)
     rated = labels.groupBy(F.col(id_col).alias("_id")).agg(grade(F.min("quality"), F.max("toxic")).alias("grade"))
     drawn = bounded_sample(rated.filter("_id IS NOT NULL AND grade IS NOT NULL"), "grade", F.col("_id"), rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")

@@ -7,6 +7,7 @@ so a lost executor costs a re-read and never the data.
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import re
 import sys
@@ -99,8 +100,23 @@ def with_columns(fields: list[tuple[str, pa.DataType]]) -> Callable[..., pa.Reco
     return make
 
 
+#: Text that travels to a Python worker at once. The engine's own limit counts rows, and rows are of any length.
+ARROW_BYTES = 2 << 20
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on bytes in an Arrow batch to ARROW_BYTES, unless it is lower."""
+    now = spark.conf.get(_ARROW_SETTING, None)
+    told = re.fullmatch(r"(\d+)([bkmg]?)b?", (now or "").lower())
+    size = int(told[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[told[2]] if told else 0
+    if not 0 < size <= ARROW_BYTES:
+        spark.conf.set(_ARROW_SETTING, f"{ARROW_BYTES}b")
+
+
 def _tidy() -> None:
     """Gives back what this worker holds unused; Spark keeps idle workers."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

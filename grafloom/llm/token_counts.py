@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from . import textkit as tk
-from .shared import id_filter, in_filter, lean, new_folder, staged
+from .shared import bounded_batches, id_filter, in_filter, lean, new_folder, staged
 from .tokens import encoder, version
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -64,6 +64,7 @@ def _hot(keyed: DataFrame, counts: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = cache_folder or default_folder(spark)
     name = version(tokenizer_path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import add_sketches, lean, new_folder, sketch_rows, staged, unstage
+from .shared import add_sketches, bounded_batches, lean, new_folder, sketch_rows, staged, unstage
 from .tokens import encoder
 
 SHARD_IDS = 2_000_000
@@ -178,6 +178,7 @@ class TokenFiles:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encodes every text, adds ``end_id`` to each and writes the files in ascending id order."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = folder or new_folder(spark, "token-files")
     system, name = fs.FileSystem.from_uri(folder)
     system.create_dir(name, recursive=True)
