@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns with them, whose text is neither ``und`` nor ambiguous, row by row."""
     model = train(docs.filter(~held_out(id_col)), text_col, lang_col, id_col)
-    found = _judged(docs, model, text_col, {"row": F.struct(*docs.columns)})
+    found = _judged(docs, model, text_col, {"row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))})
     return found.filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select("row.*")
 
 

@@ -9,8 +9,8 @@ terms, in growing steps that tighten the candidates. Shards and blocks of querie
 the k best of each are merged by a top-k per query.
 
 Defined cases: rows with a null id or a null, empty or non-finite vector take no part; queries meet only
-vectors of their own length; repeated ids are separate candidates, and a query meets every row of another
-id; fewer than k candidates give fewer rows; extra columns are ignored; scores saturate at 64 bits.
+vectors of their own length; repeated ids are separate candidates, a query meets every row of another id, and of
+rows that share a query's id the one with the least vector asks; fewer than k candidates give fewer rows; extra columns are ignored; scores saturate at 64 bits.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarra
         spread = upper - lower
         terms = np.argsort(-spread.astype(float), kind="stable")
         rest = np.append(np.cumsum(upper[terms][::-1])[::-1], 0)  # most that terms from here on can add
+        least = np.append(np.cumsum(lower[terms][::-1])[::-1], 0)
         alive = np.flatnonzero(ids != name)
         if not len(alive):
             continue
@@ -81,6 +82,9 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarra
         partial = partial[alive]
         at, step = essential, 4
         while at < dims:
+            if len(partial) >= k:  # k documents are sure of this much: the threshold rises as terms are probed
+                sure = np.partition(partial, len(partial) - k)[len(partial) - k] + least[at]
+                theta = sure if theta is None else max(theta, sure)
             if theta is not None:
                 stay = partial + rest[at] >= theta
                 alive, partial = alive[stay], partial[stay]

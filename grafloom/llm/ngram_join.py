@@ -581,7 +581,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         named = named.join(least, "label", "left")
     else:  # most classes have no links: only the others look for the smallest id of their component
         alone = named.filter("links = 0").withColumn("least", F.col("class_id"))
-        named = named.filter("links > 0").join(least, "label").unionByName(alone)
+        named = named.filter("links > 0").join(staged(least, "ngram-least"), "label").unionByName(alone)
     rows = digests.join(named, ["fp", "fp2", "n"], "left").withColumn("least", F.coalesce("least", "id"))
     if tied:  # a wordless text follows the other texts of its id
         rows = rows.join(rows.join(several, "id", "left_semi").groupBy("id").agg(F.min("least").alias("mine")), "id", "left").withColumn("least", F.least("least", "mine"))
@@ -608,14 +608,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """One row of each group of linked texts: that with the smallest id. Decided by row: another text under the same id
     stays if its own text is linked with none that goes before it. Rows with a null id and wordless rows stay; of
     rows that repeat id and text one stays. Only rows whose id is among those that lose a row are shuffled."""
-    rows = ngram_jaccard_join(docs, id_col, text_col, words, percent).documents.filter("text_component is not null").select(F.col(id_col).alias("id"), "text_component", F.col("text_key").alias("key"))
-    rows = rows.groupBy("id", "key", "text_component").agg(F.count("*").alias("times"))
-    first = rows.groupBy("text_component").agg(F.min(F.struct("id", "key")).alias("first"))
+    # A row without links stays; the first rows of the others are written down, so that a join with a hot group can be split.
+    rows = ngram_jaccard_join(docs, id_col, text_col, words, percent).documents.filter("text_component is not null and n_links > 0").select(F.col(id_col).alias("id"), "text_component", F.col("text_key").alias("key"))
+    rows = staged(rows.groupBy("id", "key", "text_component").agg(F.count("*").alias("times")), "ngram-rows")
+    first = staged(rows.groupBy("text_component").agg(F.min(F.struct("id", "key")).alias("first")), "ngram-first")
     judged = rows.join(first, "text_component").select("id", "key", (F.struct("id", "key") == F.col("first")).alias("stays"), "times")
     judged = staged(judged.filter("not stays or times > 1"), "ngram-judged")
     bits = id_filter(judged.select("id"), judged.count())
     row_id, key, ident, text_key, stays = (spare(docs, x) for x in ("row_id", "key", "ident", "text_key", "stays"))
-    names, ids = docs.columns, F.col(id_col).cast("long")
+    names, ids = [f"`{c}`" for c in docs.columns], F.col(id_col).cast("long")
     touched = docs.withColumn(key, _text_key(words, bits)(ids, F.col(text_col).cast("string"))).filter(F.col(key).isNotNull()).withColumn(row_id, ids)
     judged = judged.toDF(ident, text_key, stays, "times").drop("times")
     decided = touched.join(judged, (F.col(row_id) == F.col(ident)) & (F.col(key) == F.col(text_key)), "left")

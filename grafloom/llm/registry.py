@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, language_id, maxscore, mixing, ngram_join, packing, quality, secret_forest, token_counts, token_files
+from .ngram_sql import NGRAM_SQL
 
 END_ID = 2
 
@@ -63,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore": maxscore.TOP_SQL, "op4_mixing": mixing.MIX_SQL}
+    return {"op1_ngram_join": NGRAM_SQL, "op3_maxscore": maxscore.TOP_SQL, "op4_mixing": mixing.MIX_SQL}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grafloom.llm import ann, features, language_id, maxscore, mixing, packing, quality, secret_forest, token_counts, token_files
+from grafloom.llm import ann, features, language_id, maxscore, mixing, ngram_join, packing, quality, secret_forest, token_counts, token_files
 from grafloom.llm.shared import new_folder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -266,3 +266,29 @@ def test_stored_counts_are_the_ones_returned(spark):
     assert {again["1", 13].n_tokens, again["1", 17].n_tokens} == {777} and again["1", 13].over_limit
     assert {(i, b, r.n_tokens) for (i, b), r in again.items() if i != "1"} == {x for x in honest if x[0] != "1"}
     assert token_counts.open_cache(spark, other).count() == stored.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Without a checkpoint folder only a local session gets a temporary one."""
+    from types import SimpleNamespace as Fake
+
+    from grafloom.llm import shared
+    from grafloom.plans import staging
+
+    cluster = Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(getCheckpointDir=lambda: None, master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError):
+        shared.shared_root(cluster)
+    with pytest.raises(ValueError):
+        staging.staged(Fake(sparkSession=cluster), "x")
+    named = Fake(conf=Fake(get=lambda *_: "hdfs://all/see/"), sparkContext=cluster.sparkContext)
+    assert shared.shared_root(named) == "hdfs://all/see"
+
+
+def test_columns_with_odd_names(spark):
+    """Names with dots and quotes pass through the filtering stages."""
+    rng = random.Random(5)
+    data = [(i, " ".join(rng.choice(["the", "of", "and", "house", "river"]) for _ in range(20)), "en", "s", "v") for i in range(40)]
+    docs = spark.createDataFrame([*data, (99, data[0][1], "en", "s", "v")], ["doc_id", "text", "lang", "source", "a.b c"])
+    for made in (language_id.kept(docs), ngram_join.keep_one(docs), mixing.mixed(docs), secret_forest.redact(docs)):
+        assert made.columns == docs.columns and made.count() > 0
+    assert ngram_join.keep_one(docs).count() == 40
