@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grafloom.llm import language_id, mixing, ngram_join, packing, secret_forest
 from grafloom.llm.registry import END_ID
-from grafloom.llm.shared import staged
+from grafloom.llm.shared import staged, unstage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:  # what no later stage reads
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
