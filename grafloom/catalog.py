@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_control, catalog_files
 from . import schema as S
 from .operators import events as E
 from .operators import graph as G
 from .operators import resolve as R
 from .operators import trace as T
-from .sources.adapters import cte
-from .sources.adapters import graph as view
+from .operators.extract import html_refs as html_refs_of
+from .sources.adapters import cte, table
+from .sources.adapters import table as view
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,11 +34,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | catalog_files.QUERIES | catalog_control.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_files.SQL | catalog_control.SQL
 
 
 def _root(d: DataFrame) -> str:
@@ -132,7 +134,7 @@ def find_node(spark, d):
 @_query()
 def node_context(spark, d):
     nodes, imports = view(spark, d, "s_nodes"), view(spark, d, "s_imports")
-    return G.node_context(nodes, R.resolve_edges(view(spark, d, "s_raw"), nodes, imports), imports, REPO, NATION)
+    return G.node_context(nodes, _resolved(spark, d), imports, REPO, NATION)
 
 
 _PREFIX = """
@@ -165,13 +167,18 @@ done AS (
 _RESOLVED = cte("s_nodes", "s_raw", "s_imports") + "," + _PREFIX
 
 
-def _resolved(spark, d) -> DataFrame:
+def _cascade(spark, d) -> DataFrame:
     return R.resolve_edges(view(spark, d, "s_raw"), view(spark, d, "s_nodes"), view(spark, d, "s_imports"))
 
 
+def _resolved(spark, d) -> DataFrame:
+    """The edges as a graph holds them: resolved once, when it was made."""
+    return table(spark, d, "s_resolved", lambda: _cascade(spark, d))
+
+
 @_query(_RESOLVED + "SELECT * FROM done")
 def resolve_cascade(spark, d):
-    return _resolved(spark, d)
+    return _cascade(spark, d)
 
 
 def _rule(rule: str) -> None:
@@ -282,9 +289,15 @@ def trace_tree(spark, d):
     return T.trace_call_path(view(spark, d, "p_edges"), _root(view(spark, d, "p_nodes")), "callees", 3)
 
 
-@_query("SELECT page_id, CAST(k AS INT) AS pos, ref FROM (SELECT page_id, unnest(r) AS ref, unnest(range(len(r))) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?i)\\s(?:href|src)\\s*=\\s*\"([^\"]*)\"', 1) AS r FROM pages)) WHERE NOT contains(ref, '{{') AND NOT ref LIKE '#%' AND ref <> ''")
+_REFS = r"""SELECT page_id, CAST(k AS INT) AS pos, trim(trim(ref, ''''), '"') AS ref FROM (SELECT page_id, unnest(r) AS ref, unnest(range(len(r))) AS k FROM (
+  SELECT page_id, list_filter(flatten(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script>', '\1', 'g'), '<[A-Za-z](?:"[^"]*"|''[^'']*''|[^''">])*>'),
+    lambda t: regexp_extract_all(t, '[\s"''](?:src|href)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1))),
+    lambda x: trim(trim(x, ''''), '"') <> '' AND NOT contains(x, '{{') AND NOT contains(x, '{%') AND NOT lower(trim(trim(x, ''''), '"')) LIKE 'data:%') AS r FROM pages))"""
+
+
+@_query(_REFS)
 def html_refs(spark, d):
-    return E.html_refs(spark.read.parquet(f"{d}/pages.parquet"))
+    return html_refs_of(spark.read.parquet(f"{d}/pages.parquet"))
 
 
 @_query("SELECT source AS repo, 'd' || CAST(doc_id AS STRING) AS path, CASE WHEN doc_id % 10 = 0 THEN 'deleted' WHEN doc_id % 10 = 1 THEN 'added' WHEN doc_id % 10 = 2 THEN 'changed' ELSE 'same' END AS change FROM documents")

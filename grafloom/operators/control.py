@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import TENANT_SLUG, valid_repo_name
 from .events import fail_stale, retention
 
 # Labels that signatures are derived with, how old a signed request may be, the text of a dead job.
 WEBHOOK_LABEL, APP_LABEL, HEADER = "webhook", "enqueue", "sha256="
 MAX_SKEW_SECONDS = 300
+MAX_ERROR_CHARS = 2000
+OWNER_NAME = r"^[A-Za-z0-9-]+/[A-Za-z0-9._-]+$"
 REQUESTS = "tenant_id long, repo_name string, trigger string"
 
 
@@ -59,6 +62,48 @@ def claimed(jobs: DataFrame, wanted: DataFrame, now: Column, stale: str = "20 mi
     return jobs.join(ask, "id", "left").withColumns(changed | {"claimed": free}).select(*jobs.columns, "claimed")
 
 
+def finished(jobs: DataFrame, results: DataFrame, now: Column, most: int = MAX_ERROR_CHARS) -> DataFrame:
+    """The job table after ``results`` (id, ok, commit_sha, error, stats): a result without a commit keeps the one that
+    the job has, an error is cut to ``most`` characters, and an empty one counts as none."""
+    told = results.select("id", "ok", F.col("commit_sha").alias("new_sha"), F.col("error").alias("new_error"), F.col("stats").alias("new_stats"))
+    cut = F.substring("new_error", 1, most)
+    done = F.col("ok").isNotNull()
+    changed = {
+        "status": F.when(done, F.when(F.col("ok"), "succeeded").otherwise("failed")).otherwise(F.col("status")),
+        "finished_at": F.when(done, now).otherwise(F.col("finished_at")),
+        "commit_sha": F.coalesce("new_sha", "commit_sha"),
+        "error": F.when(done, F.when(cut != "", cut)).otherwise(F.col("error")),
+        "stats": F.when(done, F.col("new_stats")).otherwise(F.col("stats")),
+    }
+    return jobs.join(told, "id", "left").withColumns(changed).select(*jobs.columns)
+
+
+def pinned(connections: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Connections at the commit of their last successful job, where that has one."""
+    good = jobs.filter("status = 'succeeded' and commit_sha is not null")
+    last = good.groupBy("tenant_id", "repo_name").agg(F.max_by("commit_sha", F.struct("finished_at", "id")).alias("indexed_sha"))
+    return connections.join(last, ["tenant_id", "repo_name"], "left").withColumn("git_ref", F.coalesce("indexed_sha", "git_ref")).select(*connections.columns)
+
+
+def patched(rows: DataFrame, patches: DataFrame, keys: list[str], clear: str | None = None) -> DataFrame:
+    """Rows with the values of their patch put in: a null keeps what is there. With ``clear`` the patch has a boolean
+    column of that name for each key, and where it is true nulls are put in too."""
+    fields = [c for c in rows.columns if c not in keys and c in patches.columns]
+    new = patches.select(*keys, *(F.col(c).alias(f"new_{c}") for c in fields), *([clear] if clear else []))
+    force = F.coalesce(F.col(clear), F.lit(False)) if clear else F.lit(False)
+    put = {c: F.when(force, F.col(f"new_{c}")).otherwise(F.coalesce(f"new_{c}", c)) for c in fields}
+    return rows.join(new, keys, "left").withColumns(put).select(*rows.columns)
+
+
+def valid_rows(connections: DataFrame) -> DataFrame:
+    """Connections that the table's checks admit: a name of known characters, an ``owner/name`` whose second part isn't
+    a folder's own name, and a slug."""
+    name = valid_repo_name(F.col("repo_name"))
+    second = F.split_part("external_repo", F.lit("/"), F.lit(2))
+    outside = F.col("external_repo").rlike(OWNER_NAME) & ~second.isin(".", "..")
+    return connections.filter(name & outside & F.col("slug").rlike(TENANT_SLUG))
+
+
 def needs_run(claims: DataFrame, heads: DataFrame) -> DataFrame:
     """Claims whose branch has moved since the last run: all but those at the commit that was indexed, unless asked
     for by hand. ``heads``: (external_repo, branch, sha); ``indexed`` tells whether the repository has a graph."""
@@ -104,8 +149,8 @@ def memberships(users: DataFrame, members: DataFrame, tenants: DataFrame) -> Dat
 
 
 def primary_membership(rows: DataFrame) -> DataFrame:
-    """Of each user's memberships the first: as an administrator before others, then by tenant."""
-    pick = F.min_by(F.struct("slug", "role"), F.struct(F.when(F.col("role") == "admin", 0).otherwise(1), F.col("tenant_id")))
+    """Of each user's memberships the first: as an owner before others, then by tenant."""
+    pick = F.min_by(F.struct("slug", "role"), F.struct(F.when(F.col("role") == "owner", 0).otherwise(1), F.col("tenant_id")))
     return rows.groupBy("user_id").agg(pick.alias("m")).select("user_id", "m.*")
 
 

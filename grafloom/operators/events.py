@@ -1,4 +1,4 @@
-"""Change detection, job log and rate-window operators in batch form (streams: the streaming package)."""
+"""Change detection, job log and rate-window operators in batch form (as streams: ``streaming``)."""
 
 from __future__ import annotations
 
@@ -9,15 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HREF = r'(?i)\s(?:href|src)\s*=\s*"([^"]*)"'
-
-
-def html_refs(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, ref): href and src values in order, without templated, empty and in-page ones."""
-    refs = F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("pos", "ref")
-    return pages.select("page_id", refs).filter(~F.col("ref").contains("{{") & ~F.col("ref").startswith("#") & (F.col("ref") != ""))
-
-
 def change_set(old: DataFrame, new: DataFrame) -> DataFrame:
     """(repo, path, change) between two listings of (repo, path, hash): added, changed, same, deleted."""
     a, b = (df.select("repo", "path", F.col("hash").alias(side), F.lit(True).alias(f"in_{side}")) for df, side in ((old, "old"), (new, "new")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="grafloom-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/graph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -16,7 +16,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .. import schema as S
+from ..plans.staging import staged
 
 _PARTS = {
     "p_nodes": """
@@ -88,14 +88,41 @@ _WEB = {
   UNION ALL
   SELECT 'web', file_path, 'logo', 'data:image/png;base64,' || CAST(page_id AS STRING), 'asset' FROM w_files WHERE page_id % 4 = 0""",
 }
+#: A tree of files in every format, eight for each part and two that they share: (path, text).
+_TREE = {
+    "x_files": r"""
+  SELECT 'tree' AS repo, path, text FROM (
+    SELECT 'src/m' || k || '.py' AS path, 'import os' || nl || 'from .m' || n || ' import f' || n || ' as g' || nl || nl || nl || 'class C' || k || '(Base):' || nl || '    def run(self):' || nl || '        return g(self.x())' || nl || nl || nl || 'def f' || k || '():' || nl || '    return C' || k || '()' || nl AS text FROM x_keys
+    UNION ALL
+    SELECT 'web/n' || k || '.js', 'import { h' || n || ' as b } from ''./n' || n || '.js'';' || nl || 'export function h' || k || '() { return b(); }' || nl || 'const z' || k || ' = () => h' || k || '();' || nl FROM x_keys
+    UNION ALL
+    SELECT 'site/p' || k || '.html', '<a href="/docs/d' || k || '"><img src=''../img/i' || r || '.png?v=1''><link href=css/s' || r || '.css><!-- <a href="/no"> --><script src="https://cdn.example/x.js">var a = 1; "<a href=''/inner''>"</script><a href="#top"><a href="data:x"><a href="/docs/d' || k || '">' FROM x_keys
+    UNION ALL
+    SELECT 'css/c' || k || '.css', '/* @import "no.css"; */ @import url(base' || r || '.css); @import "../theme.css";' FROM x_keys
+    UNION ALL
+    SELECT 'pkg/k' || k || '/package.json', '{"name": "p", "dependencies": {"react": "1", "lib' || r || '": "2"}, "devDependencies": {"react": "3", "dev_' || r || '": "1"}}' FROM x_keys
+    UNION ALL
+    SELECT 'tpl/t' || k || '.html', '{% extends "tpl/base.html" %}' || nl || '{% from "tpl/macros.html" import field as fld, other with context %}' || nl || '{% macro own' || k || '(a) %}{{ fld(a) }}{% endmacro %}{{ url_for("x") }}{{ own' || k || '(1) }}' FROM x_keys
+    UNION ALL
+    SELECT 'ops/o' || k || '/compose.yml', 'services:' || nl || '  web' || k || ':' || nl || '    image: x' || nl || '    depends_on:' || nl || '      - db' || nl || '  db:' || nl || '    image: y' || nl FROM x_keys
+    UNION ALL
+    SELECT 'cfg/a' || k || CASE WHEN q = 0 THEN '.txt' WHEN q = 1 THEN '.bad.py' ELSE '.ini' END, CASE WHEN q = 1 THEN 'def (' ELSE 'a = 1' END FROM x_keys
+    UNION ALL
+    SELECT 'src/base.py', 'class Base:' || nl || '    pass' || nl FROM x_keys WHERE k = '1'
+    UNION ALL
+    SELECT 'tpl/macros.html', '{% macro field(a) %}{% endmacro %}' FROM x_keys WHERE k = '1') t""",
+    "x_keys": r"""
+  SELECT CAST(p_partkey AS STRING) AS k, CAST(p_partkey + 1 AS STRING) AS n, CAST(p_partkey % 3 AS STRING) AS r, p_partkey % 3 AS q, '
+' AS nl, p_partkey AS partkey FROM part""",
+}
 _JOBS = {
     "jobs": """
   SELECT event_id AS id, user_id % 5 AS tenant_id, 'r' || CAST(user_id AS STRING) AS repo_name, event_type AS trigger, ts AS created_at,
          CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' ELSE 'failed' END AS status FROM events""",
 }
-GRAPHS = {"parts": _PARTS, "supply": _SUPPLY, "web": _WEB, "jobs": _JOBS}
+GRAPHS = {"parts": _PARTS, "supply": _SUPPLY, "web": _WEB, "tree": _TREE, "jobs": _JOBS}
 #: Views in the order in which they can be made.
-ORDER = ["p_nodes", "p_edges", "s_nodes", "s_orders", "s_links", "s_imports", "s_raw", "w_files", "w_nodes", "w_imports", "jobs"]
+ORDER = ["p_nodes", "p_edges", "s_nodes", "s_orders", "s_links", "s_imports", "s_raw", "w_files", "w_nodes", "w_imports", "x_keys", "x_files", "jobs"]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
 
 
@@ -116,14 +143,27 @@ def cte(*views: str) -> str:
 
 def graph(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """One view of a folder's tables, bound as arguments so that no session-wide names are made."""
-    text = cte(view) + f"\nSELECT * FROM {view}"
+    text = (cte(view) + f"\nSELECT * FROM {view}").replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", text)]
     for t in used:
         text = re.sub(rf"(FROM|JOIN) {t}\b(?! AS)", rf"\1 {{{t}}}", text)
-    text = re.sub(r"\{(\w+)\} ([ab]|g) ", r"{\1} AS \2 ", text)
+    text = re.sub(r"(?<!\{)\{(\w+)\} ([ab]|g) ", r"{\1} AS \2 ", text)
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
-def check_columns(df: DataFrame, table: str) -> DataFrame:
-    """``df`` in the model's columns and types."""
-    return df.selectExpr(*(f"cast({c} as {k}) as {c}" for c, k in (x.split() for x in S.TABLES[table].split(", "))))
+_STAGED: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells a folder's tables from an earlier state of them: sizes and times of change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, make=None) -> DataFrame:
+    """A view (or what ``make`` gives) as a table of its own, written once for a session and state of the folder, as a
+    graph store holds its tables; queries then read columns and rows of it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
+    if key not in _STAGED:
+        _STAGED[key] = staged(make() if make else graph(spark, sf_dir, name), name)
+    return _STAGED[key]

@@ -93,3 +93,30 @@ def test_preview_and_readme(spark):
     got = {r.path: (r.found, r.error, r.text, r.truncated, r.line_count) for r in S.preview(files, 4).collect()}
     assert got["README.txt"] == (True, None, "ab", True, 1) and got["readme.md"][:3] == (False, "binary", None) and got["x"][:2] == (False, "unreadable")
     assert [tuple(r) for r in S.readme_of(files).collect()] == [("r", "readme.md")]
+
+
+def test_compose_flow_style():
+    """Flow mappings of services and dependencies, over one line or several, give what block style gives."""
+    from grafloom.operators.extract import _flow, compose
+
+    block = compose("c.yml", "services:\n  web:\n    image: x\n    depends_on:\n      db:\n        condition: ok\n      cache: {}\n  db:\n    image: y\n")
+    flow = compose("c.yml", "services: {web: {image: 'x:1', depends_on: {db: {condition: ok}, cache: {}}},\n  db: {image: y}}\n")
+    mixed = compose("c.yml", "services:\n  web: {image: x, depends_on: [db,\n    cache]}\n  db:\n    image: y\n")
+    for found in (flow, mixed):
+        assert set(found.edges) == set(block.edges) and set(found.imports) == set(block.imports)
+        assert [n["name"] for n in found.nodes.values()] == ["web", "db"]
+    assert _flow("{a: [x, 'y, z'], b: http://h:1/p, c: {d: }}") == {"a": ["x", "y, z"], "b": "http://h:1/p", "c": {"d": ""}}
+
+
+def test_template_grammar():
+    """Quotes, comments, aliases, context clauses and attribute calls of templates."""
+    from grafloom.operators.extract import template
+
+    source = """{# {% import "no.html" as no %} #}{%- extends 'base.html' -%}
+{% from "forms.html" import field, button as btn without context %}{% import 'm.html' as m %}
+{% macro own(a, b=1) %}{{ caller() }}{% endmacro %}{% call m.box(field("x()")) %}{{ btn ( 1 ) }}{{ a.field() }}{{ url_for('x') }}{% endcall %}
+{% include "part.html" ignore missing %}{% include name %}"""
+    found = template("t.html", source)
+    assert list(found.refs) == ["base.html", "forms.html", "m.html", "part.html"]
+    assert {e["dst_raw"] for e in found.edges.values() if e["edge_type"] == "CALLS"} == {"m.box", "field", "btn"}
+    assert [(n["name"], n["start_line"]) for n in found.nodes.values()] == [("own", 3)]

@@ -135,10 +135,10 @@ def test_control_joins(spark):
 def test_members_and_sets(spark):
     tenants, _, _ = control_tables(spark)
     users = spark.createDataFrame([(1, "ann"), (2, "bo")], "id long, login string")
-    members = spark.createDataFrame([(1, 1, "member"), (1, 3, "admin"), (2, 2, "admin")], "user_id long, tenant_id long, role string")
+    members = spark.createDataFrame([(1, 1, "member"), (1, 3, "owner"), (2, 2, "owner")], "user_id long, tenant_id long, role string")
     rows = C.memberships(users, members, tenants)
-    assert sorted(tuple(r) for r in rows.collect()) == [(1, "ann", 1, "one", "member"), (1, "ann", 3, "three", "admin")]
-    assert [tuple(r) for r in C.primary_membership(rows).collect()] == [(1, "three", "admin")]
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "ann", 1, "one", "member"), (1, "ann", 3, "three", "owner")]
+    assert [tuple(r) for r in C.primary_membership(rows).collect()] == [(1, "three", "owner")]
     a, b = (spark.createDataFrame([(x,) for x in t], "n string") for t in ("aab", "bc"))
     assert sorted(tuple(r) for r in C.compared(a, b, ["n"]).collect()) == [("a", "left"), ("b", "both"), ("c", "right")]
     assert [r.x for r in a.select(C.any_of(F.col("n"), ["a"]).alias("x")).collect()] == [True, True, False] and a.filter(C.any_of(F.col("n"), [])).count() == 0
