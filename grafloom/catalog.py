@@ -85,11 +85,6 @@ def search_symbol_glob(spark, d):
     return G.search_symbol(view(spark, d, "s_nodes"), "supplier#0000000?1", REPO, 5000)
 
 
-@_query(_search_sql("p_nodes", "%\\_%", 100))
-def search_symbol_escaped(spark, d):
-    return G.search_symbol(view(spark, d, "p_nodes"), "_")
-
-
 _FIRST_PART = "(SELECT qualified_name FROM p_nodes WHERE kind = 'Function' ORDER BY start_line, qualified_name LIMIT 1)"
 
 
@@ -126,6 +121,15 @@ def file_symbols(spark, d):
     return G.get_file_symbols(view(spark, d, "s_nodes"), REPO, f"{NATION}.py")
 
 
+@_query(f"""{cte("s_nodes")}, own AS (SELECT * FROM s_nodes WHERE repo = '{REPO}' AND file_path = '{NATION}.py' AND kind <> 'File')
+SELECT kind, name, qualified_name, start_line, signature FROM (SELECT * FROM own ORDER BY start_line, qualified_name, kind, signature NULLS LAST LIMIT 200) x WHERE qualified_name <> (SELECT min(qualified_name) FROM own WHERE start_line = (SELECT min(start_line) FROM own))""")
+def file_symbols_excluded(spark, d):
+    """The excluded symbol is the first, so that the limit is seen to come before it."""
+    nodes = view(spark, d, "s_nodes")
+    first = nodes.filter((F.col("repo") == REPO) & (F.col("file_path") == f"{NATION}.py") & (F.col("kind") != "File")).agg(F.min(F.struct("start_line", "qualified_name"))["qualified_name"]).first()[0]
+    return G.get_file_symbols(nodes, REPO, f"{NATION}.py", first)
+
+
 @_query(f"""{cte("s_nodes")} SELECT repo, kind, name, qualified_name, file_path, start_line, end_line, signature FROM s_nodes WHERE qualified_name = '{NATION}' ORDER BY CASE kind WHEN 'File' THEN 1 ELSE 0 END, repo, file_path, start_line, kind LIMIT 1""")
 def find_node(spark, d):
     return G.find_node(view(spark, d, "s_nodes"), NATION)

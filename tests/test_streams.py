@@ -166,3 +166,21 @@ def test_batches_are_committed_once(spark, tmp_path):
 def test_changes_with_null_hashes(spark):
     old, new = (spark.createDataFrame(rows, "repo string, path string, hash string") for rows in ([("r", "a", None), ("r", "b", "x"), ("r", "c", "x"), ("r", "e", None)], [("r", "a", None), ("r", "b", None), ("r", "d", None), ("r", "e", "y")]))
     assert {r.path: r.change for r in E.change_set(old, new).collect()} == {"a": "same", "b": "changed", "c": "deleted", "d": "added", "e": "changed"}
+
+
+def test_running_jobs_index_their_repository(spark, tmp_path):
+    """A running job indexes its repository, a second one of the same checkpoint re-indexes it; queued ones do nothing."""
+    from grafloom.api import CodeGraph
+
+    for name in ("a", "b"):
+        (tmp_path / "work" / name).mkdir(parents=True)
+        (tmp_path / "work" / name / "m.py").write_text("def f():\n    return 1\n")
+    graph = CodeGraph(spark, GraphStore(spark, f"file://{tmp_path}/store"), str(tmp_path / "work"))
+    rows = [(1, "a", 1, "running", "push", 1, 5), (1, "b", 1, "queued", "push", 0, 5)]
+    stream = batches(spark, tmp_path, rows, jobs.TRANSITIONS, 1)
+    route.index_on_change(stream, graph, f"{tmp_path}/cp").awaitTermination(240)
+    assert [r["name"] for r in graph.list_repositories()] == ["a"]
+    (tmp_path / "work" / "a" / "n.py").write_text("def g():\n    return 2\n")
+    spark.createDataFrame([(1, "a", 2, "running", "push", 1, 9)], jobs.TRANSITIONS).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    route.index_on_change(stream, graph, f"{tmp_path}/cp").awaitTermination(240)
+    assert [r["file_count"] for r in graph.list_repositories()] == [2]
