@@ -6,10 +6,12 @@ so a lost executor costs a re-read and never the data.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import pickle
 import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -33,6 +35,7 @@ def shared_root(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="grafloom-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
