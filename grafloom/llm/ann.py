@@ -5,8 +5,9 @@ projections. A query opens a window around its own projection in every array; th
 virtual rehashing (the radius is multiplied, no table is built anew). A vector met in at least a share
 ``THRESHOLD`` of the windows is verified with the exact cosine. A query stops when k verified vectors lie
 within the radius that its windows stand for, or when the share of the shard that ``verify_share`` gives for the
-dimension (and at least ``VERIFY_LEAST`` vectors) has been verified; with ``share`` 1 all are, and the result is
-exact. Equal vectors of a shard are one entry; of their ids the k + 1 smallest are kept, since no others can stand
+dimension (and at least ``VERIFY_LEAST`` vectors) has been verified. That is looked at after each step, and a step
+widens every window by a quarter, so about twice the share is verified in fact (0.61 of a shard at 64 components);
+with ``share`` 1 all vectors are, and the result is exact. Equal vectors of a shard are one entry; of their ids the k + 1 smallest are kept, since no others can stand
 among the k nearest. Every row is indexed.
 
 Recall against brute force is measured in ``tests/llm``. Defined cases: rows with a null id or a null, zero
@@ -34,7 +35,7 @@ _HITS = "query_id long, vec_id long, score double"
 
 
 def verify_share(dim: int) -> float:
-    """The share of a shard that a query may verify when none is given: 0.3 up to 64 components, then growing with the
+    """The share of a shard at which a query stops when none is given: 0.3 up to 64 components, then growing with the
     root of their number, all from about 700 on, since projections of long vectors tell ever less about distance."""
     return min(1.0, 0.3 * max(1.0, dim / 64) ** 0.5)
 
