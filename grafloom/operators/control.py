@@ -200,6 +200,19 @@ def verified_pushes(pushes: DataFrame, connections: DataFrame, tenants: DataFram
     return on_branch(signed).select("tenant_id", "repo_name", F.lit("push").alias("trigger"))
 
 
+def delivery_outcomes(deliveries: DataFrame, connections: DataFrame, tenants: DataFrame, master: str) -> DataFrame:
+    """(id, status, connections, requests) of deliveries (id, event, body, signature, full_name, ref, default_branch): 400
+    where the body names no repository, 401 where no connection's secret signed it, 200 for a ping, 202 for anything
+    else; ``requests`` counts the connections whose branch was pushed to."""
+    matching = push_candidates(deliveries.filter("full_name is not null"), connections, tenants)
+    signed = matching.filter(push_verified(master)("tenant_id", "repo_name", "body", "signature"))
+    branch = on_branch(signed.filter("event = 'push'")).groupBy("id").agg(F.count("*").alias("requests"))
+    counts = signed.groupBy("id").agg(F.count("*").alias("connections"))
+    told = deliveries.select("id", "event", "full_name").join(counts, "id", "left").join(branch, "id", "left")
+    status = F.when(F.col("full_name").isNull(), 400).when(F.col("connections").isNull(), 401).when(F.col("event") == "ping", 200).otherwise(202)
+    return told.select("id", status.alias("status"), F.coalesce("connections", F.lit(0)).alias("connections"), F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
 # -- sets ------------------------------------------------------------------
 def compared(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """(keys, side): distinct keys that both have (``both``) and the symmetric difference (``left``, ``right``)."""

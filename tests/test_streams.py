@@ -98,6 +98,10 @@ def test_signed_pushes_become_requests(spark, tmp_path):
     table = spark.createDataFrame(rows, route.PUSH)
     want = [(1, "a", "push"), (1, "b", "push")]
     assert sorted(tuple(r) for r in route.requests(route.parsed(table), connections, tenants, "m").collect()) == want
+    body = F.from_json("body", "ref string, repository struct<full_name:string,default_branch:string>")
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, " + route.PUSH).withColumn("x", body).select("id", "event", "signature", "body", F.col("x.repository.full_name").alias("full_name"), F.coalesce("x.ref", F.lit("")).alias("ref"), F.col("x.repository.default_branch").alias("default_branch"))
+    told = [(r.status, r.connections, r.requests) for r in C.delivery_outcomes(numbered, connections, tenants, "m").orderBy("id").collect()]
+    assert told == [(202, 1, 1), (202, 1, 0), (202, 1, 1), (401, 0, 0), (401, 0, 0), (200, 1, 0), (401, 0, 0), (400, 0, 0), (401, 0, 0)]
     table.coalesce(1).write.json(f"{tmp_path}/in")
     stream = route.requests(route.read_pushes(spark, f"{tmp_path}/in"), connections, tenants, "m")
     assert drained(stream, tmp_path, "push_requests") == want
