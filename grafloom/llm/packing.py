@@ -191,6 +191,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     base = salted.groupBy("class", "part").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     within = Window.partitionBy("class", "part").orderBy("id", "start", "ids_crc32", "doc_tokens", "length")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(base, ["class", "part"])
-    placed = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", "class", (F.col("base") + F.col("rank")).alias("rank")).mapInArrow(lean(_assign(places)), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
+    placed = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", "class", (F.col("base") + F.col("rank")).alias("rank")).mapInArrow(lean(_assign(places), tokens=True), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
     line = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(line), F.lit(0))).withColumnRenamed("id", id_col)

@@ -150,7 +150,7 @@ def in_task(spark: SparkSession, work: Callable, *args):
         for _ in batches:
             yield pa.record_batch([pa.array([pickle.dumps(work(*args))], pa.binary())], ["out"])
 
-    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(lean(run), "out binary").first()["out"])
+    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(lean(run, tokens=True), "out binary").first()["out"])
 
 
 def fit_in_task(sample: DataFrame, work: Callable[[pa.Table], object]):

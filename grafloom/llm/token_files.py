@@ -35,6 +35,7 @@ from .shared import add_sketches, bounded_batches, lean, new_folder, sketch_rows
 from .tokens import encoder
 
 SHARD_IDS = 2_000_000
+SHARDS_A_TASK = 4
 VOCAB_CELLS = 1 << 16
 _MAGIC = b"GTF1"
 _CODE = np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3
@@ -171,7 +172,9 @@ class TokenFiles:
 
     def read(self, id_col: str = "doc_id") -> DataFrame:
         """(id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-        rows = self.manifest.select("path", "start").repartition("path").mapInArrow(lean(_read(self.folder)), "id long, start long, n_tokens long, ids_crc32 long")
+        # Told how many, Spark keeps as many tasks: by its bytes the manifest would fit one.
+        tasks = max(1, -(-self.manifest.count() // SHARDS_A_TASK))
+        rows = self.manifest.select("path", "start").repartition(tasks, "path").mapInArrow(lean(_read(self.folder), tokens=True), "id long, start long, n_tokens long, ids_crc32 long")
         return rows.withColumnRenamed("id", id_col)
 
 
@@ -183,7 +186,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     system, name = fs.FileSystem.from_uri(folder)
     system.create_dir(name, recursive=True)
     ids = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_tokenize(tokenizer_path, end_id), tokens=True), "id long, ids binary"), "token-ids")
-    counts = add_sketches(ids.select("ids").mapInArrow(lean(_frequencies), "slice int, cells binary"), VOCAB_CELLS)
+    counts = add_sketches(ids.select("ids").mapInArrow(lean(_frequencies, tokens=True), "slice int, cells binary"), VOCAB_CELLS)
     order = np.argsort(-counts, kind="stable").astype("<u4")
     rank_of = np.empty(VOCAB_CELLS, np.uint32)
     rank_of[order] = np.arange(VOCAB_CELLS)
@@ -192,7 +195,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     # Rows that share an id, or null, are split by a hash of their ids and, if that is one too, anywhere.
     tied = ids.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
     dealt = tied.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "ids")
-    written = staged(dealt.mapInArrow(lean(_write(folder, rank_of)), "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
+    written = staged(dealt.mapInArrow(lean(_write(folder, rank_of), tokens=True), "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
     unstage(ids)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return TokenFiles(folder, written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from .textkit import span_hashes
 
 _PLACES = 1 << 21
-_MOST = 1_200_000
+_MOST = 1_500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: ASCII punctuation before which a cut is safe. The bar is left out: special tokens hold it.
