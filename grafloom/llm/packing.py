@@ -171,14 +171,15 @@ def _assign(places: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, step: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, step: int = 8, id_col: str = "doc_id", text_col: str = "text", keep_encoder: bool = True) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece. Workers keep the encoder for
+    later tasks; without ``keep_encoder`` each task loads it, which takes more time and less memory."""
     if capacity % step:
         raise ValueError("capacity must be a multiple of step")
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = staged(source.mapInArrow(lean(_pieces(tokenizer_path, end_id, capacity), tokens=True), PIECES), "pieces")
+    pieces = staged(source.mapInArrow(lean(_pieces(tokenizer_path, end_id, capacity), tokens=True, drop=not keep_encoder), PIECES), "pieces")
     pieces = pieces.withColumn("class", _length_class(F.ceil(F.col("length") / step).cast("int"), capacity // step))
     demand = np.zeros(capacity // step + 1, np.int64)
     for row in pieces.groupBy("class").count().collect():  # a row for each length class at most

@@ -127,17 +127,21 @@ def _tidy() -> None:
         pass
 
 
-def lean(run: Callable, tokens: bool = False) -> Callable:
+def lean(run: Callable, tokens: bool = False, drop: bool = False) -> Callable:
     """``run`` for mapInArrow in a worker that keeps little: without ``tokens`` an encoder that an earlier job left in the
-    worker is dropped first, and freed memory is returned when the task ends."""
+    worker is dropped first, with ``drop`` that of this one at the end, and freed memory is returned when the task
+    ends. Spark hands tasks to its idle workers in turn, so an encoder that is kept is kept by each of them."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         held = sys.modules.get(f"{__package__}.tokens")
         if held and not tokens:
             held.encoder.cache_clear()
         try:
             yield from run(batches)
         finally:
+            if drop and held:
+                held.encoder.cache_clear()
             _tidy()
 
     return wrapped
