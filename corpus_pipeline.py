@@ -40,7 +40,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4,096 tokens; a null or empty text is its end id."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    # By now each executor has idle workers of earlier stages, and all of them would keep an encoder.
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, keep_encoder=False)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("mixing sources", mixture), ("packing", pack)]
