@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, maxscore, mixing, ngram_join, packing, quality, secret_forest, token_counts, token_files
+from . import ann, kd_clusters, language_id, maxscore, mixing, ngram_join, packing, quality, secret_forest, token_counts, token_files
 from .ngram_sql import NGRAM_SQL
 
 END_ID = 2
@@ -59,9 +59,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.clustered(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_maxscore, op4_mixing, op5_neighbours, op6_token_files, op7_token_counts, op8_language_id, op9_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_maxscore, op4_mixing, op5_neighbours, op6_token_files, op7_token_counts, op8_language_id, op9_packing, op10_secrets, op11_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_SQL, "op3_maxscore": maxscore.TOP_SQL, "op4_mixing": mixing.MIX_SQL}
+    return {"op1_ngram_join": NGRAM_SQL, "op3_maxscore": maxscore.TOP_SQL, "op4_mixing": mixing.MIX_SQL, "op11_clusters": kd_clusters.cluster_sql()}
