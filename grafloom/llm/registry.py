@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, imatch, kd_clusters, language_id, maxscore, mixing, ngram_join, packing, quality, secret_forest, token_counts, token_files
+from . import ann, hard_negatives, imatch, kd_clusters, language_id, maxscore, mixing, ngram_join, packing, quality, secret_forest, token_counts, token_files
 from .ngram_sql import NGRAM_SQL
 
 END_ID = 2
@@ -63,13 +63,18 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_clusters.clustered(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_likeness(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_maxscore, op4_mixing, op5_neighbours, op6_token_files, op7_token_counts, op8_language_id, op9_packing, op10_secrets, op11_clusters, op13_imatch)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_maxscore, op4_mixing, op5_neighbours, op6_token_files, op7_token_counts, op8_language_id, op9_packing, op10_secrets, op11_clusters, op12_hard_negatives, op13_imatch)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_SQL, "op3_maxscore": maxscore.TOP_SQL, "op4_mixing": mixing.MIX_SQL, "op11_clusters": kd_clusters.cluster_sql(), "op13_imatch": imatch.IMATCH_SQL}
+    return {"op1_ngram_join": NGRAM_SQL, "op3_maxscore": maxscore.TOP_SQL, "op4_mixing": mixing.MIX_SQL, "op11_clusters": kd_clusters.cluster_sql(), "op12_hard_negatives": hard_negatives.NEGATIVES_SQL, "op13_imatch": imatch.IMATCH_SQL}
