@@ -1,14 +1,15 @@
 """Token-id files: frequency-ranked ids, byte-aligned variable-length codes, control bytes kept apart.
 
-A folder holds ``ranks.bin`` (token ids, most frequent first) and shards in ascending document order. A
+A folder holds ``ranks-<name>.bin`` (token ids, most frequent first) and shards in ascending document order. A
 shard is: magic ``GTF1``; document count and id count (two little-endian uint64); a byte per document that
 tells whether its id is null; document ids (int64); ids per document (uint64); the control bytes, one for
 four ids, two bits each giving a code's length less one; the codes' bytes. Decoding looks control bytes up
 in a table of 256 x 4 lengths and gathers the bytes with numpy.
 
 A task writes each shard under a name of its own and reports it in the manifest; only shards in the
-manifest are read, so a task that ran twice leaves a file that nobody reads. The folder must be one that
-pyarrow's file systems reach (local or mounted, HDFS, S3, GCS).
+manifest are read, so a task that ran twice leaves a file that nobody reads. Ranks have a name of their own in each
+write, which the manifest tells, so a folder may be written to again: what was written before stays readable. The folder
+must be one that pyarrow's file systems reach (local or mounted, HDFS, S3, GCS).
 
 Defined cases: null text is the empty text (only the end id); null ids sort first; rows that repeat an id
 are ordered by a hash of their tokens; extra columns are ignored; an empty table writes no shard.
@@ -94,8 +95,9 @@ def read_shard(path: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def read_ranks(folder: str) -> np.ndarray:
-    system, name = fs.FileSystem.from_uri(f"{folder}/ranks.bin")
+def read_ranks(path: str) -> np.ndarray:
+    """The ids of a file that is written once under its name, so workers may keep it."""
+    system, name = fs.FileSystem.from_uri(path)
     with system.open_input_stream(name) as f:
         return np.frombuffer(f.read(), "<u4")
 
@@ -150,12 +152,12 @@ def _write(folder: str, rank_of: np.ndarray):
     return run
 
 
-def _read(folder: str):
+def _read():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, start, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names, lengths, ranks = read_shard(path)
-                ids = read_ranks(folder)[ranks]
+                ids = read_ranks(named)[ranks]
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(names, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
@@ -165,7 +167,7 @@ def _read(folder: str):
 
 @dataclass
 class TokenFiles:
-    """folder: ranks and shards; manifest: (path, start, n_docs, n_ids) of each shard."""
+    """folder: ranks and shards; manifest: (path, start, n_docs, n_ids, ranks) of each shard."""
 
     folder: str
     manifest: DataFrame
@@ -174,7 +176,7 @@ class TokenFiles:
         """(id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
         # Told how many, Spark keeps as many tasks: by its bytes the manifest would fit one.
         tasks = max(1, -(-self.manifest.count() // SHARDS_A_TASK))
-        rows = self.manifest.select("path", "start").repartition(tasks, "path").mapInArrow(lean(_read(self.folder), tokens=True), "id long, start long, n_tokens long, ids_crc32 long")
+        rows = self.manifest.select("path", "start", "ranks").repartition(tasks, "path").mapInArrow(lean(_read(), tokens=True), "id long, start long, n_tokens long, ids_crc32 long")
         return rows.withColumnRenamed("id", id_col)
 
 
@@ -190,7 +192,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     order = np.argsort(-counts, kind="stable").astype("<u4")
     rank_of = np.empty(VOCAB_CELLS, np.uint32)
     rank_of[order] = np.arange(VOCAB_CELLS)
-    with system.open_output_stream(f"{name}/ranks.bin") as f:
+    ranks = f"ranks-{uuid.uuid4().hex}.bin"
+    with system.open_output_stream(f"{name}/{ranks}") as f:
         f.write(order.tobytes())
     # Rows that share an id, or null, are split by a hash of their ids and, if that is one too, anywhere.
     tied = ids.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
@@ -198,4 +201,4 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     written = staged(dealt.mapInArrow(lean(_write(folder, rank_of), tokens=True), "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
     unstage(ids)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return TokenFiles(folder, written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))
+    return TokenFiles(folder, written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("ranks", F.lit(f"{folder}/{ranks}")))
