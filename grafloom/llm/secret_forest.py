@@ -36,8 +36,9 @@ SHAPES = {
     "chat_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}+",
     "map_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "web_token": r"\beyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
-    "quoted_value": r"""(?<=["'])(?<=(?i:passwo?r?d|pwd|secret|token|api[_-]?key|credentials?)["']?\s{0,2}(?:=|:|=>)\s{0,2}["'])[^\s"'<>{}]{8,128}+""",
+    # To its END line; without one, header lines and the long lines that follow, with the short one after them.
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\r?\n(?:[A-Za-z-]++:[^\r\n]*+|(?=\r?\n)))*+(?:\r?\n[A-Za-z0-9+/]{40,}+={0,2})++(?:\r?\n[A-Za-z0-9+/]++={0,2}(?=[\r\n]|$))?+)?+",
+    "quoted_value": r"""(?<=["'])(?<=(?i:passwo?r?d|pwd|secret|token|api[_-]?key|credentials?)["']?\s{0,2}(?:=|:|=>)\s{0,2}["'])[^\s"'<>{}]{8,}+""",
     "long_run": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}",
 }
 DICTIONARY = "access account address admin alpha amber and api app base beta build cache case check class client code commit common config content data date debug default delta demo device document email error event example field file final first for from function green group hash header home host image index info input item key label language large last level line link list local log long main master message method mode model module name network new node not note number object open option order output page parent part password path person phone place plain point port private process product project public query random record red release report request result role root rule sample secret section select server service session set simple size source start state status string style system table target team temp test text the this time title token total tree type update user value version view web with word work world yes zone".split()
