@@ -4,11 +4,12 @@ Targets share ``budget`` times the corpus size by weight; no source exceeds ``ep
 and what a cap cuts off is shared again by weight until no target is above its cap. In closed form: sources
 sorted by cap over weight fill up first, and the level of the rest is (total - caps so far) / (weights
 left). A document is then taken floor(target / size) times, and once more if its place in a seeded order of
-its source falls into the fraction that is left. Places are prefix sums of sizes over hash bins in each
-source, as many as leave a hot source about 250,000 rows in one, and taken sizes meet the target within half a document.
+its source falls into the fraction that is left. The order is by a hash of id and text, so that an id which many rows
+have, or none, is spread too. Places are prefix sums of sizes over hash bins in each source, as many as leave a hot
+source about 250,000 rows in one, and taken sizes meet the target within half a document.
 
 Everything is DataFrame operations. Defined cases: null text has size 0 and is taken 0 times; a null source
-is a source of its own, last in order; null ids and repeated rows are ordered by hash and size; a source of
+is a source of its own, last in order; of rows with one id and text any may be taken; a source of
 size 0 has target 0; ``mix_sources`` ignores extra columns and ``mixed`` returns all as they are, whatever their
 names; an empty table gives an empty result. The table of sources, a row each, is put in order in one task.
 """
@@ -25,9 +26,10 @@ _LEAST_DIGITS = 3
 _BIN_ROWS = 250_000
 
 
-def seeded_order(seed: int, id_col: Column) -> Column:
-    """A hexadecimal hash of seed and id, the same in any engine that has MD5."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def seeded_order(seed: int, id_col: Column, text_col: Column) -> Column:
+    """A hexadecimal hash of seed, id and text, the same in any engine that has MD5."""
+    text = F.coalesce(F.md5(text_col.cast("binary")), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...], budget: tuple[int, int], epochs: int) -> DataFrame:
@@ -49,9 +51,9 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], budget: tuple[int,
 
 def _taken(rows: DataFrame, weights: tuple[int, ...], budget: tuple[int, int], epochs: int, seed: int) -> DataFrame:
     """Rows (id, source, text, ...) with size, source_size, target and times in place of the text."""
-    order = seeded_order(seed, F.col("id"))
+    order = seeded_order(seed, F.col("id"), F.col("text"))
     digits = max(_LEAST_DIGITS, math.ceil(math.log(max(1, rows.count() / (3 * _BIN_ROWS)), 16)))
-    sized = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).drop("text").withColumn("place", order)
+    sized = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("place", order).drop("text")
     # One key of source and bin: the window and the join below deal by it once.
     key = F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit("|"), F.substring("place", 1, digits))
     sized = sized.withColumn("key", key)
@@ -87,7 +89,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tuple[i
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS o
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
