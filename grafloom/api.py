@@ -23,7 +23,7 @@ from .operators import trace as T
 from .operators.extract import Graph, extract
 from .plans.staging import staged
 from .sinks import payload
-from .sinks.store import GraphStore, LoadError, last_wins, without_files
+from .sinks.store import ConflictError, GraphStore, LoadError, last_wins, without_files
 from .sources.database import read_database
 from .sources.files import confined, list_trees, preview, read_files, readme_of, text_of
 
@@ -52,13 +52,13 @@ class CodeGraph:
         place = confined(self.workspaces, rel)
         where, base = fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
         if where.get_file_info(base).type != fs.FileType.Directory:
-            raise ValueError(f"not a directory under the workspaces: {rel!r}")
+            raise ValueError(f"no such folder in the workspaces: {rel!r}")
         return rel, place
 
     def index_repository(self, name: str, path: str) -> dict:
         """Indexes a folder in place of what the store has under this name."""
         if not re.fullmatch(REPO_NAME[1:-1], name or ""):
-            return {"error": "invalid repo name; use letters, digits, '.', '_', '-'"}
+            return {"error": f"{name!r} can't name a repository: only letters, digits, dot, underscore and hyphen"}
         try:
             rel, place = self._folder(path)
         except ValueError as e:
@@ -70,16 +70,23 @@ class CodeGraph:
 
     def reindex_repository(self, name: str) -> dict:
         """Extracts the files whose hash changed, drops those that are gone, and resolves the repository anew."""
-        row = self.store.read("repos", name).first()
+        version, state = self.store.log.state()
+        row = self.store.read("repos", name, state=state).first()
         if row is None:
-            return {"error": f"repo {name!r} is not indexed; call index_repository first"}
+            return {"error": f"nothing is indexed as {name!r} yet: use index_repository"}
         try:
             rel, place = self._folder(row["path"])
         except ValueError as e:
             return {"error": str(e)}
+        try:
+            return self._reindex(name, rel, place, version, state)
+        except ConflictError:  # another writer was faster: once more, on what it left
+            return self._reindex(name, rel, place, *self.store.log.state())
+
+    def _reindex(self, name: str, rel: str, place: str, version: int, state: dict) -> dict:
         listed = staged(list_trees(self.spark, {name: place}), "listed")
         seen = staged(read_files(listed).select("repo", "path", F.sha2("content", 256).alias("hash")), "seen")
-        old = self.store.read("files", name)
+        old = self.store.read("files", name, state=state)
         # A file that can't be read now keeps its rows; one that is no longer listed loses them.
         changes = E.change_set(old, seen.filter("hash is not null")).join(seen.filter("hash is null").select("repo", "path"), ["repo", "path"], "left_anti")
         changes = staged(changes.filter("change <> 'same'"), "changes")
@@ -87,19 +94,23 @@ class CodeGraph:
         fresh = changes.filter("change <> 'deleted'")
         graph = extract(read_files(listed.join(fresh.select("repo", "path"), ["repo", "path"], "left_semi")))
         skipped = seen.filter("hash is null").count()
-        return self._put(name, rel, graph, changes, tally.get("added", 0) + tally.get("changed", 0), skipped, tally.get("deleted", 0), "reindexed")
+        return self._put(name, rel, graph, (changes, version, state), tally.get("added", 0) + tally.get("changed", 0), skipped, tally.get("deleted", 0), "reindexed")
 
-    def _put(self, name: str, rel: str, graph: Graph, changes: DataFrame | None, indexed: int, skipped: int, deleted: int, status: str) -> dict:
+    def _put(self, name: str, rel: str, graph: Graph, onto: tuple[DataFrame, int, dict] | None, indexed: int, skipped: int, deleted: int, status: str) -> dict:
+        """Commits a graph, ``onto`` (changes, version, state) what is kept of the old one. Rows are counted as they are
+        written."""
         key = ["repo", "file_path", "local_name"]
         tables = {"nodes": graph.nodes, "edges": graph.edges, "files": graph.files, "imports": last_wins(graph.imports, key, ["target", "kind"])}
+        changes, version, state = onto or (None, None, None)
         if changes is not None:
-            tables = {t: without_files(self.store.read(t, name), t, changes).unionByName(df) for t, df in tables.items()}
-        tables = {t: staged(df, f"index-{t}") for t, df in tables.items()}
-        tables["edges"], tables["imports"] = (staged(df, "index-resolved") for df in resolved(tables["nodes"], tables["edges"], tables["imports"]))
-        counts = {t: tables[t].count() for t in ("nodes", "edges", "files")}
+            tables = {t: without_files(self.store.read(t, name, state=state), t, changes).unionByName(df) for t, df in tables.items()}
+        parts = {t: self.store.write(t, tables[t]) for t in ("nodes", "files")}
+        raw = {t: staged(tables[t], f"index-{t}") for t in ("edges", "imports")}
+        parts["edges"], parts["imports"] = (self.store.write(t, df) for t, df in zip(("edges", "imports"), resolved(self.store.of([parts["nodes"]], "nodes"), raw["edges"], raw["imports"]), strict=True))
+        counts = {t: parts[t]["rows"] for t in ("nodes", "edges", "files")}
         when = datetime.now(UTC).isoformat(timespec="seconds")
-        tables["repos"] = self.spark.createDataFrame([(name, rel, when, counts["nodes"], counts["edges"], counts["files"])], S.REPOS)
-        self.store.commit(name, tables)
+        repos = self.spark.createDataFrame([(name, rel, when, counts["nodes"], counts["edges"], counts["files"])], S.REPOS)
+        self.store.commit(name, parts | {"repos": repos}, since=version)
         return {"repo": name, "status": status, "files_indexed": indexed, "files_skipped": skipped, "files_deleted": deleted, "nodes": counts["nodes"], "edges": counts["edges"]}
 
     def import_database(self, path: str, replace: bool = False, exclude: tuple[str, ...] = ()) -> dict:
@@ -142,13 +153,13 @@ class CodeGraph:
         """(repo, path, size, content) of one file, confined to the repository's folder; no row if it isn't there."""
         row = self.store.read("repos", repo).first()
         if row is None:
-            raise ValueError(f"repo {repo!r} not registered")
+            raise ValueError(f"the store has no repository {repo!r}")
         folder = confined(self.workspaces, row["path"])
         place = confined(folder, path)
         where, base = fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
         info = where.get_file_info(base)
         if info.type != fs.FileType.File:
-            raise ValueError(f"source file not found on disk: {path}")
+            raise ValueError(f"the workspace has no file {path}")
         listed = self.spark.createDataFrame([(repo, folder, os.path.relpath(place, folder).replace(os.sep, "/") if "://" not in place else path, info.size)], "repo string, root string, path string, size long")
         return read_files(listed, max_bytes=1 << 40)
 
@@ -156,7 +167,7 @@ class CodeGraph:
         node = G.find_node(self._nodes(repo), qualified_name, repo)
         row = node.first()
         if row is None:
-            return {"error": f"no node named {qualified_name!r}", "found": False}
+            return {"error": f"unknown symbol: {qualified_name}", "found": False}
         try:
             text = self._one_file(row["repo"], row["file_path"]).select("repo", F.lit(row["file_path"]).alias("path"), text_of(F.col("content")).alias("text"))
         except ValueError as e:
@@ -175,7 +186,7 @@ class CodeGraph:
     def get_repo_readme(self, repo: str) -> dict:
         row = self.store.read("repos", repo).first()
         if row is None:
-            return {"found": False, "error": f"repo {repo!r} is not indexed"}
+            return {"found": False, "error": f"nothing is indexed as {repo!r}"}
         try:
             _, place = self._folder(row["path"])
         except ValueError as e:
@@ -183,12 +194,12 @@ class CodeGraph:
         where, base = fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
         names = [(repo, e.base_name) for e in where.get_file_info(fs.FileSelector(base)) if e.type == fs.FileType.File]
         best = readme_of(self.spark.createDataFrame(names, "repo string, path string")).first()
-        return self.get_file_source(repo, best["path"]) if best else {"found": False, "error": "no README at the repository root"}
+        return self.get_file_source(repo, best["path"]) if best else {"found": False, "error": "the top folder holds no README"}
 
     def get_node_context(self, qualified_name: str, repo: str | None = None) -> dict:
         row = G.find_node(self._nodes(repo), qualified_name, repo).first()
         if row is None:
-            return {"found": False, "error": f"no node named {qualified_name!r}"}
+            return {"found": False, "error": f"unknown symbol: {qualified_name}"}
         own = row["repo"]
         context = payload.rows_of(G.node_context(self._nodes(own), self._edges(own), self.store.read("imports", own), own, qualified_name))[0]
         sections = {k: context.pop(k) for k in ("callers", "callees", "dependencies", "dependents", "siblings")}

@@ -1,34 +1,38 @@
-"""Graph tables as snapshots: merge on frames, write new parts, then swap one pointer file.
-
-A store is a folder. Every table is kept in parts, one for each repository, each written once under a name of
-its own; ``_current.json`` names the parts that are in use and the last batch that was committed. A commit writes
-the parts of the repositories it touches, checks what it was asked to check, and replaces the pointer in one
-rename, so that a reader sees the old graph or the new one, and a failed load leaves the old. One writer at a
-time; what isn't named any more is deleted by ``vacuum``.
+"""Graph tables as snapshots: write new parts, then commit their names with compare-and-set.
+
+A store is a folder. Every table of a repository is a list of parts, each a folder that is written once under a name of its
+own; the commit log (``commits``) maps ``table/repository`` to that list, with the rows of each part and the least and
+greatest file of it, so that a point read opens the parts that may hold the file. A commit names the parts of the
+repositories it touches; a reader sees the graph before it or after it, and a failed load leaves the old one. Writers may
+work at once: a commit that was derived from what another writer has changed since is made anew, commits to other
+repositories are merged. Appending writes the new rows only; ``compact`` joins the parts that piled up. What isn't named
+any more is deleted by ``vacuum``.
 """
 
 from __future__ import annotations
 
-import json
 import re
+import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.scalars import TENANT_SLUG
+from .commits import CommitLog, ConflictError
 
 #: Key of each table's upsert, and the column that names a row's repository.
 KEYS = {"repos": ["name"], "files": ["repo", "path"], "imports": ["repo", "file_path", "local_name"]}
 REPO_COLUMN = {"repos": "name", "nodes": "repo", "edges": "repo", "files": "repo", "imports": "repo"}
 FILE_COLUMN = {"nodes": "file_path", "edges": "src_file", "files": "path", "imports": "file_path"}
-POINTER = "_current.json"
+BATCH = "batch"
 
 
 class LoadError(RuntimeError):
-    """A load that was refused or whose counts differ; nothing was swapped."""
+    """A load that wasn't taken; the store is as it was."""
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -64,145 +68,191 @@ def next_id(rows: DataFrame, column: str = "id") -> Column | int:
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, self.root)
         self._jvm_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._jvm_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # -- the pointer -------------------------------------------------------
-    def _state(self) -> dict:
-        path = self._jvm_path(f"{self.root}/{POINTER}")
-        if not self._fs.exists(path):
-            return {"version": 0, "batch": -1, "parts": {t: {} for t in S.TABLES}}
-        stream = self._fs.open(path)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _swap(self, state: dict) -> None:
-        new, path = self._jvm_path(f"{self.root}/{POINTER}.{uuid.uuid4().hex}"), self._jvm_path(f"{self.root}/{POINTER}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
-        out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
-        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        kinds = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        kinds[0] = rename
-        context.rename(new, path, kinds)
-
     # -- reading -----------------------------------------------------------
-    def repos(self) -> list[str]:
-        return sorted(self._state()["parts"]["repos"])
+    def version(self) -> int:
+        return self.log.state()[0]
 
-    def read(self, table: str, repo: str | None = None) -> DataFrame:
-        """A table's rows, all or one repository's; only the parts in use are opened."""
-        parts = self._state()["parts"][table]
-        paths = [f"{self.root}/{p}" for r, p in sorted(parts.items()) if repo in (None, r)]
-        if not paths:
+    def batch(self) -> int:
+        """The last batch that was committed, -1 before the first."""
+        return self.log.state()[1].get(BATCH, -1)
+
+    def repos(self) -> list[str]:
+        return sorted(_split(k)[1] for k in self.log.state()[1] if k.startswith("repos/"))
+
+    def parts(self, table: str, repo: str | None = None, state: dict | None = None, file: str | None = None) -> list[dict]:
+        """The parts of a table, of one repository or all; with a file those that may hold it."""
+        state = self.log.state()[1] if state is None else state
+        named = [p for k, v in sorted(state.items()) if "/" in k and _split(k)[0] == table and repo in (None, _split(k)[1]) for p in v]
+        return [p for p in named if file is None or p["low"] is not None and p["low"] <= file <= p["high"]]
+
+    def read(self, table: str, repo: str | None = None, file: str | None = None, state: dict | None = None) -> DataFrame:
+        """A table's rows: all, one repository's, or those of one file; only parts that may hold them are opened."""
+        rows = self.of(self.parts(table, repo, state, file), table)
+        return rows if file is None else rows.filter(F.col(FILE_COLUMN[table]) == file)
+
+    def of(self, parts: list[dict], table: str) -> DataFrame:
+        """The rows of some parts of a table."""
+        if not parts:
             return self.spark.createDataFrame([], S.TABLES[table])
-        return self.spark.read.schema(S.TABLES[table]).parquet(*paths)
+        return self.spark.read.schema(S.TABLES[table]).parquet(*(f"{self.root}/{p['path']}" for p in parts))
 
     def counts(self, exclude: Iterable[str] = ()) -> dict[str, int]:
-        """Rows of every table, without the excluded repositories."""
-        gone = sorted(set(exclude))
-        return {t: self.read(t).filter(~F.col(REPO_COLUMN[t]).isin(gone)).count() for t in S.TABLES}
+        """Rows of every table, without the excluded repositories: as noted when they were written."""
+        state, gone = self.log.state()[1], set(exclude)
+        return {t: sum(p["rows"] for k, v in state.items() if "/" in k and _split(k)[0] == t and _split(k)[1] not in gone for p in v) for t in S.TABLES}
 
     # -- writing -----------------------------------------------------------
-    def commit(self, repo: str, tables: dict[str, DataFrame], batch: int | None = None) -> bool:
-        """Puts these tables in place of one repository's. With a batch number that was committed before, nothing."""
-        state = self._state()
-        if batch is not None and batch <= state["batch"]:
+    def write(self, table: str, rows: DataFrame) -> dict:
+        """Writes a part that no commit names yet; its rows, and the least and greatest file, are seen on the way."""
+        name, told = f"{table}/{uuid.uuid4().hex}", Observation()
+        place = F.col(FILE_COLUMN.get(table, REPO_COLUMN[table]))
+        seen = self._typed(table, rows).observe(told, F.count(F.lit(1)).alias("rows"), F.min(place).alias("low"), F.max(place).alias("high"))
+        seen.write.parquet(f"{self.root}/{name}")
+        return {"path": name, **(_told(told) or {"rows": 0, "low": None, "high": None})}
+
+    def commit(self, repo: str, tables: dict[str, DataFrame | dict], batch: int | None = None, since: int | None = None) -> bool:
+        """Puts these tables (rows, or parts from ``write``) in place of one repository's. With a batch number that was
+        committed before, nothing. ``since`` is the version that they were derived from: if the repository has been
+        changed after it, ConflictError."""
+        if batch is not None and batch <= self.batch():
             return False
-        for table, rows in tables.items():
-            state["parts"][table][repo] = self._write(table, rows)
-        return self._commit(state, batch)
+        parts = {f"{t}/{repo}": [rows if isinstance(rows, dict) else self.write(t, rows)] for t, rows in tables.items()}
+
+        def make(version: int, state: dict) -> tuple[dict, bool]:
+            if batch is not None and batch <= state.get(BATCH, -1):
+                return {}, False
+            if since is not None and {k for k in self.log.changed_since(since)[1] if "/" in k and _split(k)[1] == repo}:
+                raise ConflictError(f"{repo!r} was changed after version {since}")
+            return parts | ({} if batch is None else {BATCH: batch}), True
+
+        return self.log.transact(make, [f"{t}/{repo}" for t in S.TABLES])
 
     def append(self, repo: str, table: str, rows: DataFrame) -> None:
-        """Adds rows to a table of one repository; those that it has are read once and written with the new."""
-        self.commit(repo, {table: self.read(table, repo).unionByName(self._typed(table, rows))})
+        """Adds rows to a table of one repository as a part of their own."""
+        part, key = self.write(table, rows), f"{table}/{repo}"
+        self.log.transact(lambda _, state: ({key: [*state.get(key, []), part]}, None))
 
     def upsert(self, repo: str, table: str, rows: DataFrame, order: list[str] | None = None) -> None:
         """Puts rows in place of those with the same key; of new rows with one key the last by ``order`` counts."""
         keys = KEYS[table]
-        new = last_wins(rows, keys, order or [c for c in rows.columns if c not in keys])
-        self.commit(repo, {table: upserted(self.read(table, repo), self._typed(table, new), keys)})
+        new = self._typed(table, last_wins(rows, keys, order or [c for c in rows.columns if c not in keys]))
+        self._derive(repo, [table], lambda t, old: upserted(old, new, keys))
+
+    def delete_files(self, repo: str, files: DataFrame) -> None:
+        """All that came from the given (repo, path)."""
+        self._derive(repo, list(FILE_COLUMN), lambda t, old: without_files(old, t, files))
+
+    def compact(self, repo: str, table: str, most: int = 1) -> bool:
+        """One part in place of more than ``most``, its files in order, so that their ranges don't overlap."""
+        if len(self.parts(table, repo)) <= most:
+            return False
+        by = FILE_COLUMN.get(table, REPO_COLUMN[table])
+        self._derive(repo, [table], lambda t, old: old.repartitionByRange(by).sortWithinPartitions(by))
+        return True
+
+    def _derive(self, repo: str, tables: list[str], make) -> None:
+        """New parts from the old rows of some tables, made anew if another writer changes them meanwhile."""
+
+        def changes(_: int, state: dict) -> tuple[dict, None]:
+            return {f"{t}/{repo}": [self.write(t, make(t, self.read(t, repo, state=state)))] for t in tables}, None
+
+        self.log.transact(changes)
 
     def mark(self, batch: int) -> None:
         """Notes that a batch was committed, if its own commits haven't."""
-        state = self._state()
-        if batch > state["batch"]:
-            self._commit(state, batch)
+        self.log.transact(lambda _, state: ({BATCH: batch} if batch > state.get(BATCH, -1) else {}, None))
 
     def delete_repo(self, repo: str) -> None:
-        state = self._state()
-        for parts in state["parts"].values():
-            parts.pop(repo, None)
-        self._commit(state, None)
-
-    def delete_files(self, repo: str, files: DataFrame) -> None:
-        """All that came from the given (repo, path)."""
-        self.commit(repo, {t: without_files(self.read(t, repo), t, files) for t in FILE_COLUMN})
+        self.log.transact(lambda _, state: ({k: None for k in state if "/" in k and _split(k)[1] == repo}, None))
 
     def load(self, tables: dict[str, DataFrame], replace: bool = False, exclude: Iterable[str] = ()) -> dict[str, int]:
-        """All five tables at once, or none: counts of what was written must equal those of the source."""
+        """All five tables at once, or none. Rows are counted as they are read and, by repository, in what was written."""
         names = {r["name"] for r in tables["repos"].select("name").distinct().collect()}  # a row for each repository
         gone = set(exclude)
         if gone - names:
-            raise LoadError(f"excluded repositories aren't in the graph: {sorted(gone - names)}")
-        kept = {t: self._typed(t, df).filter(~F.col(REPO_COLUMN[t]).isin(sorted(gone))) for t, df in tables.items()}
-        told = {t: df.count() for t, df in kept.items()}
+            raise LoadError(f"can't leave out what isn't there: {sorted(gone - names)}")
+        version, state = self.log.state()
+        if any("/" in k for k in state) and not replace:
+            raise LoadError("there is a graph in this store; ask for it to be replaced")
+        told, new = {}, {}
+        for table, df in tables.items():
+            column, seen, folder = REPO_COLUMN[table], Observation(), f"{table}/{uuid.uuid4().hex}"
+            rows = self._typed(table, df).filter(~F.col(column).isin(sorted(gone))).observe(seen, F.count(F.lit(1)).alias("rows"))
+            # A repository's rows come together, those of a large one in several files.
+            rows.withColumn("part", F.col(column)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.root}/{folder}")
+            told[table] = (_told(seen) or {"rows": 0})["rows"]
+            new |= {f"{table}/{r}": [p] for r, p in self._written(table, folder).items()}
         if not told["nodes"]:
-            raise LoadError("the source holds no nodes")
-        if any(self._state()["parts"].values()) and not replace:
-            raise LoadError("the store already holds a graph")
-        state = {"version": self._state()["version"], "batch": self._state()["batch"], "parts": {t: {} for t in S.TABLES}}
-        written = {}
-        for table, rows in kept.items():
-            folder = f"{table}/{uuid.uuid4().hex}"
-            rows.withColumn("part", F.col(REPO_COLUMN[table])).write.partitionBy("part").parquet(f"{self.root}/{folder}")
-            for status in self._fs.listStatus(self._jvm_path(f"{self.root}/{folder}")):
-                name = status.getPath().getName()
-                if name.startswith("part="):
-                    repo = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[5:])
-                    state["parts"][table][repo] = f"{folder}/{name}"
-            written[table] = self.spark.read.schema(S.TABLES[table]).parquet(f"{self.root}/{folder}").count()
+            raise LoadError("nothing to load: no node rows")
+        written = self.parity(told, new)
+        changes = {k: None for k in state if "/" in k} | new
+        if not self.log.commit(version, changes):
+            raise LoadError("another writer has changed the store meanwhile")
+        return written
+
+    @staticmethod
+    def parity(told: dict[str, int], parts: dict[str, list[dict]]) -> dict[str, int]:
+        """Rows written of each table, which must be those that were read."""
+        written = {t: sum(p["rows"] for k, v in parts.items() if _split(k)[0] == t for p in v) for t in told}
         if written != told:
-            raise LoadError(f"row counts differ after load: source {told}, target {written}")
-        self._commit(state, None)
+            raise LoadError(f"rows read and rows written aren't the same: {told}, {written}")
         return written
 
-    def vacuum(self) -> int:
-        """Deletes the parts that no pointer names any more; how many."""
-        used = {p.split("/part=")[0] for parts in self._state()["parts"].values() for p in parts.values()}
+    def _written(self, table: str, folder: str) -> dict[str, dict]:
+        """The part of each repository below a partitioned folder."""
+        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        paths = {unescape(n[5:]): n for n in (s.getPath().getName() for s in self._fs.listStatus(self._jvm_path(f"{self.root}/{folder}"))) if n.startswith("part=")}
+        if not paths:
+            return {}
+        rows, place = self.spark.read.schema(S.TABLES[table]).parquet(f"{self.root}/{folder}"), F.col(FILE_COLUMN.get(table, REPO_COLUMN[table]))
+        stats = rows.groupBy(F.col(REPO_COLUMN[table]).alias("r")).agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("low"), F.max(place).alias("high"))
+        return {r["r"]: {"path": f"{folder}/{paths[r['r']]}", "rows": r["rows"], "low": r["low"], "high": r["high"]} for r in stats.collect()}
+
+    def vacuum(self, keep_seconds: float = 86_400) -> int:
+        """Deletes parts that no commit names and that are older than ``keep_seconds``, which must be longer than any
+        writer takes; how many."""
+        used = {p["path"].split("/part=")[0] for k, v in self.log.state()[1].items() if "/" in k for p in v}
         gone = 0
         for table in S.TABLES:
             folder = self._jvm_path(f"{self.root}/{table}")
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                if f"{table}/{status.getPath().getName()}" not in used:
+                old = status.getModificationTime() <= 1000 * (time.time() - keep_seconds)
+                if old and f"{table}/{status.getPath().getName()}" not in used:
                     gone += bool(self._fs.delete(status.getPath(), True))
         return gone
 
     def _typed(self, table: str, rows: DataFrame) -> DataFrame:
         return rows.selectExpr(*(f"cast(`{c}` as {k}) as `{c}`" for c, k in (x.split() for x in S.TABLES[table].split(", "))))
 
-    def _write(self, table: str, rows: DataFrame) -> str:
-        folder = f"{table}/{uuid.uuid4().hex}"
-        self._typed(table, rows).write.parquet(f"{self.root}/{folder}")
-        return folder
 
-    def _commit(self, state: dict, batch: int | None) -> bool:
-        state["version"] += 1
-        if batch is not None:
-            state["batch"] = batch
-        self._swap(state)
-        return True
+def _told(seen: Observation) -> dict | None:
+    """What was observed; None where the plan was known to be empty and the observation was planned away with it."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError as e:
+        if "assertion failed" in str(e.java_exception):
+            return None
+        raise
+
+
+def _split(key: str) -> tuple[str, str]:
+    """(table, repository) of a key of the commit log."""
+    table, _, repo = key.partition("/")
+    return table, repo
 
 
 def provision(spark: SparkSession, root: str, slug: str) -> GraphStore:
     """The store of a tenant, an empty one if it is new."""
     if not re.fullmatch(TENANT_SLUG[1:-1], slug):
-        raise ValueError(f"invalid tenant slug: {slug!r}")
+        raise ValueError(f"not a slug: {slug!r}")
     store = GraphStore(spark, f"{root.rstrip('/')}/tenant_{slug}")
-    if not store._fs.exists(store._jvm_path(f"{store.root}/{POINTER}")):
-        store._fs.mkdirs(store._jvm_path(store.root))
-        store._swap(store._state())
+    if not store.log.exists():
+        store.log.create()
     return store
+
+
+__all__ = ["GraphStore", "LoadError", "ConflictError", "last_wins", "next_id", "provision", "upserted", "with_ids", "without_files"]

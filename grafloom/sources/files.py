@@ -137,7 +137,7 @@ def confined(root: str, *parts: str) -> str:
         base = os.path.realpath(root)
         full = place = os.path.realpath(os.path.join(base, *parts))
     if full != base and not full.startswith(base.rstrip("/") + "/"):
-        raise ValueError(f"path escapes workspaces root: {'/'.join(parts)!r}")
+        raise ValueError(f"outside of the workspaces: {posixpath.join(*parts)!r}")
     return place
 
 

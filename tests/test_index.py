@@ -4,6 +4,7 @@ import json
 import os
 import sqlite3
 import tarfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from grafloom.api import CodeGraph
 from grafloom.operators import extract as X
 from grafloom.operators import graph as G
 from grafloom.sinks import payload
-from grafloom.sinks.store import GraphStore, LoadError, last_wins, next_id, provision, with_ids
+from grafloom.sinks.commits import CommitLog
+from grafloom.sinks.store import ConflictError, GraphStore, LoadError, last_wins, next_id, provision, with_ids
 from grafloom.sources import database, files
 
 SAMPLE = {
@@ -95,7 +97,7 @@ def test_source_reads(code, tmp_path):
     got = code.get_code_snippet("pkg.utils.Base.greet")
     assert got["found"] and got["code"] == "    def greet(self):\n        return helper()" and got["start_line"] == 6
     assert not code.get_code_snippet("absent")["found"]
-    assert not code.get_file_source("sample", "../../store/_current.json")["found"]
+    assert not code.get_file_source("sample", "../../store/_commits/00000000000000000001.json")["found"]
     os.symlink("/etc/hostname", root / "link.py")
     assert not code.get_file_source("sample", "link.py")["found"]
     put(root, {"bin.py": b"a\x00b", "readme.txt": "plain\n", "ReadMe.md": "# hi\n"})
@@ -108,7 +110,7 @@ def test_source_reads(code, tmp_path):
     assert [r["qualified_name"] for r in context["callers"]] == [r["qualified_name"] for r in code.get_callers("pkg.utils.helper", "sample")]
     assert [r["qualified_name"] for r in context["siblings"]] == ["pkg.utils.Base", "pkg.utils.Base.greet"]
     os.remove(root / "pkg" / "core.py")
-    assert "not found on disk" in code.get_code_snippet("pkg.core.build")["error"]
+    assert "has no file" in code.get_code_snippet("pkg.core.build")["error"]
 
 
 def test_node_context_keeps_query_order(spark):
@@ -146,7 +148,7 @@ def test_store(spark, tmp_path):
     store.delete_files("r", spark.createDataFrame([("r", "a.py")], "repo string, path string"))
     assert {t: store.read(t).count() for t in S.TABLES} == {"repos": 1, "nodes": 0, "edges": 0, "files": 1, "imports": 0}
     assert store.commit("r", {}, batch=4) and not store.commit("r", {}, batch=4)
-    assert store.vacuum() > 0 and store.read("files").count() == 1
+    assert store.vacuum() == 0 and store.vacuum(0) > 0 and store.read("files").count() == 1
     store.delete_repo("r")
     assert store.counts()["files"] == 0
 
@@ -154,7 +156,7 @@ def test_store(spark, tmp_path):
 def test_failed_load_leaves_the_old_graph(spark, tmp_path, monkeypatch):
     store = GraphStore(spark, f"file://{tmp_path}/s")
     store.load(graph_tables(spark))
-    monkeypatch.setattr(store, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("stop")))
+    monkeypatch.setattr(store.log, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("stop")))
     with pytest.raises(RuntimeError):
         store.load(graph_tables(spark), replace=True, exclude=["q"])
     assert GraphStore(spark, f"file://{tmp_path}/s").repos() == ["q", "r"]
@@ -183,7 +185,7 @@ def test_database_source(spark, tmp_path):
     assert tables["nodes"].rdd.getNumPartitions() == 3 and tables["nodes"].count() == 250 and tables["edges"].count() == 0
     code = CodeGraph(spark, GraphStore(spark, f"file://{tmp_path}/s"), str(tmp_path))
     assert code.import_database(path) == {"repos": 1, "nodes": 250, "edges": 0, "files": 0, "imports": 0}
-    assert "already holds" in code.import_database(path)["error"] and "no database" in code.import_database(f"{tmp_path}/x.db")["error"]
+    assert "there is a graph" in code.import_database(path)["error"] and "no database" in code.import_database(f"{tmp_path}/x.db")["error"]
     assert [r["name"] for r in code.search_symbol("f24?")] == [f"f24{i}" for i in range(10)]
     con = sqlite3.connect(path)
     con.execute("DROP TABLE imports")
@@ -239,3 +241,59 @@ def test_tarball_keeps_confined(spark, tmp_path):
     with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
         tar.add(tmp_path / "t" / "top", "top")
     assert [r.path for r in files.scan_tarballs(spark, {"r": str(tmp_path / "a.tar.gz")}).select(F.col("path")).collect()] == ["a.py"]
+
+
+def test_appends_are_parts_of_their_own(spark, tmp_path):
+    """An append writes its rows only, a point read opens the parts that may hold the file, compaction joins them."""
+    store = GraphStore(spark, f"file://{tmp_path}/s")
+    files = lambda *paths: spark.createDataFrame([("r", p, "h") for p in paths], S.FILES)
+    store.append("r", "files", files("a.py", "c.py"))
+    store.append("r", "files", files("d.py", "f.py"))
+    store.append("r", "files", files("b.py"))
+    parts = store.parts("files", "r")
+    assert [(p["rows"], p["low"], p["high"]) for p in parts] == [(2, "a.py", "c.py"), (2, "d.py", "f.py"), (1, "b.py", "b.py")]
+    assert [p["rows"] for p in store.parts("files", "r", file="d.py")] == [2] and [r.path for r in store.read("files", "r", "d.py").collect()] == ["d.py"]
+    assert store.read("files", "r", "x.py").count() == 0 and store.counts()["files"] == 5
+    assert store.compact("r", "files") and not store.compact("r", "files") and len(store.parts("files")) == 1 and store.read("files").count() == 5
+    assert store.vacuum(0) == 3
+
+
+def test_commit_log(spark, tmp_path):
+    log = CommitLog(spark, f"file://{tmp_path}/log")
+    assert log.state() == (0, {})
+    for n in range(40):
+        assert log.commit(n, {f"k{n % 7}": n, "gone": None if n % 2 else n})
+    assert not log.commit(20, {"k0": -1})
+    assert log.state() == (40, {f"k{n % 7}": n for n in range(33, 40)})
+    assert log.changed_since(38) == (40, {"k3", "k4", "gone"}) and [f for f in os.listdir(tmp_path / "log" / "_commits") if ".full." in f]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Writers at once: appends to one table, upserts of one key space, and commits to repositories of their own."""
+    root = f"file://{tmp_path}/s"
+    GraphStore(spark, root).commit("own", {"files": spark.createDataFrame([], S.FILES)})
+
+    def work(k):
+        store = GraphStore(spark, root)
+        for n in range(4):
+            store.append("own", "files", spark.createDataFrame([("own", f"{k}-{n}", "h")], S.FILES))
+            store.upsert("own", "imports", spark.createDataFrame([("own", "a.py", f"{k}-{n}", "t", "m")], S.IMPORTS))
+            store.commit(f"r{k}", {"files": spark.createDataFrame([(f"r{k}", f"{n}", "h")], S.FILES)})
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(work, range(3)))
+    store = GraphStore(spark, root)
+    want = {f"{k}-{n}" for k in range(3) for n in range(4)}
+    assert {r.path for r in store.read("files", "own").collect()} == want and {r.local_name for r in store.read("imports", "own").collect()} == want
+    assert sorted((r.repo, r.path) for r in store.read("files").filter("repo <> 'own'").collect()) == [(f"r{k}", "3") for k in range(3)]
+
+
+def test_stale_commits_are_refused(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("r", "a", "h")], S.FILES)
+    store.commit("r", {"files": rows})
+    seen = store.version()
+    store.append("q", "files", rows)
+    assert store.commit("r", {"files": rows}, since=seen)
+    with pytest.raises(ConflictError):
+        store.commit("r", {"files": rows}, since=seen)
