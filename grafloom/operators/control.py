@@ -213,6 +213,32 @@ def delivery_outcomes(deliveries: DataFrame, connections: DataFrame, tenants: Da
     return told.select("id", status.alias("status"), F.coalesce("connections", F.lit(0)).alias("connections"), F.coalesce("requests", F.lit(0)).alias("requests"))
 
 
+def app_requests(requests: DataFrame, connections: DataFrame, tenants: DataFrame, master: str, now: int) -> DataFrame:
+    """(id, tenant_id, repo_name, status) of signed requests (id, body, stamp, signature) to index a repository: 401, 400,
+    404 or, where there is such a connection of an active tenant, 202."""
+    good = app_verified(master, now)("body", "stamp", "signature")
+    told = requests.withColumn("good", good).withColumn("x", F.from_json("body", "tenant_id string, repo_name string"))
+    told = told.select("id", "good", F.expr("try_cast(x.tenant_id as bigint)").alias("tenant_id"), F.col("x.repo_name").alias("repo_name"))
+    known = active_connections(connections, tenants).select("tenant_id", "repo_name").withColumn("known", F.lit(True))
+    status = F.when(~F.col("good"), 401).when(F.col("tenant_id").isNull() | F.col("repo_name").isNull(), 400).when(F.col("known").isNull(), 404).otherwise(202)
+    return told.join(known, ["tenant_id", "repo_name"], "left").select("id", "tenant_id", "repo_name", status.alias("status"))
+
+
+def app_outcomes(judged: DataFrame, made: DataFrame) -> DataFrame:
+    """(id, status, job_id) from ``app_requests`` and the jobs that were made: of the requests for one repository the first
+    has the job, the others, and those whose repository had a run queued, 200."""
+    first = judged.filter("status = 202").groupBy("tenant_id", "repo_name").agg(F.min("id").alias("id"))
+    won = first.join(made.select("tenant_id", "repo_name", F.col("id").alias("job_id")), ["tenant_id", "repo_name"]).select("id", "job_id")
+    status = F.when((F.col("status") == 202) & F.col("job_id").isNull(), 200).otherwise(F.col("status"))
+    return judged.join(won, "id", "left").select("id", status.alias("status"), "job_id")
+
+
+def unused_codes(factors: DataFrame, codes: DataFrame) -> DataFrame:
+    """(user_id, enabled, left): for each second factor whether it is on, and its backup codes that nobody has used."""
+    left = codes.filter("used_at is null").groupBy("user_id").agg(F.count("*").alias("left"))
+    return factors.join(left, "user_id", "left").select("user_id", F.col("enabled_at").isNotNull().alias("enabled"), F.coalesce("left", F.lit(0)).alias("left"))
+
+
 # -- sets ------------------------------------------------------------------
 def compared(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """(keys, side): distinct keys that both have (``both``) and the symmetric difference (``left``, ``right``)."""

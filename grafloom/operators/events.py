@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 def change_set(old: DataFrame, new: DataFrame) -> DataFrame:
     """(repo, path, change) between two listings of (repo, path, hash): added, changed, same, deleted."""
@@ -36,9 +37,21 @@ def claimable(jobs: DataFrame, now: Column, stale: str = "20 minutes") -> DataFr
     return jobs.filter((F.col("status") == "queued") | ((F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL '{stale}'"))))
 
 
+STALE_ERROR = "stale: worker died"
+
+
+def dead(now: Column, stale: str = "2 hours") -> Column:
+    """Whether a job has been running for longer than ``stale``."""
+    return (F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL '{stale}'"))
+
+
 def fail_stale(jobs: DataFrame, now: Column, stale: str = "2 hours") -> DataFrame:
-    dead = (F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL '{stale}'"))
-    return jobs.withColumn("error", F.when(dead, F.lit("stale: worker died")).otherwise(F.col("error"))).withColumn("status", F.when(dead, F.lit("failed")).otherwise(F.col("status")))
+    """The job table with dead jobs failed and, where it has the column, finished now."""
+    gone = dead(now, stale)
+    changed = {"error": F.when(gone, F.lit(STALE_ERROR)).otherwise(F.col("error")), "status": F.when(gone, F.lit("failed")).otherwise(F.col("status"))}
+    if "finished_at" in jobs.columns:
+        changed["finished_at"] = F.when(gone, now).otherwise(F.col("finished_at"))
+    return jobs.withColumns(changed)
 
 
 def retention(rows: DataFrame, column: str, now: Column, keep: str) -> DataFrame:
@@ -46,6 +59,39 @@ def retention(rows: DataFrame, column: str, now: Column, keep: str) -> DataFrame
     return rows.filter(F.col(column) >= now - F.expr(f"INTERVAL '{keep}'"))
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], start: object, step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """Rows (keys, then others) folded key by key in ``order``: ``step(state, others)`` gives the next state and the rows told
+    (without the keys), ``finish(state)`` those at a key's end. A key's rows are read as they come, sorted by the engine, so
+    a hot key needs time but no memory."""
+    names = [c for c in rows.columns if c not in keys]
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, state = [], None, start
+
+        def made() -> pa.RecordBatch:
+            cols = zip(*out, strict=True) if out else [()] * len(kinds)
+            return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = row[: len(keys)]
+                if key != now:
+                    if now is not None:
+                        out += [(*now, *t) for t in finish(state)]
+                    now, state = key, start
+                state, told = step(state, row[len(keys) :])
+                out += [(*key, *t) for t in told]
+            if len(out) > 10_000:
+                yield made()
+                out = []
+        if now is not None:
+            out += [(*now, *t) for t in finish(state)]
+        yield made()
+
+    return rows.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def _windows(hits: DataFrame, width: int, every: bool) -> DataFrame:
     """(key, window_start, hits) of each key's last window, or of every one. Hits of one time are counted before the
     shuffle; each key's times are then read in order and folded as they come: a hot key needs time but no memory."""

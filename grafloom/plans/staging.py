@@ -8,11 +8,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own that the driver and all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -20,6 +20,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         root = "file://" + tempfile.mkdtemp(prefix="grafloom-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/graph/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/graph/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
