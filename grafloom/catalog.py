@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_control, catalog_files
+from . import catalog_control, catalog_files, catalog_jobs
 from . import schema as S
 from .operators import events as E
 from .operators import graph as G
@@ -34,11 +34,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | catalog_files.QUERIES | catalog_control.QUERIES
+    return _QUERIES | catalog_files.QUERIES | catalog_control.QUERIES | catalog_jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_files.SQL | catalog_control.SQL
+    return _SQL | catalog_files.SQL | catalog_control.SQL | catalog_jobs.SQL
 
 
 def _root(d: DataFrame) -> str:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from .functions.scalars import safe_relative
 from .operators import control as C
 from .operators import events as E
-from .streaming import jobs as J
-from .streaming import limits as L
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,19 +200,3 @@ def throttled_touches(spark, d):
     """The uses that are written down when two of a key must be over a day apart."""
     hits = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     return E.window_starts(hits, 86_400_000_000)
-
-
-@_query()
-def job_log(spark, d):
-    """Transitions of jobs from a replayed log; ``tests`` hold it against the stream and the single steps."""
-    kinds = F.array(*map(F.lit, ["request", "claim", "succeeded", "request", "failed", "sweep"]))
-    events = spark.read.parquet(f"{d}/events.parquet")
-    rows = events.select((F.col("user_id") % 5).cast("long").alias("tenant_id"), F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repo_name"), F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("kind"), F.col("event_type").alias("trigger"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    return J.fold(rows)
-
-
-@_query()
-def failure_locks(spark, d):
-    """Locks that failures set; ``tests`` hold it against the stream and the single steps."""
-    events = spark.read.parquet(f"{d}/events.parquet")
-    return L.failure_locks(events.select(F.col("user_id").cast("string").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")), 86_400, 10, 900)

@@ -171,13 +171,6 @@ def readme_lookup(spark, d):
     return files_of.readme_of(docs.select(F.concat(F.lit("r"), (F.col("doc_id") % 50).cast("string")).alias("repo"), name.alias("path")))
 
 
-@_query(f"{cte('x_files')} SELECT 'repos' AS table_name, 1 AS n UNION ALL SELECT 'files', count(*) FROM x_files WHERE path NOT LIKE '%.txt' AND path NOT LIKE '%.bad.py'")
-def parity_counts(spark, d):
-    """Rows of two tables as a load counts them on both sides."""
-    g = _graph(spark, d)
-    return g.files.select(F.lit("files").alias("table_name")).unionByName(g.files.select("repo").distinct().select(F.lit("repos").alias("table_name"))).groupBy("table_name").agg(F.count("*").alias("n"))
-
-
 @_query("SELECT user_id AS k, max(event_id) AS v FROM events GROUP BY user_id")
 def upsert_last_wins(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.events import folded
+
 # Failures that are free, the longest back-off and the longest lock.
 FREE_FAILURES, MOST_BACKOFF, MOST_LOCK = 3, 15 * 60, 24 * 60 * 60
 
@@ -67,7 +69,12 @@ def _rows(key: tuple, events: pd.DataFrame, state: tuple | None, rule: Callable,
 def _stream(events: DataFrame, rule: Callable, out: str, kept: str) -> DataFrame:
     names = [c.split()[0] for c in out.split(", ")]
     if not events.isStreaming:
-        return events.groupBy("key").applyInPandas(lambda key, part: _rows(key, part, None, rule, names)[1], out)
+
+        def each(state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+            state, told = rule(state, row[0])
+            return state, [] if told is None else [(row[0], *told)]
+
+        return folded(events.select("key", "at"), ["key"], ["at"], None, each, lambda _: [], out)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(int(x) for x in state.get) if state.exists else None

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..api import CodeGraph
+from ..jobs import JobLog
 from ..operators import control as C
 from ..sinks.store import GraphStore
 
@@ -34,23 +36,68 @@ def requests(deliveries: DataFrame, connections: DataFrame, tenants: DataFrame,
 
 def once(store: GraphStore, work: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """``work`` as a foreachBatch function that passes over batches which the store has committed: a batch that is
-    delivered again after a failure changes nothing."""
+    delivered again after a failure changes nothing, and one whose work raises isn't noted."""
 
     def run(batch: DataFrame, number: int) -> None:
-        if number > store._state()["batch"]:
+        if number > store.batch():
             work(batch, number)
             store.mark(number)
 
     return run
 
 
-def index_on_change(transitions: DataFrame, graph: CodeGraph, checkpoint: str) -> StreamingQuery:
-    """Re-indexes the repositories whose jobs started to run, once for each batch of transitions."""
-
-    def work(batch: DataFrame, _: int) -> None:
-        for row in batch.filter("status = 'running'").select("repo_name").distinct().toLocalIterator():
-            answer = graph.reindex_repository(row["repo_name"])
-            if "error" in answer:
-                graph.index_repository(row["repo_name"], row["repo_name"])
-
-    return transitions.writeStream.foreachBatch(once(graph.store, work)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def indexed(graph: CodeGraph, repo_name: str, folder: str | None = None) -> dict:
+    """The answer of re-indexing a repository, or of indexing it from ``folder`` if the store hasn't got it."""
+    if repo_name in graph.store.repos():
+        return graph.reindex_repository(repo_name)
+    return graph.index_repository(repo_name, folder or repo_name)
+
+
+RESULTS = "tenant_id long, repo_name string, job long, kind string, error string, nodes long, edges long"
+
+
+def index_on_change(transitions: DataFrame, graphs: Callable[[int], CodeGraph], results: str, checkpoint: str) -> StreamingQuery:
+    """Indexes the repositories whose jobs started to run, each in the graph of its tenant, and writes for each a result
+    (succeeded, or failed with its error) to the folder ``results``, a subfolder for each batch: read as a stream they are
+    events of the job log. A batch that is delivered again is indexed again from what is there and replaces its results."""
+    spark = transitions.sparkSession
+
+    def work(batch: DataFrame, number: int) -> None:
+        out = []
+        # A row for each repository of a batch; the work on each is Spark's.
+        for row in batch.filter("status = 'running'").groupBy("tenant_id", "repo_name").agg(F.max("job").alias("job")).toLocalIterator():
+            try:
+                answer = indexed(graphs(row["tenant_id"]), row["repo_name"])
+            except Exception as e:  # noqa: BLE001 - one repository's failure is its own
+                answer = {"error": f"{type(e).__name__}: {e}"[:2000]}
+            kind = "failed" if "error" in answer else "succeeded"
+            out.append((row["tenant_id"], row["repo_name"], row["job"], kind, answer.get("error"), answer.get("nodes"), answer.get("edges")))
+        spark.createDataFrame(out, RESULTS).coalesce(1).write.mode("overwrite").json(f"{results.rstrip('/')}/batch={number}")
+
+    return transitions.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_jobs(log: JobLog, wanted: DataFrame, graphs: Callable[[int], CodeGraph], heads: DataFrame, now: Column) -> DataFrame:
+    """Claims jobs of the stored log (id), indexes what has moved since its last run, and finishes them; the jobs after it.
+    ``heads`` (external_repo, branch, sha, is_default) tells where branches stand: a job whose branch stands at the commit
+    that was indexed succeeds without a run unless asked for by hand, and one whose branch isn't there fails."""
+    claims = log.claim(wanted, now).join(log.table().select("id", "trigger"), "id")
+    branch = heads.select("external_repo", F.col("branch").alias("at_branch"), "sha", "is_default")
+    on = (F.col("c.external_repo") == F.col("h.external_repo")) & F.when(F.col("c.branch").isNotNull(), F.col("c.branch") == F.col("h.at_branch")).otherwise(F.col("h.is_default"))
+    placed = claims.alias("c").join(branch.alias("h"), on, "left").select("c.id", "c.tenant_id", "c.repo_name", "c.trigger", "c.git_ref", "h.sha")
+    out = []
+    for row in placed.toLocalIterator():  # a worker's few jobs; the work on each is Spark's
+        try:
+            if row["sha"] is None:
+                raise ValueError("the branch to index isn't there")
+            graph = graphs(row["tenant_id"])
+            if row["repo_name"] in graph.store.repos() and row["sha"] == row["git_ref"] and row["trigger"] != "manual":
+                answer = {"unchanged": True}
+            else:
+                answer = indexed(graph, row["repo_name"])
+        except Exception as e:  # noqa: BLE001 - one job's failure is its own
+            answer = {"error": f"{type(e).__name__}: {e}"}
+        ok = "error" not in answer
+        out.append((row["id"], ok, row["sha"] if ok else None, answer.get("error"), json.dumps(answer, sort_keys=True) if ok else None))
+    results = log.spark.createDataFrame(out, "id long, ok boolean, commit_sha string, error string, stats string")
+    return log.finish(results, now)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grafloom.operators import control as C
 from grafloom.operators import events as E
-from grafloom.sinks.store import GraphStore
+from grafloom.sinks.store import GraphStore, provision
 from grafloom.streaming import jobs, limits, route
 
 
@@ -29,27 +29,70 @@ def drained(stream, folder, name):
 
 def job_events():
     rng = random.Random(4)
-    return [(rng.randint(1, 2), f"r{rng.randint(0, 2)}", rng.choice(["request", "request", "claim", "succeeded", "failed", "sweep"]), rng.choice(["push", "manual"]), 600 * i) for i in range(240)]
+    return [(rng.randint(1, 2), f"r{rng.randint(0, 2)}", rng.choice(["request", "request", "claim", "succeeded", "failed", "sweep"]), rng.choice(["push", "manual"]), 600 * (i // 2 + 1), i) for i in range(240)]
 
 
 def test_job_stream_equals_fold(spark, tmp_path):
+    """The stream with timers against the batch fold and single steps in plain order."""
     rows = job_events()
     stream = batches(spark, tmp_path, rows, jobs.EVENTS, 4)
-    got = drained(jobs.job_transitions(stream), tmp_path, "job_transitions")
-    assert got == sorted(tuple(r) for r in jobs.fold(spark.createDataFrame(rows, jobs.EVENTS)).collect())
+    got = drained(jobs.job_transitions(stream, "0 seconds"), tmp_path, "job_transitions")
+    table = spark.createDataFrame(rows, jobs.EVENTS)
+    whole = sorted(tuple(r) for r in jobs.fold(table).collect())
+    # The last timers may be open when the input ends.
+    end = max(r[4] for r in rows)
+    assert set(got) <= set(whole) and all(r[6] + jobs.DEAD_AFTER > end - 600 or r in got for r in whole) and len(got) == len(set(got))
     assert {r[3] for r in got} == {"queued", "running", "succeeded", "failed"}
+    plain = []
+    for key in {r[:2] for r in rows}:
+        state = jobs._EMPTY
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: (r[4], r[5])):
+            state, made = jobs.step(state, r[2], r[3], r[4])
+            plain += [(*key, *m) for m in made]
+        plain += [(*key, *m) for m in jobs.expired(state, end)[1]]
+    assert whole == sorted(plain)
+
+
+def test_order_within_a_second(spark):
+    """A request and a claim of one second: by number where they have one, else the request first."""
+    rows = [(1, "a", "claim", None, 5, None), (1, "a", "request", "push", 5, None), (2, "a", "claim", None, 5, 1), (2, "a", "request", "push", 5, 2)]
+    got = sorted(tuple(r)[:4] for r in jobs.fold(spark.createDataFrame(rows, jobs.EVENTS)).collect())
+    assert got == [(1, "a", 1, "queued"), (1, "a", 1, "running"), (2, "a", 1, "queued")]
+
+
+def test_silent_jobs_fail_by_a_timer(spark, tmp_path):
+    """A running job fails two hours after its start although its key has no more events, in a stream that is stopped
+    and started again in between; once."""
+    put = lambda rows: spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+
+    def run():
+        out = jobs.job_transitions(spark.readStream.schema(jobs.EVENTS).json(f"{tmp_path}/in"), "0 seconds")
+        query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        return sorted(tuple(r)[1:] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    put([(1, "silent", "request", "push", 100, 1), (1, "silent", "claim", None, 110, 2), (1, "busy", "request", "push", 100, 1), (1, "busy", "claim", None, 110, 2)])
+    first = run()
+    assert {r[0]: r[2] for r in first if r[5] == 110} == {"silent": "running", "busy": "running"}
+    put([(1, "busy", "claim", None, 7000, 3)])
+    assert run() == sorted([*first, ("busy", 1, "running", "push", 2, 7000)])
+    put([(1, "other", "request", "push", 7400, 1)])  # another key's event moves the clock
+    third = run()
+    assert [r for r in third if r[2] == "failed"] == [("silent", 1, "failed", "push", 1, 7311)]
+    put([(1, "other", "claim", None, 7500, 2), (1, "silent", "succeeded", None, 7500, 3)])  # too late
+    assert [r for r in run() if r[0] == "silent"] == [r for r in third if r[0] == "silent"]
 
 
 def test_job_rules():
     state, made = jobs.step(jobs._EMPTY, "request", "push", 0)
-    assert made == [(1, "queued", "push", 0)] and jobs.step(state, "request", "push", 1) == (state, [])
+    assert made == [(1, "queued", "push", 0, 0)] and jobs.step(state, "request", "push", 1) == (state, [])
     state, made = jobs.step(state, "claim", None, 5)
-    assert made == [(1, "running", "push", 1)] and jobs.step(state, "claim", None, 5 + 1200)[1] == []
-    assert jobs.step(state, "claim", None, 6 + 1200)[1] == [(1, "running", "push", 2)]
-    assert jobs.step(state, "sweep", None, 5 + 7200)[1] == [] and jobs.step(state, "sweep", None, 6 + 7200)[1] == [(1, "failed", "push", 1)]
+    assert made == [(1, "running", "push", 1, 5)] and jobs.step(state, "claim", None, 5 + 1200)[1] == []
+    assert jobs.step(state, "claim", None, 6 + 1200)[1] == [(1, "running", "push", 2, 1206)]
+    assert jobs.step(state, "other", None, 5 + 7200)[1] == [] and jobs.step(state, "other", None, 6 + 7200)[1] == [(1, "failed", "push", 1, 7206)]
     again, made = jobs.step(state, "request", "manual", 7)
-    assert made == [(2, "queued", "manual", 0)]
-    assert jobs.step(jobs.step(again, "succeeded", None, 8)[0], "claim", None, 9)[1] == [(2, "running", "manual", 1)]
+    assert made == [(2, "queued", "manual", 0, 7)]
+    assert jobs.step(jobs.step(again, "succeeded", None, 8)[0], "claim", None, 9)[1] == [(2, "running", "manual", 1, 9)]
 
 
 def test_limit_streams_equal_batch(spark, tmp_path):
@@ -159,7 +202,6 @@ def test_retention_and_touches(spark):
 
 def test_batches_are_committed_once(spark, tmp_path):
     store = GraphStore(spark, f"file://{tmp_path}/s")
-    store._fs.mkdirs(store._jvm_path(store.root))
     seen = []
     run = route.once(store, lambda _, number: seen.append(number))
     for number in (0, 0, 1, 0, 1):
@@ -173,18 +215,27 @@ def test_changes_with_null_hashes(spark):
 
 
 def test_running_jobs_index_their_repository(spark, tmp_path):
-    """A running job indexes its repository, a second one of the same checkpoint re-indexes it; queued ones do nothing."""
+    """A running job indexes its repository in its tenant's graph, a second one re-indexes it; queued ones do nothing, and
+    two tenants' repositories of one name stay apart. One that fails is told as failed and holds nobody up."""
     from grafloom.api import CodeGraph
 
-    for name in ("a", "b"):
+    for name in ("1/a", "1/b", "2/a"):
         (tmp_path / "work" / name).mkdir(parents=True)
         (tmp_path / "work" / name / "m.py").write_text("def f():\n    return 1\n")
-    graph = CodeGraph(spark, GraphStore(spark, f"file://{tmp_path}/store"), str(tmp_path / "work"))
-    rows = [(1, "a", 1, "running", "push", 1, 5), (1, "b", 1, "queued", "push", 0, 5)]
+    (tmp_path / "work" / "2" / "a" / "k.py").write_text("def g():\n    return 2\n")
+    graphs = {t: CodeGraph(spark, provision(spark, f"file://{tmp_path}/stores", f"t{t}"), str(tmp_path / "work" / str(t))) for t in (1, 2)}
+    rows = [(1, "a", 1, "running", "push", 1, 5), (1, "b", 1, "queued", "push", 0, 5), (2, "a", 1, "running", "push", 1, 5), (2, "none", 1, "running", "push", 1, 5), (3, "a", 1, "running", "push", 1, 5)]
     stream = batches(spark, tmp_path, rows, jobs.TRANSITIONS, 1)
-    route.index_on_change(stream, graph, f"{tmp_path}/cp").awaitTermination(240)
-    assert [r["name"] for r in graph.list_repositories()] == ["a"]
-    (tmp_path / "work" / "a" / "n.py").write_text("def g():\n    return 2\n")
+
+    def run():
+        route.index_on_change(stream, graphs.__getitem__, f"{tmp_path}/results", f"{tmp_path}/cp").awaitTermination(240)
+        told = spark.read.schema(route.RESULTS).json(f"{tmp_path}/results").collect()
+        return sorted((r.tenant_id, r.repo_name, r.job, r.kind) for r in told)
+
+    first = run()
+    assert first == [(1, "a", 1, "succeeded"), (2, "a", 1, "succeeded"), (2, "none", 1, "failed"), (3, "a", 1, "failed")]
+    assert [[(r["name"], r["file_count"]) for r in graphs[t].list_repositories()] for t in (1, 2)] == [[("a", 1)], [("a", 2)]]
+    (tmp_path / "work" / "1" / "a" / "n.py").write_text("def g():\n    return 2\n")
     spark.createDataFrame([(1, "a", 2, "running", "push", 1, 9)], jobs.TRANSITIONS).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-    route.index_on_change(stream, graph, f"{tmp_path}/cp").awaitTermination(240)
-    assert [r["file_count"] for r in graph.list_repositories()] == [2]
+    assert run() == sorted([*first, (1, "a", 2, "succeeded")])
+    assert [r["file_count"] for r in graphs[1].list_repositories()] == [2]
