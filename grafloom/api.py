@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from datetime import UTC, datetime
 
 from pyarrow import fs
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions.scalars import REPO_NAME, line_slice
+from .jobs import JobLog
 from .operators import events as E
 from .operators import graph as G
 from .operators import resolve as R
@@ -113,10 +115,17 @@ class CodeGraph:
         self.store.commit(name, parts | {"repos": repos}, since=version)
         return {"repo": name, "status": status, "files_indexed": indexed, "files_skipped": skipped, "files_deleted": deleted, "nodes": counts["nodes"], "edges": counts["edges"]}
 
-    def import_database(self, path: str, replace: bool = False, exclude: tuple[str, ...] = ()) -> dict:
-        """Loads a database file's graph into the store, all of it or nothing."""
+    def import_database(self, path: str, replace: bool = False, exclude: tuple[str, ...] = (), connections: Sequence[tuple[str, str, str | None]] = (), log: JobLog | None = None, tenant_id: int | None = None) -> dict:
+        """Loads a database file's graph into the store, all of it or nothing, then writes the ``connections`` (repository,
+        owner/name, commit or None) of the tenant to its job log."""
+        if connections and (log is None or tenant_id is None):
+            return {"error": "connections need a job log and a tenant"}
         try:
-            return self.store.load(read_database(self.spark, path), replace, exclude)
+            tables = read_database(self.spark, path)
+            told = self.store.load(tables, replace, exclude)
+            if connections:
+                log.connect(tenant_id, list(connections), set(self.store.repos()))
+            return told
         except (LoadError, FileNotFoundError, ValueError) as e:
             return {"error": str(e)}
 

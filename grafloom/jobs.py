@@ -114,6 +114,26 @@ class JobLog:
         """Takes out rows of a table and what refers to them; what went, by table."""
         return self.store.delete(table, where)
 
+    def connect(self, tenant_id: int, triples: list[tuple[str, str, str | None]], repos: set[str]) -> DataFrame:
+        """Connections (repo_name, owner/name, commit or None) of a tenant's repositories, ``repos``: new ones are indexed
+        daily and on push, known ones get their new place and commit and stay as they are else. Any that isn't valid, or
+        names none of ``repos``, refuses them all."""
+        absent = sorted({t[0] for t in triples} - repos)
+        if absent:
+            raise ValueError(f"connections to repositories that aren't in the graph: {absent}")
+        rows = self.spark.createDataFrame([(tenant_id, *t) for t in triples], "tenant_id long, repo_name string, external_repo string, git_ref string")
+        valid = C.valid_rows(rows.withColumn("slug", F.lit("x"))).count()
+        if valid != len(triples):
+            raise ValueError(f"{len(triples) - valid} connections have no valid name")
+
+        def change(t: dict[str, DataFrame]) -> dict:
+            known = t["connections"].drop("external_repo", "git_ref").withColumn("known", F.lit(True))
+            merged = rows.join(known, ["tenant_id", "repo_name"], "left")
+            new = F.col("known").isNull()
+            return {"connections": (merged.withColumns({c: F.when(new, F.lit(True)).otherwise(F.col(c)) for c in ("index_daily", "index_on_push")}).drop("known"), None)}
+
+        return self.store.update(change)["connections"][0]
+
     # -- the three ways in -------------------------------------------------
     def on_schedule(self, now: Column) -> dict[str, DataFrame]:
         """The daily run: dead jobs are closed, then each daily connection is queued; ``failed`` and ``queued`` jobs."""

@@ -13,10 +13,12 @@ from grafloom import schema as S
 from grafloom.api import CodeGraph
 from grafloom.operators import extract as X
 from grafloom.operators import graph as G
+from grafloom.operators.table_function import register_functions
 from grafloom.sinks import payload
 from grafloom.sinks.commits import CommitLog
 from grafloom.sinks.store import ConflictError, GraphStore, LoadError, last_wins, next_id, provision, with_ids
 from grafloom.sources import database, files
+from tests.test_jobs import log_at
 
 SAMPLE = {
     "pkg/__init__.py": "",
@@ -193,6 +195,64 @@ def test_database_source(spark, tmp_path):
     assert "imports" in code.import_database(path, True)["error"]
 
 
+def graph_file(path, repos=("p", "q"), n=40):
+    con = sqlite3.connect(path)
+    for table, columns in S.TABLES.items():
+        con.execute(f"CREATE TABLE {table}({', '.join(c.replace(' string', ' TEXT').replace(' int', ' INTEGER') for c in columns.split(', '))})")
+    for r in repos:
+        con.execute("INSERT INTO repos VALUES(?, 'p', 't', ?, 0, 1)", (r, n))
+        con.executemany("INSERT INTO nodes VALUES(?, ?, ?, ?, 'a.py', ?, ?, NULL)", [(r, "Class" if i % 4 == 0 else "Function", f"f{i}", f"a.f{i}", i, i) for i in range(n)])
+    con.commit()
+    con.close()
+
+
+def test_database_filters_are_pushed(spark, tmp_path):
+    path = f"{tmp_path}/graph.db"
+    graph_file(path)
+    nodes = database.read_database(spark, path, columns={"nodes": ["repo", "kind", "name", "start_line"]})["nodes"]
+    assert nodes.columns == ["repo", "kind", "name", "start_line"]
+    some = nodes.filter("repo = 'p' and kind in ('Class', 'Method') and start_line >= 8 and name <> 'f12'")
+    plan = spark._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert all(x in pushed for x in ("repo", "kind", "start_line")), plan
+    assert sorted(r.name for r in some.collect()) == sorted(f"f{i}" for i in range(8, 40, 4) if i != 12)
+    reader = database._Reader(path, "nodes", ["name"], 1000)
+    left = list(reader.pushFilters([database.EqualTo(("repo",), "q"), database.Not(database.In(("kind",), ("Class",))), database.EqualTo(("a", "b"), 1)]))
+    assert len(left) == 1 and len(list(reader.read(reader.partitions()[0]))) == 30
+    with pytest.raises(Exception, match="no such columns"):
+        spark.read.format("graphfile").option("path", path).option("table", "nodes").option("columns", "other").load()
+
+
+def test_import_with_connections(spark, tmp_path):
+    path = f"{tmp_path}/graph.db"
+    graph_file(path)
+    log = log_at(spark, f"file://{tmp_path}/log")
+    code = CodeGraph(spark, GraphStore(spark, f"file://{tmp_path}/s"), str(tmp_path))
+    assert "error" in code.import_database(path, connections=[("p", "org/p", None)])
+    assert "error" in code.import_database(path, exclude=("q",), connections=[("q", "org/q", None)], log=log, tenant_id=1)
+    assert "error" in code.import_database(path, True, connections=[("p", "org/..", None)], log=log, tenant_id=1)
+    assert code.import_database(path, True, connections=[("p", "org/p", "s1"), ("q", "org/q", None)], log=log, tenant_id=1)["nodes"] == 80
+    assert code.import_database(path, True, connections=[("p", "org/moved", "s2")], log=log, tenant_id=1)["nodes"] == 80
+    got = {(r.tenant_id, r.repo_name): (r.external_repo, r.git_ref, r.index_daily, r.github_token_id) for r in log.table("connections").collect()}
+    assert got[1, "p"] == ("org/moved", "s2", True, None) and got[1, "q"] == ("org/q", None, True, None) and got[1, "a"] == ("org/a", "s0", True, 7) and len(got) == 6
+
+
+def test_extractor_as_a_table_function(spark):
+    """One statement from files to nodes, edges or imports."""
+    register_functions(spark)
+    files_in = spark.createDataFrame([("r", "pkg/utils.py", SAMPLE["pkg/utils.py"]), ("r", "pkg/core.py", SAMPLE["pkg/core.py"]), ("r", "bad.py", "def ("), ("r", "a.css", "b {}"), ("r", "none", None)], "repo string, path string, text string")
+    files_in.createOrReplaceTempView("source_files")
+    made = spark.sql("SELECT f.repo, n.kind, n.qualified_name, n.end_line FROM source_files f, LATERAL extracted('nodes', f.path, f.text) n").collect()
+    graph = X.extract(files_in.filter("path like '%.py' or path like '%.css'").select("repo", "path", F.length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content")))
+    assert sorted(map(tuple, made)) == sorted((r.repo, r.kind, r.qualified_name, r.end_line) for r in graph.nodes.collect()) and len(made) > 6
+    edges = spark.sql("SELECT e.edge_type, e.src_qname, e.dst_raw FROM source_files f, LATERAL extracted('edges', f.path, f.text) e").collect()
+    assert sorted(map(tuple, edges)) == sorted((r.edge_type, r.src_qname, r.dst_raw) for r in graph.edges.collect())
+    imports = spark.sql("SELECT i.local_name, i.target FROM source_files f, LATERAL extracted('imports', f.path, f.text) i").collect()
+    assert sorted(map(tuple, imports)) == sorted((r.local_name, r.target) for r in graph.imports.collect())
+    with pytest.raises(Exception, match="nodes, edges or imports"):
+        spark.sql("SELECT * FROM extracted('other', 'a.py', 'x')").collect()
+
+
 def test_payload(code, tmp_path):
     code.index_repository("sample", "sample")
     parts = code.graph_payload(2)
