@@ -288,7 +288,20 @@ def reach_callers(spark, d):
     return T.reach(view(spark, d, "p_edges"), _root(view(spark, d, "p_nodes")), "callers", 3)
 
 
-@_query()
+_TRACE = f"""{cte("p_nodes", "p_edges").replace("WITH ", "WITH RECURSIVE ", 1)},
+near AS (SELECT a, list(b ORDER BY b)[1:{S.MAX_BREADTH}] AS kids, count(*) > {S.MAX_BREADTH} AS more FROM (SELECT DISTINCT src_qname AS a, dst_qname AS b FROM p_edges WHERE edge_type = 'CALLS' AND resolved = 1) c GROUP BY a),
+walk(ordinal, parent, name, level, again, todo, seen, cut) AS (
+  SELECT 0, CAST(NULL AS INTEGER), r, 0, FALSE, coalesce(list_transform(kids, lambda k: struct_pack(n := k, p := 0, l := 1)), []), [r], coalesce(more, FALSE) FROM (SELECT {_FIRST_PART} AS r) x LEFT JOIN near ON a = r
+  UNION ALL
+  SELECT ordinal + 1, head.p, head.n, head.l, known, list_concat(CASE WHEN opens THEN list_transform(kids, lambda k: struct_pack(n := k, p := ordinal + 1, l := head.l + 1)) ELSE [] END, todo[2:]),
+         CASE WHEN known THEN seen ELSE list_append(seen, head.n) END, cut OR (opens AND more)
+  FROM (SELECT w.*, n.kids, n.more, list_contains(seen, head.n) AS known, NOT list_contains(seen, head.n) AND head.l < 3 AND n.kids IS NOT NULL AS opens
+        FROM (SELECT *, todo[1] AS head FROM walk WHERE len(todo) > 0 AND len(seen) <= {S.MAX_TRACE_NODES}) w LEFT JOIN near n ON n.a = w.head.n) y)
+SELECT ordinal, parent AS parent_ordinal, name AS qualified_name, level, again AS is_cycle, CAST((SELECT max(len(seen)) - 1 FROM walk) AS INTEGER) AS nodes_visited,
+       (SELECT bool_or(cut) OR max(CASE WHEN ordinal = (SELECT max(ordinal) FROM walk) THEN len(todo) END) > 0 FROM walk) AS truncated FROM walk"""
+
+
+@_query(_TRACE)
 def trace_tree(spark, d):
     return T.trace_call_path(view(spark, d, "p_edges"), _root(view(spark, d, "p_nodes")), "callees", 3)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .api import resolved, snippets
 from .operators import events as E
 from .operators import extract as X
+from .operators.table_function import register_functions
 from .operators import graph as G
 from .sinks import store
 from .sources import files as files_of
@@ -102,6 +103,14 @@ def extract_nodes(spark, d):
     return _graph(spark, d).nodes
 
 
+@_query(f"{_HEAD}, {_NODES} SELECT * FROM nodes")
+def extracted_nodes(spark, d):
+    """The nodes of a tree by the table function of SQL, in one statement."""
+    register_functions(spark)
+    texts = _files(spark, d).select("path", F.col("content").cast("string").alias("text"))
+    return spark.sql("SELECT n.* FROM {texts} f, LATERAL extracted('nodes', f.path, f.text) n", texts=texts)
+
+
 @_query(f"{_HEAD}, {_EDGES} SELECT 'tree' AS repo, edge_type, src_qname, raw_dst AS dst_qname, dst_raw, src_file, CASE edge_type WHEN 'CONTAINS' THEN 1 ELSE 0 END AS resolved FROM edges")
 def extract_edges(spark, d):
     return _graph(spark, d).edges
