@@ -10,10 +10,14 @@ and 128 bits of fingerprint), so copies are never paired.
 2. Tiles. The classes left name all their shingles; each learns how many of them name it. A class's shared
    shingles are put in order of that number, rarest first; linked classes have one of the first
    ``n - ceil(t n) + 1`` in common. A tile is such a shingle and a size band (sizes of a band differ by less than
-   the factor 1 / t; a class stands in its own band and the next). Tiles are joined into groups.
-3. Pairs. The classes of a group meet in one task; a group of over ``UNIT_SHINGLES`` is cut by size band into
-   blocks, and blocks of one band or of neighbouring bands meet in pairs. Within, hashed parity bitmaps bound
-   the overlap from above by bit counts, and what they let through is counted exactly from the sorted arrays.
+   the factor 1 / t; a class stands in its own band and the next). Tiles are joined into groups, which bundle the
+   tiles of near copies. A group too large for one task is taken apart again tile by tile: tiles of the same classes
+   count once, within each the classes meet by their bitmaps alone, and only pairs whose bit counts admit a link join
+   their classes to smaller groups. Texts that merely share passages in a ring are left alone by that.
+3. Pairs. The classes of a group meet in one task; a group that is still over ``UNIT_SHINGLES``, one of texts that all hang
+   together by admitted pairs, is cut by size band into blocks, and blocks of one band or of neighbouring bands meet in
+   pairs. Within, hashed parity bitmaps bound the overlap from above by bit counts, and the overlaps of what they
+   let through are counted exactly, for all of a unit at once, along the sorted arrays' common elements.
 
 So every link is found whatever its component, texts travel only to be read, and the copies of a batch's common
 passage cost one record. Documented bound: the ids of step 2 are picked by a bit set of at most 32 MB, which
@@ -295,13 +299,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x[0] for x in out[a : a + 1024]], pa.int64()), pa.array([x[1] for x in out[a : a + 1024]], pa.binary())], ["batch", "cells"])
 
 
-_TILES = [("fp", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("root", pa.int64()), ("bucket", pa.int64()), ("tiles", pa.binary())]
-_TILES_TYPE = "fp long, n long, hashes binary, root long, bucket long, tiles binary"
+_TILES = [("fp", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("own", pa.binary()), ("root", pa.int64()), ("bucket", pa.int64()), ("tiles", pa.binary())]
+_TILES_TYPE = "fp long, n long, hashes binary, own binary, root long, bucket long, tiles binary"
 
 
 def _tiles(percent: int, buckets: int):
     """Rows (batch, cells, fps, ns, hashes) sorted by batch: the classes that still can link, with their shared
-    shingles; the class each is grouped with (root); and the tiles of each root, by bucket."""
+    shingles and tiles (own); the class each is grouped with (root); and the tiles of each root, by bucket."""
     make = with_columns(_TILES)
 
     def of_batch(answers: list[bytes], classes: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +333,7 @@ def _tiles(percent: int, buckets: int):
         band = np.floor(np.log(np.maximum(ns, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
         who = np.repeat(row[first], 2)
         tile = tk.mix(np.repeat(hashes[first], 2) + (np.repeat(band[row[first]], 2) + np.tile([0, 1], len(first))).astype(np.uint64))
+        mine, upto = tile, 2 * np.append(0, np.cumsum(np.bincount(row[first], minlength=len(fps))))
         order = np.argsort(tile, kind="stable")
         tile, who = tile[order], who[order]
         at, length = _cuts(tile)
@@ -336,7 +341,7 @@ def _tiles(percent: int, buckets: int):
         live = np.flatnonzero(alive)
         for a in range(0, len(live), 4096):
             rows = live[a : a + 4096]
-            yield make(len(rows), fp=fps[rows], n=ns[rows], root=fps[root[rows]], hashes=[hashes[begin[r] : begin[r + 1]].tobytes() for r in rows])
+            yield make(len(rows), fp=fps[rows], n=ns[rows], root=fps[root[rows]], hashes=[hashes[begin[r] : begin[r + 1]].tobytes() for r in rows], own=[mine[upto[r] : upto[r + 1]].tobytes() for r in rows])
         tile, owner = tile[at], fps[root[who[at]]]
         bucket = (tile % np.uint64(buckets)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
@@ -431,6 +436,97 @@ def _admitted(sets: list[np.ndarray], n: np.ndarray, far: np.ndarray, left: int,
     return fit & (np.arange(left)[:, None] < np.arange(m))
 
 
+def _class_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, own) to a row for each tile of a class."""
+    for batch in batches:
+        fps, own = batch.column(0).to_numpy(), [np.frombuffer(c.as_buffer(), np.int64) for c in batch.column(1)]
+        for a in range(0, len(own), 256):
+            part = own[a : a + 256]
+            yield pa.record_batch([pa.array(np.concatenate(part)), pa.array(np.repeat(fps[a : a + 256], [len(x) for x in part]))], ["tile", "fp"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, n, hashes) to (fp, n, shared, bits): the bitmap of a class's shared shingles and their number."""
+    for batch in batches:
+        sets = [np.frombuffer(c.as_buffer(), np.uint64) for c in batch.column(2)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([tk.bitmap(x).tobytes() for x in sets], pa.binary())], ["fp", "n", "shared", "bits"])
+
+
+def _met(percent: int):
+    """Rows (crowd, fp, n, shared, bits) sorted by crowd: edges (a, b) that join the classes of a crowd which admitted
+    pairs hold together. A crowd over UNIT_CLASSES is joined as it is, and so are classes that are joined already."""
+
+    def stars(label: dict, crowd: list[tuple]) -> Iterator[tuple[int, int]]:
+        def find(x: int) -> int:
+            while label.get(x, x) != x:
+                label[x] = label.get(label[x], label[x])
+                x = label[x]
+            return x
+
+        fps = [c[0] for c in crowd]
+        if len({find(f) for f in fps}) == 1:
+            return
+        if len(crowd) > UNIT_CLASSES:
+            pairs = [(fps[0], f) for f in fps[1:]]
+        else:
+            n, own = (np.array([c[i] for c in crowd], np.int64) for i in (1, 2))
+            width = min(len(c[3]) for c in crowd)
+            marks = np.array([tk.fold(np.frombuffer(c[3], np.uint8), width) for c in crowd]).view(np.uint64)
+            pairs, step = [], max(1, (1 << 22) // max(1, len(crowd) * marks.shape[1]))
+            for a in range(0, len(crowd), step):
+                apart = np.bitwise_count(marks[a : a + step, None] ^ marks[None]).sum(2, dtype=np.int64)
+                bound = (own[a : a + step, None] + own - apart) // 2
+                i, j = np.nonzero(100 * bound >= percent * (n[a : a + step, None] + n - bound))
+                keep = i + a < j
+                x, y = i[keep] + a, j[keep]
+                # Of the pairs of a stretch a forest is enough.
+                least = local_components(x, y, len(crowd))
+                pairs += [(fps[least[k]], fps[k]) for k in np.flatnonzero(least != np.arange(len(crowd))).tolist()]
+        for x, y in pairs:
+            p, q = find(x), find(y)
+            if p != q:
+                label[max(p, q)] = min(p, q)
+                yield x, y
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, crowd, label, out = None, [], {}, []
+        for batch in batches:
+            for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    out += stars(label, crowd) if len(crowd) > 1 else ()
+                    now, crowd = name, []
+                    if len(label) > 1 << 18:  # what is known is only a short cut
+                        label = {}
+                crowd.append(row)
+            if len(out) > 10_000:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        out += stars(label, crowd) if len(crowd) > 1 else ()
+        if out:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _apart(groups: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
+    """``groups`` with those too large for one unit taken apart: their classes by the admitted pairs of their tiles."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    large = staged(sizes.filter((F.col("m") > UNIT_CLASSES) | (F.col("s") > UNIT_SHINGLES)).select("group"), "ngram-large")
+    if not large.take(1):
+        return groups
+    big = groups.join(large, "group", "left_semi")
+    own = tiles.filter("bucket is null").join(big.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "own")
+    held = staged(own.mapInArrow(lean(_class_tiles), "tile long, fp long"), "ngram-held")
+    # Tiles of the same classes are one crowd.
+    crowds = held.groupBy("tile").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y")).filter("m > 1")
+    members = held.join(crowds, "tile").select(F.xxhash64("m", "x", "y").alias("crowd"), "fp").distinct()
+    signed = big.select("fp", "n", "hashes").mapInArrow(lean(_signed), "fp long, n long, shared long, bits binary")
+    met = members.join(signed, "fp").select("crowd", "fp", "n", "shared", "bits").repartition("crowd").sortWithinPartitions("crowd", "fp")
+    joined = connected_components(met.mapInArrow(lean(_met(percent)), "a long, b long")).toDF("fp", "component")
+    rest = groups.join(large, "group", "left_anti")
+    return staged(rest.unionByName(big.join(joined, "fp").select(F.col("component").alias("group"), "fp", "n", "copies", "hashes")), "ngram-apart")
+
+
 def _within(percent: int, each: bool):
     """Rows sorted by unit: key, copies, whether the class is of the second block, whether there are two, whether the
     unit is a whole group, size, shared shingles. All links of a unit: each pair (a, b, shared), or for each class the rows that it links
@@ -557,8 +653,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = roots.select("fp", "n", "hashes", "root").join(group, "root", "left").withColumn("group", F.coalesce("group", "root"))
     groups = named.join(classes.select("fp", "copies"), "fp").select("group", "fp", "n", "copies", "hashes").dropDuplicates(["fp"])
     groups = staged(groups, "ngram-groups")
+    split = _apart(groups, tiles, percent)
     unstage(tiles)
-    units = staged(_units(groups, percent), "ngram-units")
+    units = staged(_units(split, percent), "ngram-units")
     unstage(groups)
 
     def within(each: bool, schema: str) -> DataFrame:
