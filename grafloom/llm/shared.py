@@ -147,6 +147,17 @@ def lean(run: Callable, tokens: bool = False, drop: bool = False) -> Callable:
     return wrapped
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the executors collect garbage, after which their JVMs return the heap that an earlier step filled and left: a
+    later step with large Python workers then finds the room. A task for each core, so that every executor is met; on a
+    local master, where driver and executor are one, nothing."""
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return
+    tasks = spark.sparkContext.defaultParallelism
+    collected = spark.range(tasks, numPartitions=tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("x"))
+    collected.write.format("noop").mode("overwrite").save()
+
+
 def in_task(spark: SparkSession, work: Callable, *args):
     """Runs ``work(*args)``, whose input and output are of bounded size, in one Spark task instead of the driver."""
 
