@@ -13,9 +13,17 @@ def result(value: list | dict) -> dict:
     return {"result": value} if isinstance(value, list) else value
 
 
-def rows_of(df: DataFrame) -> list[dict]:
-    """Rows of a bounded answer as dicts."""
-    return [r.asDict(recursive=True) for r in df.collect()]
+#: Rows of an answer that may come to the driver, and of a payload that may be one text.
+ANSWER_ROWS = 100_000
+TEXT_ROWS = 1_000_000
+
+
+def rows_of(df: DataFrame, most: int = ANSWER_ROWS) -> list[dict]:
+    """Rows of an answer as dicts; an error if there are more than ``most``, which are to be read as a frame."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: read them as a frame")
+    return [r.asDict(recursive=True) for r in rows]
 
 
 def write_payload(nodes: DataFrame, links: DataFrame, repos: DataFrame, stats: DataFrame, folder: str) -> None:
@@ -25,7 +33,11 @@ def write_payload(nodes: DataFrame, links: DataFrame, repos: DataFrame, stats: D
 
 
 def payload_json(nodes: DataFrame, links: DataFrame, repos: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row ``payload``: ``{nodes, links, repos, stats}`` as text, for graphs under the payload's caps."""
+    """One row ``payload``: ``{nodes, links, repos, stats}`` as text; an error beyond ``TEXT_ROWS`` nodes and links, which
+    ``write_payload`` puts out in parts."""
+    told = stats.select((F.col("nodes") + F.col("links")).alias("n")).first()["n"]
+    if told > TEXT_ROWS:
+        raise ValueError(f"{told} nodes and links are too many for one text: use write_payload")
     one = None
     for name, df in (("nodes", nodes), ("links", links), ("repos", repos)):
         part = df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))

@@ -90,3 +90,24 @@ def test_trace_and_direction(spark):
     assert {r[0]: r[1] for r in T.reach(edges, "a", depth=2).collect()} == {"a": 0, "b": 1, "c": 1, "x": 2}
     with pytest.raises(ValueError):
         T.reach(edges, "a", "sideways")
+
+
+def test_sections_are_cut_and_answers_bounded(spark, monkeypatch):
+    """A hot symbol's callers are picked in the tasks, and a list that is too long for the driver is refused."""
+    from grafloom.sinks import payload
+
+    nodes = spark.createDataFrame([("r", "Function", f"f{i}", f"m.f{i}", "m.py", i, i, None) for i in range(40)], NODES)
+    edges = spark.createDataFrame([("r", "CALLS", f"m.f{i}", "m.f0", "f0", "m.py", 1) for i in range(1, 40)], EDGES)
+    imports = spark.createDataFrame([], IMPORTS)
+    whole = G.node_context(nodes, edges, imports, "r", "m.f0").first()
+    assert len(whole["callers"]) == 39
+    monkeypatch.setattr(G._section, "__defaults__", (5,))
+    cut = G.node_context(nodes, edges, imports, "r", "m.f0").first()
+    assert cut["callers"] == whole["callers"][:5] and cut["siblings"] == whole["siblings"][:5]
+    assert len(payload.rows_of(nodes, 40)) == 40
+    with pytest.raises(ValueError):
+        payload.rows_of(nodes, 39)
+    monkeypatch.setattr(payload, "TEXT_ROWS", 10)
+    parts = {"nodes": G.payload_nodes(nodes, 100), "links": nodes.limit(0), "repos": nodes.limit(0), "stats": spark.sql("SELECT 8L AS nodes, 3L AS links")}
+    with pytest.raises(ValueError):
+        payload.payload_json(**parts)
