@@ -135,10 +135,29 @@ def find_node(spark, d):
     return G.find_node(view(spark, d, "s_nodes"), NATION)
 
 
-@_query()
+_SECTIONS = {
+    "callers": ("repo := repo, kind := kind, qualified_name := qualified_name, file_path := file_path, start_line := start_line, signature := signature", "repo, qualified_name", "SELECT DISTINCT n.repo, n.kind, n.qualified_name, n.file_path, n.start_line, n.signature FROM p_edges e JOIN p_nodes n ON n.qualified_name = e.src_qname WHERE e.edge_type = 'CALLS' AND e.dst_qname = r.q"),
+    "callees": ("repo := repo, callee := callee, resolved := resolved, kind := kind, file_path := file_path, start_line := start_line, signature := signature", "callee", "SELECT DISTINCT n.repo, e.dst_qname AS callee, TRUE AS resolved, n.kind, n.file_path, n.start_line, n.signature FROM p_edges e JOIN p_nodes n ON n.qualified_name = e.dst_qname WHERE e.edge_type = 'CALLS' AND e.src_qname = r.q"),
+    "dependencies": ("repo := repo, local_name := target, target := target, kind := 'symbol', in_project := TRUE", "target", "SELECT repo, target FROM uses WHERE src_file = r.f"),
+    "dependents": ("repo := repo, file_path := src_file, imported := target", "src_file, target", f"SELECT u.repo, u.src_file, u.target FROM uses u JOIN p_nodes n ON n.qualified_name = u.target WHERE n.file_path = r.f AND u.src_file <> r.f ORDER BY u.src_file, u.target LIMIT {S.DEPENDENTS_LIMIT}"),
+    "siblings": ("kind := kind, name := name, qualified_name := qualified_name, start_line := start_line, signature := signature", "start_line, qualified_name", f"SELECT * FROM (SELECT kind, name, qualified_name, start_line, signature FROM p_nodes WHERE file_path = r.f AND kind <> 'File' ORDER BY start_line, qualified_name LIMIT {S.SYMBOLS_LIMIT}) s WHERE qualified_name <> r.q"),
+}
+_CONTEXT = f"""{cte("p_nodes", "p_edges")}, uses AS (SELECT DISTINCT e.repo, e.src_file, e.dst_qname AS target FROM p_edges e JOIN p_nodes n ON n.qualified_name = e.dst_qname WHERE e.edge_type = 'CALLS' AND n.file_path <> e.src_file),
+r AS (SELECT *, qualified_name AS q, file_path AS f FROM p_nodes WHERE qualified_name = {_FIRST_PART})
+SELECT repo, kind, name, qualified_name, file_path, start_line, end_line, signature,
+""" + ",\n".join(f"(SELECT coalesce(CAST(to_json(list(struct_pack({fields}) ORDER BY {order})) AS VARCHAR), '[]') FROM ({rows}) x) AS {name}" for name, (fields, order, rows) in _SECTIONS.items()) + " FROM r"
+
+
+@_query(_CONTEXT)
 def node_context(spark, d):
-    nodes, imports = view(spark, d, "s_nodes"), view(spark, d, "s_imports")
-    return G.node_context(nodes, _resolved(spark, d), imports, REPO, NATION)
+    """A part with all five sections, each as JSON; a file imports what its parts call in other files."""
+    nodes, calls = view(spark, d, "p_nodes"), view(spark, d, "p_edges")
+    where = nodes.select(F.col("qualified_name").alias("dst_qname"), F.col("file_path").alias("there"))
+    uses = calls.filter("edge_type = 'CALLS'").join(where, "dst_qname").filter("there <> src_file").select("repo", "src_file", "dst_qname").distinct()
+    imports = uses.select("repo", F.col("src_file").alias("file_path"), F.col("dst_qname").alias("local_name"), F.col("dst_qname").alias("target"), F.lit("symbol").alias("kind"))
+    edges = calls.unionByName(uses.select("repo", F.lit("IMPORTS").alias("edge_type"), F.col("src_file").alias("src_qname"), "dst_qname", F.col("dst_qname").alias("dst_raw"), "src_file", F.lit(1).alias("resolved")))
+    told = G.node_context(nodes, edges, imports, "parts", _root(nodes))
+    return told.select("repo", "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "signature", *(F.to_json(name, {"ignoreNullFields": "false"}).alias(name) for name in _SECTIONS))
 
 
 _PREFIX = """
