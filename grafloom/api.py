@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from datetime import UTC, datetime
 
 from pyarrow import fs
@@ -44,6 +44,11 @@ def snippets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return nodes.join(own, ["repo", "file_path"]).select("repo", "qualified_name", "kind", "file_path", "start_line", "end_line", "signature", line_slice(F.col("text"), F.col("start_line"), F.col("end_line")).alias("code"))
 
 
+def _tally(rows: DataFrame, column: str) -> dict[tuple[str, str], int]:
+    """Rows by repository and a column of few values."""
+    return {(r["repo"], r[column]): r["count"] for r in rows.groupBy("repo", column).count().collect()}
+
+
 class CodeGraph:
     def __init__(self, spark: SparkSession, store: GraphStore, workspaces: str):
         self.spark, self.store, self.workspaces = spark, store, workspaces
@@ -59,61 +64,85 @@ class CodeGraph:
 
     def index_repository(self, name: str, path: str) -> dict:
         """Indexes a folder in place of what the store has under this name."""
-        if not re.fullmatch(REPO_NAME[1:-1], name or ""):
-            return {"error": f"{name!r} can't name a repository: only letters, digits, dot, underscore and hyphen"}
-        try:
-            rel, place = self._folder(path)
-        except ValueError as e:
-            return {"error": str(e)}
-        graph = extract(read_files(list_trees(self.spark, {name: place})))
-        counts = {r["status"]: r["count"] for r in graph.status.groupBy("status").count().collect()}
-        done = counts.get("indexed", 0)
-        return self._put(name, rel, graph, None, done, sum(counts.values()) - done, 0, "indexed")
+        return self.index_repositories({name: path})[name]
+
+    def index_repositories(self, folders: dict[str, str]) -> dict[str, dict]:
+        """Indexes folders, by name, in one plan and one commit; an answer for each name."""
+        out, places = {}, {}
+        for name, path in folders.items():
+            if not re.fullmatch(REPO_NAME[1:-1], name or ""):
+                out[name] = {"error": f"{name!r} can't name a repository: only letters, digits, dot, underscore and hyphen"}
+                continue
+            try:
+                places[name] = self._folder(path)
+            except ValueError as e:
+                out[name] = {"error": str(e)}
+        if places:
+            graph = extract(read_files(list_trees(self.spark, {n: place for n, (_, place) in places.items()})))
+            tally = _tally(graph.status, "status")
+            told = {n: (tally.get((n, "indexed"), 0), sum(k for (repo, status), k in tally.items() if repo == n and status != "indexed"), 0) for n in places}
+            out |= self._put({n: rel for n, (rel, _) in places.items()}, graph, None, told, "indexed")
+        return out
 
     def reindex_repository(self, name: str) -> dict:
         """Extracts the files whose hash changed, drops those that are gone, and resolves the repository anew."""
-        version, state = self.store.log.state()
-        row = self.store.read("repos", name, state=state).first()
-        if row is None:
-            return {"error": f"nothing is indexed as {name!r} yet: use index_repository"}
-        try:
-            rel, place = self._folder(row["path"])
-        except ValueError as e:
-            return {"error": str(e)}
-        try:
-            return self._reindex(name, rel, place, version, state)
-        except ConflictError:  # another writer was faster: once more, on what it left
-            return self._reindex(name, rel, place, *self.store.log.state())
+        return self.reindex_repositories([name])[name]
 
-    def _reindex(self, name: str, rel: str, place: str, version: int, state: dict) -> dict:
-        listed = staged(list_trees(self.spark, {name: place}), "listed")
+    def reindex_repositories(self, names: Sequence[str]) -> dict[str, dict]:
+        """The same for several repositories in one plan and one commit; an answer for each name."""
+        version, state = self.store.log.state()
+        known = {r["name"]: r["path"] for r in self.store.of([p for n in names for p in self.store.parts("repos", n, state)], "repos").collect()}
+        out, places = {}, {}
+        for name in names:
+            if name not in known:
+                out[name] = {"error": f"nothing is indexed as {name!r} yet: use index_repository"}
+                continue
+            try:
+                places[name] = self._folder(known[name])
+            except ValueError as e:
+                out[name] = {"error": str(e)}
+        if places:
+            try:
+                out |= self._reindex(places, version, state)
+            except ConflictError:  # another writer was faster: once more, on what it left
+                out |= self._reindex(places, *self.store.log.state())
+        return out
+
+    def _old(self, table: str, names: Iterable[str], state: dict) -> DataFrame:
+        return self.store.of([p for n in names for p in self.store.parts(table, n, state)], table)
+
+    def _reindex(self, places: dict[str, tuple[str, str]], version: int, state: dict) -> dict[str, dict]:
+        listed = staged(list_trees(self.spark, {n: place for n, (_, place) in places.items()}), "listed")
         seen = staged(read_files(listed).select("repo", "path", F.sha2("content", 256).alias("hash")), "seen")
-        old = self.store.read("files", name, state=state)
         # A file that can't be read now keeps its rows; one that is no longer listed loses them.
-        changes = E.change_set(old, seen.filter("hash is not null")).join(seen.filter("hash is null").select("repo", "path"), ["repo", "path"], "left_anti")
+        changes = E.change_set(self._old("files", places, state), seen.filter("hash is not null")).join(seen.filter("hash is null").select("repo", "path"), ["repo", "path"], "left_anti")
         changes = staged(changes.filter("change <> 'same'"), "changes")
-        tally = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+        tally = _tally(changes, "change")
         fresh = changes.filter("change <> 'deleted'")
         graph = extract(read_files(listed.join(fresh.select("repo", "path"), ["repo", "path"], "left_semi")))
-        skipped = seen.filter("hash is null").count()
-        return self._put(name, rel, graph, (changes, version, state), tally.get("added", 0) + tally.get("changed", 0), skipped, tally.get("deleted", 0), "reindexed")
+        skipped = _tally(seen.filter("hash is null").withColumn("state", F.lit("skipped")), "state")
+        told = {n: (tally.get((n, "added"), 0) + tally.get((n, "changed"), 0), skipped.get((n, "skipped"), 0), tally.get((n, "deleted"), 0)) for n in places}
+        return self._put({n: rel for n, (rel, _) in places.items()}, graph, (changes, version, state), told, "reindexed")
 
-    def _put(self, name: str, rel: str, graph: Graph, onto: tuple[DataFrame, int, dict] | None, indexed: int, skipped: int, deleted: int, status: str) -> dict:
-        """Commits a graph, ``onto`` (changes, version, state) what is kept of the old one. Rows are counted as they are
-        written."""
+    def _put(self, names: dict[str, str], graph: Graph, onto: tuple[DataFrame, int, dict] | None, told: dict[str, tuple[int, int, int]], status: str) -> dict[str, dict]:
+        """Commits the graph of some repositories (name to folder), ``onto`` (changes, version, state) what is kept of the old
+        one; ``told`` has for each the files indexed, skipped and deleted. Rows are counted as they are written."""
         key = ["repo", "file_path", "local_name"]
         tables = {"nodes": graph.nodes, "edges": graph.edges, "files": graph.files, "imports": last_wins(graph.imports, key, ["target", "kind"])}
         changes, version, state = onto or (None, None, None)
         if changes is not None:
-            tables = {t: without_files(self.store.read(t, name, state=state), t, changes).unionByName(df) for t, df in tables.items()}
-        parts = {t: self.store.write(t, tables[t]) for t in ("nodes", "files")}
+            tables = {t: without_files(self._old(t, names, state), t, changes).unionByName(df) for t, df in tables.items()}
+        parts = {t: self.store.write_each(t, tables[t], names) for t in ("nodes", "files")}
         raw = {t: staged(tables[t], f"index-{t}") for t in ("edges", "imports")}
-        parts["edges"], parts["imports"] = (self.store.write(t, df) for t, df in zip(("edges", "imports"), resolved(self.store.of([parts["nodes"]], "nodes"), raw["edges"], raw["imports"]), strict=True))
-        counts = {t: parts[t]["rows"] for t in ("nodes", "edges", "files")}
+        nodes = self.store.of(list(parts["nodes"].values()), "nodes")
+        for t, df in zip(("edges", "imports"), resolved(nodes, raw["edges"], raw["imports"]), strict=True):
+            parts[t] = self.store.write_each(t, df, names)
         when = datetime.now(UTC).isoformat(timespec="seconds")
-        repos = self.spark.createDataFrame([(name, rel, when, counts["nodes"], counts["edges"], counts["files"])], S.REPOS)
-        self.store.commit(name, parts | {"repos": repos}, since=version)
-        return {"repo": name, "status": status, "files_indexed": indexed, "files_skipped": skipped, "files_deleted": deleted, "nodes": counts["nodes"], "edges": counts["edges"]}
+        size = {n: {t: parts[t][n]["rows"] if n in parts[t] else 0 for t in ("nodes", "edges", "files")} for n in names}
+        repos = self.spark.createDataFrame([(n, rel, when, size[n]["nodes"], size[n]["edges"], size[n]["files"]) for n, rel in names.items()], S.REPOS)
+        parts["repos"] = self.store.write_each("repos", repos, names)
+        self.store.commit_all({n: {t: [found[n]] if n in found else [] for t, found in parts.items()} for n in names}, since=version)
+        return {n: {"repo": n, "status": status, "files_indexed": told[n][0], "files_skipped": told[n][1], "files_deleted": told[n][2], "nodes": size[n]["nodes"], "edges": size[n]["edges"]} for n in names}
 
     def import_database(self, path: str, replace: bool = False, exclude: tuple[str, ...] = (), connections: Sequence[tuple[str, str, str | None]] = (), log: JobLog | None = None, tenant_id: int | None = None) -> dict:
         """Loads a database file's graph into the store, all of it or nothing, then writes the ``connections`` (repository,

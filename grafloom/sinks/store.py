@@ -114,22 +114,37 @@ class GraphStore:
         seen.write.parquet(f"{self.root}/{name}")
         return {"path": name, **(_told(told) or {"rows": 0, "low": None, "high": None})}
 
+    def write_each(self, table: str, rows: DataFrame, repos: Iterable[str]) -> dict[str, dict]:
+        """A part for each of some repositories that has rows; a repository's rows come together, those of a large one in
+        several files."""
+        names = list(repos)
+        if len(names) == 1:
+            return {names[0]: self.write(table, rows)}
+        folder = f"{table}/{uuid.uuid4().hex}"
+        self._typed(table, rows).withColumn("part", F.col(REPO_COLUMN[table])).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.root}/{folder}")
+        return self._written(table, folder)
+
     def commit(self, repo: str, tables: dict[str, DataFrame | dict], batch: int | None = None, since: int | None = None) -> bool:
-        """Puts these tables (rows, or parts from ``write``) in place of one repository's. With a batch number that was
+        """Puts these tables (rows, or a part from ``write``) in place of one repository's. With a batch number that was
         committed before, nothing. ``since`` is the version that they were derived from: if the repository has been
         changed after it, ConflictError."""
         if batch is not None and batch <= self.batch():
             return False
-        parts = {f"{t}/{repo}": [rows if isinstance(rows, dict) else self.write(t, rows)] for t, rows in tables.items()}
+        return self.commit_all({repo: {t: [rows if isinstance(rows, dict) else self.write(t, rows)] for t, rows in tables.items()}}, batch, since)
+
+    def commit_all(self, repos: dict[str, dict[str, list[dict]]], batch: int | None = None, since: int | None = None) -> bool:
+        """Puts parts in place of tables of several repositories, in one commit."""
+        parts = {f"{t}/{repo}": own for repo, tables in repos.items() for t, own in tables.items()}
 
         def make(version: int, state: dict) -> tuple[dict, bool]:
             if batch is not None and batch <= state.get(BATCH, -1):
                 return {}, False
-            if since is not None and {k for k in self.log.changed_since(since)[1] if "/" in k and _split(k)[1] == repo}:
-                raise ConflictError(f"{repo!r} was changed after version {since}")
+            theirs = {_split(k)[1] for k in self.log.changed_since(since)[1] if "/" in k} & set(repos) if since is not None else ()
+            if theirs:
+                raise ConflictError(f"changed after version {since}: {sorted(theirs)}")
             return parts | ({} if batch is None else {BATCH: batch}), True
 
-        return self.log.transact(make, [f"{t}/{repo}" for t in S.TABLES])
+        return self.log.transact(make, [f"{t}/{repo}" for t in S.TABLES for repo in repos])
 
     def append(self, repo: str, table: str, rows: DataFrame) -> None:
         """Adds rows to a table of one repository as a part of their own."""

@@ -46,11 +46,26 @@ def once(store: GraphStore, work: Callable[[DataFrame, int], None]) -> Callable[
     return run
 
 
-def indexed(graph: CodeGraph, repo_name: str, folder: str | None = None) -> dict:
-    """The answer of re-indexing a repository, or of indexing it from ``folder`` if the store hasn't got it."""
-    if repo_name in graph.store.repos():
-        return graph.reindex_repository(repo_name)
-    return graph.index_repository(repo_name, folder or repo_name)
+def indexed(graph: CodeGraph, names: list[str]) -> dict[str, dict]:
+    """The answers of re-indexing repositories, or of indexing those that the store hasn't got from folders of their names:
+    in one plan each, and one by one if a plan fails, so that a repository's failure is its own."""
+    known = set(graph.store.repos())
+    old, new = [n for n in names if n in known], [n for n in names if n not in known]
+    try:
+        return (graph.reindex_repositories(old) if old else {}) | (graph.index_repositories({n: n for n in new}) if new else {})
+    except Exception as e:  # noqa: BLE001 - told with the repository that it belongs to
+        if len(names) == 1:
+            return {names[0]: {"error": f"{type(e).__name__}: {e}"[:2000]}}
+        return {n: answer for name in names for n, answer in indexed(graph, [name]).items()}
+
+
+def of_tenant(graphs: Callable[[int], CodeGraph], tenant: int, names: list[str]) -> dict[str, dict]:
+    """The same in a tenant's graph; where that can't be had, its error for all."""
+    try:
+        graph = graphs(tenant)
+    except Exception as e:  # noqa: BLE001 - one tenant's failure is its own
+        return dict.fromkeys(names, {"error": f"{type(e).__name__}: {e}"[:2000]})
+    return indexed(graph, names)
 
 
 RESULTS = "tenant_id long, repo_name string, job long, kind string, error string, nodes long, edges long"
@@ -64,14 +79,12 @@ def index_on_change(transitions: DataFrame, graphs: Callable[[int], CodeGraph],
 
     def work(batch: DataFrame, number: int) -> None:
         out = []
-        # A row for each repository of a batch; the work on each is Spark's.
-        for row in batch.filter("status = 'running'").groupBy("tenant_id", "repo_name").agg(F.max("job").alias("job")).toLocalIterator():
-            try:
-                answer = indexed(graphs(row["tenant_id"]), row["repo_name"])
-            except Exception as e:  # noqa: BLE001 - one repository's failure is its own
-                answer = {"error": f"{type(e).__name__}: {e}"[:2000]}
-            kind = "failed" if "error" in answer else "succeeded"
-            out.append((row["tenant_id"], row["repo_name"], row["job"], kind, answer.get("error"), answer.get("nodes"), answer.get("edges")))
+        running = batch.filter("status = 'running'").groupBy("tenant_id", "repo_name").agg(F.max("job").alias("job"))
+        for row in running.groupBy("tenant_id").agg(F.map_from_entries(F.collect_list(F.struct("repo_name", "job"))).alias("jobs")).toLocalIterator():
+            # A tenant's repositories of one batch, which are indexed together.
+            for name, answer in of_tenant(graphs, row["tenant_id"], sorted(row["jobs"])).items():
+                kind = "failed" if "error" in answer else "succeeded"
+                out.append((row["tenant_id"], name, row["jobs"][name], kind, answer.get("error"), answer.get("nodes"), answer.get("edges")))
         spark.createDataFrame(out, RESULTS).coalesce(1).write.mode("overwrite").json(f"{results.rstrip('/')}/batch={number}")
 
     return transitions.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -81,23 +94,27 @@ def run_jobs(log: JobLog, wanted: DataFrame, graphs: Callable[[int], CodeGraph],
     """Claims jobs of the stored log (id), indexes what has moved since its last run, and finishes them; the jobs after it.
     ``heads`` (external_repo, branch, sha, is_default) tells where branches stand: a job whose branch stands at the commit
     that was indexed succeeds without a run unless asked for by hand, and one whose branch isn't there fails."""
-    claims = log.claim(wanted, now).join(log.table().select("id", "trigger"), "id")
+    claims = log.claim(wanted, now)
     branch = heads.select("external_repo", F.col("branch").alias("at_branch"), "sha", "is_default")
     on = (F.col("c.external_repo") == F.col("h.external_repo")) & F.when(F.col("c.branch").isNotNull(), F.col("c.branch") == F.col("h.at_branch")).otherwise(F.col("h.is_default"))
     placed = claims.alias("c").join(branch.alias("h"), on, "left").select("c.id", "c.tenant_id", "c.repo_name", "c.trigger", "c.git_ref", "h.sha")
-    out = []
-    for row in placed.toLocalIterator():  # a worker's few jobs; the work on each is Spark's
+    rows = placed.collect()  # a worker's few jobs
+    answers: dict[int, dict] = {}
+    for tenant in {r["tenant_id"] for r in rows}:
+        own = [r for r in rows if r["tenant_id"] == tenant]
+        answers |= {r["id"]: {"error": "the branch to index isn't there"} for r in own if r["sha"] is None}
         try:
-            if row["sha"] is None:
-                raise ValueError("the branch to index isn't there")
-            graph = graphs(row["tenant_id"])
-            if row["repo_name"] in graph.store.repos() and row["sha"] == row["git_ref"] and row["trigger"] != "manual":
-                answer = {"unchanged": True}
-            else:
-                answer = indexed(graph, row["repo_name"])
-        except Exception as e:  # noqa: BLE001 - one job's failure is its own
-            answer = {"error": f"{type(e).__name__}: {e}"}
+            known = set(graphs(tenant).store.repos())
+        except Exception:  # noqa: BLE001 - told by of_tenant
+            known = set()
+        still = {r["id"] for r in own if r["sha"] is not None and r["repo_name"] in known and r["sha"] == r["git_ref"] and r["trigger"] != "manual"}
+        answers |= dict.fromkeys(still, {"unchanged": True})
+        todo = {r["repo_name"]: r["id"] for r in own if r["id"] not in answers}
+        answers |= {todo[name]: answer for name, answer in of_tenant(graphs, tenant, sorted(todo)).items()} if todo else {}
+    out = []
+    for r in rows:
+        answer = answers[r["id"]]
         ok = "error" not in answer
-        out.append((row["id"], ok, row["sha"] if ok else None, answer.get("error"), json.dumps(answer, sort_keys=True) if ok else None))
+        out.append((r["id"], ok, r["sha"] if ok else None, answer.get("error"), json.dumps(answer, sort_keys=True) if ok else None))
     results = log.spark.createDataFrame(out, "id long, ok boolean, commit_sha string, error string, stats string")
     return log.finish(results, now)

@@ -214,6 +214,28 @@ def test_changes_with_null_hashes(spark):
     assert {r.path: r.change for r in E.change_set(old, new).collect()} == {"a": "same", "b": "changed", "c": "deleted", "d": "added", "e": "changed"}
 
 
+def test_several_repositories_in_one_plan(spark, tmp_path):
+    """The same graphs as one by one, in one commit; an invalid name or folder takes only its own answer."""
+    from grafloom.api import CodeGraph
+
+    for name, text in (("a", "import b\n\n\ndef f():\n    return g()\n"), ("b", "def g():\n    return 1\n"), ("c", "x = 1\n")):
+        (tmp_path / "work" / name).mkdir(parents=True)
+        (tmp_path / "work" / name / "m.py").write_text(text)
+    (tmp_path / "work" / "empty").mkdir()
+    one, many = (CodeGraph(spark, GraphStore(spark, f"file://{tmp_path}/{s}"), str(tmp_path / "work")) for s in ("one", "many"))
+    told = many.index_repositories({n: n for n in ("a", "b", "c", "empty", "gone")} | {"no/name": "a"})
+    assert "error" in told["gone"] and "error" in told["no/name"] and many.store.version() == 1
+    assert {n: told[n] for n in "abc"} == {n: one.index_repository(n, n) for n in "abc"}
+    assert told["empty"]["nodes"] == 0 and many.store.repos() == ["a", "b", "c", "empty"]
+    same = lambda t: sorted(map(str, one.store.read(t).collect())) == sorted(map(str, many.store.read(t).collect()))
+    assert all(same(t) for t in ("nodes", "edges", "files", "imports"))
+    (tmp_path / "work" / "b" / "n.py").write_text("def h():\n    return 2\n")
+    (tmp_path / "work" / "c" / "m.py").unlink()
+    told = many.reindex_repositories(["a", "b", "c", "none"])
+    assert "error" in told["none"] and {n: told[n] for n in "abc"} == {n: one.reindex_repository(n) for n in "abc"}
+    assert all(same(t) for t in ("nodes", "edges", "files", "imports")) and told["c"]["files_deleted"] == 1 and told["c"]["nodes"] == 0
+
+
 def test_running_jobs_index_their_repository(spark, tmp_path):
     """A running job indexes its repository in its tenant's graph, a second one re-indexes it; queued ones do nothing, and
     two tenants' repositories of one name stay apart. One that fails is told as failed and holds nobody up."""
@@ -239,3 +261,30 @@ def test_running_jobs_index_their_repository(spark, tmp_path):
     spark.createDataFrame([(1, "a", 2, "running", "push", 1, 9)], jobs.TRANSITIONS).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
     assert run() == sorted([*first, (1, "a", 2, "succeeded")])
     assert [r["file_count"] for r in graphs[1].list_repositories()] == [2]
+
+
+def test_worker_runs_stored_jobs(spark, tmp_path):
+    """Claimed jobs are indexed in their tenants' graphs and finished: new ones, an unchanged one, one without a branch."""
+    from grafloom.api import CodeGraph
+    from tests.test_jobs import at, ids, log_at, requests
+
+    log = log_at(spark, f"file://{tmp_path}/log")
+    for name in ("1/a", "1/b", "3/d"):
+        (tmp_path / "work" / name).mkdir(parents=True)
+        (tmp_path / "work" / name / "m.py").write_text("def f():\n    return 1\n")
+    graphs = {t: CodeGraph(spark, provision(spark, f"file://{tmp_path}/stores", f"t{t}"), str(tmp_path / "work" / str(t))) for t in (1, 3)}
+    heads = spark.createDataFrame([("org/a", "main", "s1", True), ("org/b", "main", "s1", True), ("org/b", "dev", "s2", False)], "external_repo string, branch string, sha string, is_default boolean")
+
+    def run(*names, trigger="push"):
+        made = log.enqueue(requests(spark, *names).withColumn("trigger", F.lit(trigger)), at("2024-05-01 12:00:00"))
+        done = route.run_jobs(log, made.select("id"), graphs.__getitem__, heads, at("2024-05-01 12:05:00")).collect()
+        return {r.repo_name: (r.status, r.commit_sha, "unchanged" in (r.stats or ""), r.error) for r in done}
+
+    assert run("1/a", "1/b", "3/d") == {"a": ("succeeded", "s1", False, None), "b": ("succeeded", "s2", False, None), "d": ("failed", None, False, "the branch to index isn't there")}
+    assert sorted(r["name"] for r in graphs[1].list_repositories()) == ["a", "b"] and graphs[3].list_repositories() == []
+    assert {r.repo_name: r.git_ref for r in log.table("connections").collect() if r.tenant_id == 1} == {"a": "s1", "b": "s2"}
+    assert run("1/a") == {"a": ("succeeded", "s1", True, None)}
+    (tmp_path / "work" / "1" / "a" / "n.py").write_text("def g():\n    return 2\n")
+    assert run("1/a", trigger="manual") == {"a": ("succeeded", "s1", False, None)}
+    assert {r["name"]: r["file_count"] for r in graphs[1].list_repositories()} == {"a": 2, "b": 1}
+    assert log.claim(ids(spark, 1), at("2024-05-01 12:06:00")).count() == 0
