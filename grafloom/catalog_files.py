@@ -14,7 +14,7 @@ from .operators.table_function import register_functions
 from .operators import graph as G
 from .sinks import store
 from .sources import files as files_of
-from .sources.adapters import cte, table
+from .sources.adapters import cte, once, table
 from .sources.adapters import graph as view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,14 +37,13 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> X.Graph:
-    found: dict[str, DataFrame] = {}
+    """The tree's graph: the files are parsed once, each query reads what it needs of that."""
+    return once(spark, d, "x_graph", lambda: X.extract(_files(spark, d)))
 
-    def make(name: str) -> DataFrame:
-        if not found:
-            found.update(vars(X.extract(_files(spark, d))))
-        return found[name]
 
-    return X.Graph(*(table(spark, d, f"x_{name}", lambda name=name: make(name)) for name in ("files", "nodes", "edges", "imports", "status")))
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = _graph(spark, d)
+    return resolved(*(table(spark, d, f"x_{name}", lambda name=name: getattr(g, name)) for name in ("nodes", "edges", "imports")))
 
 
 #: What the tree's files hold, from the keys that they were made of.
@@ -134,14 +133,12 @@ def extract_files(spark, d):
 
 @_query(f"{_HEAD}, {_EDGES} SELECT 'tree' AS repo, edge_type, src_qname, final AS dst_qname, dst_raw, src_file, done AS resolved FROM edges")
 def index_resolved(spark, d):
-    g = _graph(spark, d)
-    return resolved(g.nodes, g.edges, g.imports)[0]
+    return _resolved(spark, d)[0]
 
 
 @_query(f"{_HEAD}, {_EDGES} SELECT 'tree' AS repo, src_file AS file_path, dst_raw AS local_name, final AS target FROM edges WHERE src_file LIKE 'tpl/%' AND edge_type = 'IMPORTS'")
 def index_rewritten_imports(spark, d):
-    g = _graph(spark, d)
-    return resolved(g.nodes, g.edges, g.imports)[1].filter("kind = 'template'").select("repo", "file_path", "local_name", "target")
+    return _resolved(spark, d)[1].filter("kind = 'template'").select("repo", "file_path", "local_name", "target")
 
 
 @_query(f"{_HEAD}, {_NODES} SELECT 'tree' AS repo, kind, name, qualified_name, file_path, start_line, signature FROM nodes WHERE kind <> 'File' AND (name ILIKE 'own_' OR qualified_name ILIKE 'own_' OR name ILIKE '%1/%::db' OR qualified_name ILIKE '%1/%::db' OR name ILIKE '%n1.z1' OR qualified_name ILIKE '%n1.z1') ORDER BY name, qualified_name LIMIT 1000")

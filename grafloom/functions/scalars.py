@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def like_pattern(glob: str) -> str:
     return f"%{quoted}%"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -59,8 +66,9 @@ def resolve_path(base_file: Column, ref: Column) -> Column:
         rest = F.when(up & (F.size(acc["p"]) > 0), F.slice(acc["p"], F.lit(1), F.greatest(F.size(acc["p"]) - 1, F.lit(0)))).when(up | seg.isin("", "."), acc["p"]).otherwise(F.concat(acc["p"], F.array(seg)))
         return F.struct(rest.alias("p"), (acc["ok"] & ~(up & (F.size(acc["p"]) == 0))).alias("ok"))
 
-    done = F.aggregate(F.split(joined, "/"), start, step)
-    return F.when((F.length(bare) > 0) & done["ok"] & (F.size(done["p"]) > 0), F.array_join(done["p"], "/"))
+    done = bound(F.aggregate(F.split(joined, "/"), start, step), lambda d: F.when(d["ok"] & (F.size(d["p"]) > 0), F.array_join(d["p"], "/")))
+    plain = ~joined.rlike(r"(?:^|/)\.{0,2}(?:/|\z)")  # no segment is empty or made of dots
+    return F.when(F.length(bare) > 0, F.when(plain, joined).otherwise(done))
 
 
 def one_line(text: Column) -> Column:

@@ -12,12 +12,15 @@ neighbour's suppliers. web: pages are files and their links imports.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cache
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.staging import staged
 
+T = TypeVar("T")
 _PARTS = {
     "p_nodes": """
   SELECT 'parts' AS repo, 'Function' AS kind, p_name AS name, p_brand || '.p' || CAST(p_partkey AS STRING) AS qualified_name,
@@ -148,10 +151,14 @@ def graph(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     for t in used:
         text = re.sub(rf"(FROM|JOIN) {t}\b(?! AS)", rf"\1 {{{t}}}", text)
     text = re.sub(r"(?<!\{)\{(\w+)\} ([ab]|g) ", r"{\1} AS \2 ", text)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    if view in _TREE:
+        # A few bytes of a key make eight files to parse: keys are dealt to all cores, whatever the table's size in bytes.
+        read["part"] = read["part"].select("p_partkey").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return spark.sql(text, **read)
 
 
-_STAGED: dict[tuple, DataFrame] = {}
+_MADE: dict[tuple, object] = {}
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
@@ -160,10 +167,15 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, make=None) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for a session and state of the folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
     """A view (or what ``make`` gives) as a table of its own, written once for a session and state of the folder, as a
     graph store holds its tables; queries then read columns and rows of it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
-    if key not in _STAGED:
-        _STAGED[key] = staged(make() if make else graph(spark, sf_dir, name), name)
-    return _STAGED[key]
+    return once(spark, sf_dir, name, lambda: staged(make() if make else graph(spark, sf_dir, name), name))

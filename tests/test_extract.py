@@ -1,6 +1,7 @@
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from grafloom.operators import extract as E
 from grafloom.operators import resolve as R
@@ -120,3 +121,31 @@ def test_template_grammar():
     assert list(found.refs) == ["base.html", "forms.html", "m.html", "part.html"]
     assert {e["dst_raw"] for e in found.edges.values() if e["edge_type"] == "CALLS"} == {"m.box", "field", "btn"}
     assert [(n["name"], n["start_line"]) for n in found.nodes.values()] == [("own", 3)]
+
+
+def test_files_are_parsed_once_and_by_all_cores(spark, monkeypatch):
+    """Few bytes of keys are dealt to more than one task, and a query that needs one table makes no other."""
+    from grafloom import catalog_files as C
+    from grafloom.operators import extract as X
+
+    folder, labels = "/root/testdata/sf0.001", []
+    assert C._files(spark, folder).filter("path LIKE 'src/%'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    monkeypatch.setattr(X, "staged", lambda df, label, real=X.staged: (labels.append(label), real(df, label))[1])
+    monkeypatch.setattr(C, "table", None)
+    monkeypatch.setattr("grafloom.sources.adapters._MADE", {})
+    assert C.extract_status(spark, folder).count() and C.extract_imports(spark, folder).count() and C.extract_nodes(spark, folder).count()
+    assert labels == ["extract"]
+
+
+@pytest.mark.parametrize("header, told", [("def f(a, b):", "(a, b)"), ("def f (a,  b) :", "(a, b)"), ("class A:", ""), ("class A(B, C): pass", "(B, C)"), ("def f(a=(1, 2)) -> x:", "(a=(1, 2))"), ("def f[T](a):", "(a)"), ("def f(\n  a,\n  b\n):", "( a, b )")])
+def test_headers(header, told):
+    from grafloom.operators.extract import _bracketed
+
+    assert _bracketed(header) == told
+
+
+@pytest.mark.parametrize("ref, place", [("a.js", "x/a.js"), ("../a.js?v=1", "a.js"), ("./b//c.js", "x/b/c.js"), ("/r/s.js", "r/s.js"), ("../../a.js", None), ("#top", None), ("a/..", "x"), ("..a/.b", "x/..a/.b"), ("d/", "x/d")])
+def test_places(spark, ref, place):
+    from grafloom.functions.scalars import resolve_path
+
+    assert spark.range(1).select(resolve_path(F.lit("x/y.html"), F.lit(ref))).first()[0] == place
