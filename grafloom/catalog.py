@@ -191,7 +191,8 @@ _RESOLVED = cte("s_nodes", "s_raw", "s_imports") + "," + _PREFIX
 
 
 def _cascade(spark, d) -> DataFrame:
-    return R.resolve_edges(view(spark, d, "s_raw"), view(spark, d, "s_nodes"), view(spark, d, "s_imports"))
+    """Raw edges and nodes are each read several times by the rules: as tables, as a graph holds them."""
+    return R.resolve_edges(*(table(spark, d, v) for v in ("s_raw", "s_nodes", "s_imports")))
 
 
 def _resolved(spark, d) -> DataFrame:
@@ -252,27 +253,32 @@ def graph_payload_nodes(spark, d):
     return G.payload_nodes(view(spark, d, "s_nodes"))
 
 
+def _payload(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): a link's source stands in the raw edge, so only edges that begin at a kept node are resolved."""
+    kept = table(spark, d, "s_kept", lambda: G.payload_nodes(table(spark, d, "s_nodes")))
+    own = view(spark, d, "s_raw").join(kept.select(F.col("id").alias("src_qname")), "src_qname", "left_semi")
+    raw = table(spark, d, "s_kept_raw", lambda: own.select(*view(spark, d, "s_raw").columns))
+    return kept, G.payload_links(R.resolve_edges(raw, table(spark, d, "s_nodes"), table(spark, d, "s_imports")), kept)
+
+
 @_query(_PAYLOAD + "SELECT * FROM links")
 def graph_payload_links(spark, d):
-    return G.payload_links(_resolved(spark, d), G.payload_nodes(view(spark, d, "s_nodes")))
+    return _payload(spark, d)[1]
 
 
 @_query(_PAYLOAD + "SELECT * FROM (SELECT count(*) AS nodes, count(DISTINCT repo) AS repos, count(DISTINCT file_path) AS files FROM kept) a, (SELECT count(*) AS links, count(CASE WHEN type <> 'CONTAINS' THEN 1 END) AS dependencies FROM links) b")
 def graph_payload_stats(spark, d):
-    kept = G.payload_nodes(view(spark, d, "s_nodes"))
-    return G.payload_stats(kept, G.payload_links(_resolved(spark, d), kept))
+    return G.payload_stats(*_payload(spark, d))
 
 
 @_query(_PAYLOAD + f", shown AS (SELECT * FROM kept WHERE repo = '{REPO}' AND kind IN ('Class', 'Method') AND (contains(lower(name), '1') OR contains(lower(id), '1'))) SELECT id, repo, kind, name, file_path, start_line, regexp_split_to_array(id, '[./]')[-1] AS label FROM shown")
 def explorer_filter(spark, d):
-    kept = G.payload_nodes(view(spark, d, "s_nodes"))
-    return G.explorer_filter(kept, G.payload_links(_resolved(spark, d), kept), REPO, ["Class", "Method"], ["CALLS"], "1")[0]
+    return G.explorer_nodes(G.payload_nodes(view(spark, d, "s_nodes")), REPO, ["Class", "Method"], "1")
 
 
 @_query(_PAYLOAD + f", shown AS (SELECT * FROM kept WHERE repo = '{REPO}' AND kind IN ('Class', 'Method') AND (contains(lower(name), '1') OR contains(lower(id), '1'))) SELECT * FROM links WHERE type = 'CALLS' AND source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)")
 def explorer_links(spark, d):
-    kept = G.payload_nodes(view(spark, d, "s_nodes"))
-    return G.explorer_filter(kept, G.payload_links(_resolved(spark, d), kept), REPO, ["Class", "Method"], ["CALLS"], "1")[1]
+    return G.explorer_filter(*_payload(spark, d), REPO, ["Class", "Method"], ["CALLS"], "1")[1]
 
 
 @_query(f"{cte('p_edges')} SELECT repo, src_qname AS container, count(*) AS members FROM p_edges WHERE edge_type = 'CONTAINS' GROUP BY 1, 2")

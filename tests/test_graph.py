@@ -120,3 +120,20 @@ def test_context_is_whole(spark):
     imports = spark.range(most).selectExpr("'r' AS repo", "'m.py' AS file_path", "'x' || id AS local_name", "'x' || id AS target", "'module' AS kind")
     row = G.node_context(nodes, spark.createDataFrame([], EDGES), imports, "r", "m.f").first()
     assert len(row["dependencies"]) == most and [d["target"] for d in row["dependencies"]] == sorted(f"x{i}" for i in range(most))
+
+
+def test_payload_resolves_what_it_shows(spark, monkeypatch):
+    """The nodes of a view need no edge; its links need the edges that begin at a kept node, and these alone."""
+    from grafloom import catalog as C
+
+    folder, met = "/root/testdata/sf0.001", []
+    real = C.R.resolve_edges
+    monkeypatch.setattr("grafloom.sources.adapters._MADE", {})
+    monkeypatch.setattr(C.R, "resolve_edges", lambda edges, *rest: (met.append(edges), real(edges, *rest))[1])
+    assert C.explorer_filter(spark, folder).count() and not met
+    monkeypatch.setattr(G.payload_nodes, "__defaults__", (150,))
+    links = C.graph_payload_links(spark, folder)
+    kept = C.table(spark, folder, "s_kept")
+    assert met[0].count() < C.table(spark, folder, "s_raw").count() and met[0].join(kept, F.col("id") == F.col("src_qname"), "left_anti").count() == 0
+    every = G.payload_links(C._cascade(spark, folder), kept)
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, every.collect())) != []
