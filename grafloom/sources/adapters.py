@@ -16,7 +16,8 @@ from collections.abc import Callable
 from functools import cache
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 
@@ -145,19 +146,62 @@ def cte(*views: str) -> str:
 
 
 def graph(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """One view of a folder's tables, bound as arguments so that no session-wide names are made."""
-    text = (cte(view) + f"\nSELECT * FROM {view}").replace("{", "{{").replace("}", "}}")
+    """One view of a folder's tables."""
+    if view == "s_raw":
+        return _supply_edges(spark, sf_dir)
+    return _bound(spark, sf_dir, f"{cte(view)}\nSELECT * FROM {view}", deal=view in _TREE)
+
+
+def _bound(spark: SparkSession, sf_dir: str, text: str, deal: bool = False) -> DataFrame:
+    """A statement over a folder's tables, bound as arguments so that no session-wide names are made."""
+    text = text.replace("{", "{{").replace("}", "}}")
     used = [t for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", text)]
     for t in used:
         text = re.sub(rf"(FROM|JOIN) {t}\b(?! AS)", rf"\1 {{{t}}}", text)
     text = re.sub(r"(?<!\{)\{(\w+)\} ([ab]|g) ", r"{\1} AS \2 ", text)
     read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-    if view in _TREE:
+    if deal:
         # A few bytes of a key make eight files to parse: keys are dealt to all cores, whatever the table's size in bytes.
         read["part"] = read["part"].select("p_partkey").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
     return spark.sql(text, **read)
 
 
+#: Lines of orders that a task makes distinct.
+TASK_ROWS = 250_000
+
+
+def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``s_raw``: what its text makes distinct is made so here, order by order, and the rest runs as it is written.
+
+    A source's name ends in its order's key, so calls that are the same belong to one order: keys of lines and orders
+    are dealt to as many tasks as their number asks for, and a call is told from others by the order's key and the
+    supplier's name before any longer text is made. Only sources without a name may be the same across orders.
+    """
+    orders, customers, nations, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation", "lineitem"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS), -(-orders.count() // TASK_ROWS))
+    nameless = any(not t.filter(F.col(c).isNull()).isEmpty() for t, c in ((orders, "o_orderkey"), (customers, "c_name"), (nations, "n_name")))
+    source = ["o_orderkey", "repo", "n_name", "qname"]
+
+    def calls(rows: DataFrame, targets: Column) -> DataFrame:
+        """The edges of each source to its array of targets, one branch of the text for each place in it."""
+        out = rows.select("repo", "qname", "n_name", F.posexplode(targets).alias("branch", "to"))
+        if nameless:
+            out = out.filter("qname is not null").unionByName(out.filter("qname is null").distinct())
+        return out.select("repo", F.lit("CALLS").alias("edge_type"), F.col("qname").alias("src_qname"), F.col("to").alias("dst_qname"), F.col("to").alias("dst_raw"), F.concat("n_name", F.lit(".py")).alias("src_file"), F.lit(0).alias("resolved"))
+
+    known = graph(spark, sf_dir, "s_orders")
+    peers = known.select(*source, (F.col("o_custkey") % 7).alias("s")).repartition(tasks, "o_orderkey").distinct()
+    sources = known.select(*source).repartition(tasks, "o_orderkey").distinct()
+    lines = lines.select("l_orderkey", "l_suppkey", (F.col("l_linenumber") == 1).alias("first")).repartition(tasks, "l_orderkey")
+    named = lines.join(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey"))
+    called = named.groupBy("l_orderkey", "s_name").agg(F.coalesce(F.max("first"), F.lit(False)).alias("first"))
+    met = called.join(sources, F.col("o_orderkey") == F.col("l_orderkey"))
+    out = calls(met, F.when(F.col("first"), F.array("s_name", F.concat(F.lit("near."), "s_name"))).otherwise(F.array("s_name")))
+    out = out.union(calls(peers, F.array(F.concat(F.lit("peer.s"), F.col("s").cast("string")))))
+    plain = "UNION ALL".join(b for b in _SUPPLY["s_raw"].split("UNION ALL") if "DISTINCT" not in b)
+    return out.union(_bound(spark, sf_dir, f"{cte('s_nodes', 's_orders', 's_links')}\n{plain}"))
+
+
 _MADE: dict[tuple, object] = {}
 
 

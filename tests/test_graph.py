@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from grafloom.operators import graph as G
 from grafloom.operators import resolve as R
 from grafloom.operators import trace as T
 from grafloom.schema import EDGES, IMPORTS, NODES
+from grafloom.sources import adapters as A
 
 
 def test_patterns():
@@ -137,3 +140,42 @@ def test_payload_resolves_what_it_shows(spark, monkeypatch):
     assert met[0].count() < C.table(spark, folder, "s_raw").count() and met[0].join(kept, F.col("id") == F.col("src_qname"), "left_anti").count() == 0
     every = G.payload_links(C._cascade(spark, folder), kept)
     assert sorted(map(tuple, links.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def odd_supply(folder):
+    """Tables with orders and suppliers of the same key or name, orders and customers without, and hot orders."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE region AS SELECT * FROM (VALUES (0, 'R0'), (1, 'R1')) t(r_regionkey, r_name)")
+    con.sql("CREATE TABLE nation AS SELECT * FROM (VALUES (0, 'N0', 0), (1, 'N1', 1), (2, NULL, 1), (3, 'N3', 1)) t(n_nationkey, n_name, n_regionkey)")
+    con.sql("CREATE TABLE customer AS SELECT CAST(i AS BIGINT) AS c_custkey, CASE WHEN i % 11 = 0 THEN NULL ELSE 'c' || (i % 9) END AS c_name, CAST(i % 4 AS INT) AS c_nationkey FROM range(40) r(i)")
+    con.sql("CREATE TABLE supplier AS SELECT CAST(i AS BIGINT) AS s_suppkey, CASE WHEN i % 13 = 0 THEN NULL ELSE 's' || (i % 7) END AS s_name, CAST(i % 4 AS INT) AS s_nationkey FROM range(30) r(i)")
+    con.sql("CREATE TABLE orders AS SELECT CASE WHEN i % 17 = 0 THEN NULL ELSE CAST(i % 200 - 20 AS BIGINT) END AS o_orderkey, CAST((i * 7 + i // 200) % 40 AS BIGINT) AS o_custkey FROM range(600) r(i)")
+    con.sql("INSERT INTO orders SELECT * FROM orders WHERE o_orderkey % 5 = 0")
+    con.sql("CREATE TABLE lineitem AS SELECT CASE WHEN i % 3 = 0 THEN 50 ELSE CAST(i % 210 - 22 AS BIGINT) END AS l_orderkey, CAST(i % 31 AS BIGINT) AS l_suppkey, CASE WHEN i % 19 > 0 THEN CAST(i % 3 AS INT) END AS l_linenumber FROM range(4000) r(i)")
+    for name in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        con.sql(f"COPY {name} TO '{folder}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_supply_edges(spark, tmp_path, whole):
+    """Raw edges are those of their SQL, copies counted, with names missing or all there."""
+    con = odd_supply(tmp_path)
+    if whole:
+        for table, rule in (("nation", "n_name IS NOT NULL"), ("customer", "c_name IS NOT NULL"), ("orders", "o_orderkey IS NOT NULL")):
+            con.sql(f"COPY (SELECT * FROM {table} WHERE {rule}) TO '{tmp_path}/{table}.parquet'")
+    for name in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        con.sql(f"DROP TABLE {name}")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.sql(f"{A.cte('s_raw')} SELECT * FROM s_raw")
+    got = A.graph(spark, str(tmp_path), "s_raw")
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+
+
+def test_supply_edges_of_a_task(spark, monkeypatch):
+    """A task makes distinct no more lines than it is to, however many there are and few partitions a shuffle has."""
+    monkeypatch.setattr(A, "TASK_ROWS", 500, raising=False)
+    raw = A.graph(spark, "/root/testdata/sf0.001", "s_raw").filter("edge_type = 'CALLS' and dst_raw like 'Supplier%'")
+    held = [r["count"] for r in raw.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) > 4000 and max(held) <= 1000
