@@ -190,14 +190,16 @@ done AS (
 _RESOLVED = cte("s_nodes", "s_raw", "s_imports") + "," + _PREFIX
 
 
-def _cascade(spark, d) -> DataFrame:
-    """Raw edges and nodes are each read several times by the rules: as tables, as a graph holds them."""
-    return R.resolve_edges(*(table(spark, d, v) for v in ("s_raw", "s_nodes", "s_imports")))
+#: Edges or nodes that a task of the resolution holds.
+TASK_ROWS = 500_000
 
 
-def _resolved(spark, d) -> DataFrame:
-    """The edges as a graph holds them: resolved once, when it was made."""
-    return table(spark, d, "s_resolved", lambda: _cascade(spark, d))
+def _cascade(spark, d, raw: DataFrame | None = None) -> DataFrame:
+    """Raw edges (all, or those given) and nodes are each read several times by the rules: as tables, as a graph holds
+    them. What is resolved is not written: it is longer than the raw edges, and made of one move of them."""
+    raw, nodes, imports = raw or table(spark, d, "s_raw"), table(spark, d, "s_nodes"), table(spark, d, "s_imports")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-max(raw.count(), nodes.count()) // TASK_ROWS))
+    return R.resolve_edges(raw, nodes, imports, tasks)
 
 
 @_query(_RESOLVED + "SELECT * FROM done")
@@ -207,7 +209,7 @@ def resolve_cascade(spark, d):
 
 def _rule(rule: str) -> None:
     def run(spark, d, rule=rule):
-        return _resolved(spark, d).filter(F.col("rule") == rule).select("repo", "src_qname", "dst_raw", "dst_qname")
+        return _cascade(spark, d).filter(F.col("rule") == rule).select("repo", "src_qname", "dst_raw", "dst_qname")
 
     _QUERIES[f"resolve_{rule}"] = run
     _SQL[f"resolve_{rule}"] = _RESOLVED + f"SELECT repo, src_qname, dst_raw, dst_qname FROM done WHERE rule = '{rule}'"
@@ -219,12 +221,12 @@ for _r in R.RULES:
 
 @_query(_RESOLVED + "SELECT repo, edge_type, src_qname, dst_raw FROM done WHERE resolved = 0 AND edge_type <> 'IMPORTS'")
 def unresolved_edges(spark, d):
-    return R.unresolved(_resolved(spark, d)).select("repo", "edge_type", "src_qname", "dst_raw")
+    return R.unresolved(_cascade(spark, d)).select("repo", "edge_type", "src_qname", "dst_raw")
 
 
 @_query(_RESOLVED + "SELECT repo, qualified_name, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT repo, src_qname AS qualified_name, 1 AS o, 0 AS i FROM done WHERE edge_type = 'CALLS' AND resolved = 1 UNION ALL SELECT repo, dst_qname, 0, 1 FROM done WHERE edge_type = 'CALLS' AND resolved = 1) x GROUP BY 1, 2")
 def call_degrees(spark, d):
-    return G.degrees(_resolved(spark, d))
+    return G.degrees(_cascade(spark, d))
 
 
 @_query(f"""{cte("w_nodes", "w_imports")},
@@ -258,7 +260,7 @@ def _payload(spark, d) -> tuple[DataFrame, DataFrame]:
     kept = table(spark, d, "s_kept", lambda: G.payload_nodes(table(spark, d, "s_nodes")))
     own = view(spark, d, "s_raw").join(kept.select(F.col("id").alias("src_qname")), "src_qname", "left_semi")
     raw = table(spark, d, "s_kept_raw", lambda: own.select(*view(spark, d, "s_raw").columns))
-    return kept, G.payload_links(R.resolve_edges(raw, table(spark, d, "s_nodes"), table(spark, d, "s_imports")), kept)
+    return kept, G.payload_links(_cascade(spark, d, raw), kept)
 
 
 @_query(_PAYLOAD + "SELECT * FROM links")

@@ -23,7 +23,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/graph/{label}-{uuid.uuid4().hex}"
 
 
+#: Whether what a statement shuffled is deleted at its end, not when the driver next collects garbage.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_folder(spark, label), spark.conf.get(_CLEANED)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)

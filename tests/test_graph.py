@@ -46,6 +46,66 @@ def test_cascade(spark):
     assert {r.callee for r in G.get_callees(nodes, resolved, "pkg.core.Widget.run").collect()} == {"pkg.utils.helper", "pkg.core.Widget.stop", "pkg.utils.Base.greet", "nowhere", "pkg.core.Widget"}
 
 
+def odd_graph():
+    """Rows of (nodes, edges, imports) with names of every shape, twice the same, empty or missing."""
+    rnd = random.Random(5)
+    roots = ["", "a", "a.b", "c", "d.e.f", ".x", None]
+    word = lambda: rnd.choice(["f", "g", "h", "K", "self", "", "near"])
+    name = lambda: None if rnd.random() < 0.04 else ".".join(p for p in [rnd.choice(roots), *(word() for _ in range(rnd.randrange(3)))] if p is not None)
+    repo = lambda: rnd.choice(["r", "q", None]) if rnd.random() < 0.1 else "r"
+    file = lambda: rnd.choice(["a.py", "b.py", None])
+    nodes = []
+    for _ in range(150):
+        q, kind = name(), rnd.choice(["File", "Class", "Class", "Interface", "Function", "Method", "Config"])
+        nodes.append((repo(), kind, rnd.choice([q and q.split(".")[-1], word() + str(rnd.randrange(60)), None]), q, file(), 1, 1, None))
+    nodes += rnd.sample(nodes, 20)
+    raw = lambda: rnd.choice([word(), word() + str(rnd.randrange(60)), "self." + word(), "this." + word() + "." + word(), "near." + word(), "near.K." + word(), "cls.", name()])
+    edges = []
+    for _ in range(1500):
+        r = raw()
+        edges.append((repo(), rnd.choice(["CALLS", "CALLS", "CALLS", "INHERITS", "USES_TYPE", "IMPORTS"]), rnd.choice([name(), nodes[rnd.randrange(150)][3]]), rnd.choice([r, name()]), r, file(), 0))
+    edges += rnd.sample(edges, 100)
+    imports = [(repo(), file(), rnd.choice(["near", "near.K", word(), None]), name(), "module") for _ in range(25)]
+    return nodes, edges, imports
+
+
+@pytest.mark.parametrize("held, depths", [(200_000, 8), (200_000, 1), (0, 0)])
+def test_cascade_equals_sql(spark, tmp_path, monkeypatch, held, depths):
+    """Whether lookups fit a task or not, edges are resolved as SQL has it, copies counted."""
+    from grafloom import catalog as C
+
+    monkeypatch.setattr(R, "LOOKUP_ROWS", held, raising=False)
+    monkeypatch.setattr(R, "MODULE_DEPTHS", depths, raising=False)
+    tables = [spark.createDataFrame(rows, schema).coalesce(1) for rows, schema in zip(odd_graph(), (NODES, EDGES, IMPORTS), strict=True)]
+    con = duckdb.connect()
+    for df, name in zip(tables, ("s_nodes", "s_raw", "s_imports"), strict=True):
+        df.write.parquet(str(tmp_path / name))
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}/*.parquet'")
+    want = con.sql(f"WITH {C._PREFIX} SELECT * FROM done")
+    got = R.resolve_edges(tables[1], tables[0], tables[2])
+    assert got.columns == want.columns
+    found = Counter(map(tuple, got.collect()))
+    assert found == Counter(want.fetchall()) and {r[7] for r in found} == {None, *R.RULES}
+
+
+@pytest.mark.parametrize("name", ["resolve_cascade", "resolve_import_map", "resolve_enclosing", "unresolved_edges", "call_degrees"])
+def test_edges_are_moved_once(spark, monkeypatch, name):
+    """What a shuffle writes of an edge doesn't grow with the rules, and resolved edges aren't written beside the raw ones."""
+    from grafloom import catalog as C
+
+    folder, staged = "/root/testdata/sf0.01", []
+    raw = C.table(spark, folder, "s_raw")
+    edges = raw.count()
+    for v in ("s_nodes", "s_imports"):
+        C.table(spark, folder, v)
+    monkeypatch.setattr(A, "staged", lambda df, label: staged.append(label))
+    monkeypatch.setattr(A, "_MADE", {k: v for k, v in A._MADE.items() if k[2] != "s_resolved"})
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    C._QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+    assert not staged and (shuffled() - before) / edges < 110
+
+
 def plain_trace(neighbours, root, depth):
     seen, total, cut = {root}, 0, False
 
